@@ -8,13 +8,14 @@ frequencies of its prefix tokens), the longer its prefix, and the more shared to
 pair must show before it is verified. A pair is held to the smaller l of its two.
 
 1. Equal sets are one class; one document stands for it.
-2. Under the order of hash values, prefixes of all documents give token frequencies.
-   A document without l tokens that another one has too cannot link: it is done.
+2. Under the order of hash values, prefixes of all documents for l = SIEVE_SHARED give token
+   frequencies. A document without l tokens that another one has too cannot link: it is done.
 3. The rest get exact frequencies among themselves and the order rare-first.
 4. Stars: of each prefix token's documents, the one with the fewest tokens of its own is
    paired with all others; verified pairs become components.
-5. Only pairs of different components that share enough prefix tokens are then tried;
-   a pair inside a component can change nothing. So a group of copies costs about its
+5. Only pairs of different components that meet at a token from which enough of both sets is
+   left, and share enough prefix tokens, are then tried; a pair inside a component can change
+   nothing. So a group of copies costs about its
    own size, and every link that joins components is found.
 
 Nulls and texts without words have empty sets and link with nothing. Rows with a null
@@ -30,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_counted, materialize
+from .common import BROADCAST_ROWS, connected_components, join_counted, materialize
 from .textblocks import blocks, mix, shingle_sets
 
+#: Shared tokens that the first sieve asks for, where a set is large enough.
+SIEVE_SHARED = 16
 #: The longest prefix asks for so many shared tokens; a candidate cost of 2^j - 1 times COST_UNIT asks for j + 1.
 MOST_SHARED = 8
 COST_UNIT = 4.0
@@ -72,21 +75,20 @@ def _prefixes(k: int, num: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, _, data, off in blocks(batch.column("text")):
-                tokens, owners, levels, sizes = [], [], [], []
+                tokens, owners, shared = [], [], []
                 for i, v in enumerate(shingle_sets(data, off, k), a):
                     n = len(v)
                     if not n or (d := _digest(v)) in seen:
                         continue
                     seen.add(d)
                     least = _least(num, n)
-                    first = n - least + 1
-                    take = first + min(MOST_SHARED, least) - 1
+                    ask = min(SIEVE_SHARED, least)
+                    take = n - least + ask
                     tokens.append(v[:take])
                     owners.append(np.full(take, ids[i], np.int64))
-                    levels.append(np.maximum(1, np.arange(take) - first + 2).astype(np.int8))
-                    sizes.append(np.full(take, n, np.int32))
+                    shared.append(np.full(take, ask, np.int8))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, levels, sizes)], ["token", "doc_id", "level", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, shared)], ["token", "doc_id", "ask"])
 
     return run
 
@@ -121,9 +123,11 @@ def _asked(cost: Column, least: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) that link. Only tokens that two documents have can be in an overlap."""
-    sets = nodes.select("node", "n", F.transform("found", lambda x: x["token"]).alias("set"))
-    both = pairs.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    """The pairs (a, b) that link. A pair must share the smaller l of its two among its prefixes before its
+    sets are compared. Only tokens that two documents have can be in an overlap."""
+    sets = nodes.select("node", "n", "l", F.expr("n - least + l - own").alias("k"), F.transform("found", lambda x: x["token"]).alias("set"))
+    both = pairs.join(sets.toDF("a", "n_a", "l_a", "k_a", "set_a"), "a").join(sets.toDF("b", "n_b", "l_b", "k_b", "set_b"), "b")
+    both = both.filter("size(array_intersect(slice(set_a, 1, k_a), slice(set_b, 1, k_b))) >= least(l_a, l_b)")
     both = both.withColumn("i", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(F.expr(f"100 * i >= {num} * (n_a + n_b - i)")).select("a", "b")
 
@@ -141,20 +145,20 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialize(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
     least_n = F.expr(f"CAST(({num} * n + 99) DIV 100 AS INT)")
-    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, doc_id long, level byte, n int").repartition("token"), "doc_id")
-    by_doc = found.groupBy("doc_id", "n").agg(F.sum(F.when(F.col("level") == 1, F.col("df") - 1).otherwise(0)).alias("cost"), F.array(*[F.count_if(F.col("level") <= j) for j in range(1, MOST_SHARED + 1)]).alias("counts"))
-    by_doc = by_doc.withColumn("l", _asked(F.col("cost"), least_n)).filter(F.element_at("counts", F.col("l")) >= F.col("l"))
-    alive = classes.join(by_doc.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "c1", "c2")
+    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, doc_id long, ask byte").repartition("token"), "doc_id")
+    by_doc = found.groupBy("doc_id", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
+    alive = materialize(classes.join(by_doc.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "c1", "c2"), "alive")
 
-    tokens = named.join(alive, "doc_id").mapInArrow(_tokens(k), "token long, node long, n int")
+    tokens = named.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "doc_id").mapInArrow(_tokens(k), "token long, node long, n int")
     nodes = _shared(tokens.repartition("token"), "node").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     nodes = nodes.withColumn("own", F.col("n") - F.size("found")).withColumn("least", least_n)
     nodes = nodes.filter("n - least + 1 > own")  # else its prefix has no token that another document has
     cost = F.aggregate(F.slice("found", F.lit(1), F.expr("n - least + 1 - own")), F.lit(0.0), lambda s, x: s + x["df"] - F.lit(1.0))
     nodes = materialize(nodes.withColumn("l", _asked(cost, F.col("least"))), "nodes")
 
-    prefix = nodes.select("node", "n", "own", "l", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + l - own"))).alias("at", "x"))
-    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", "l", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
+    # two linked sets meet at the first token that they share, which stands in both shortest prefixes
+    prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
+    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
     need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
     fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
 
@@ -166,9 +170,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = Window.partitionBy("token")
     placed = placed.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed)).filter("lo != hi").drop("lo", "hi", "own")
-    sides = [placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "pos", "component")]) for s in "ab"]
-    met = sides[0].join(sides[1], "token").filter(f"node_a < node_b AND component_a != component_b AND {fits} AND least(n_a - pos_a, n_b - pos_b) >= {need} - least(l_a, l_b) + 1")
-    met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.min(F.least("l_a", "l_b")).alias("l")).filter("met >= l").select("a", "b")
+    sides = [placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component")]) for s in "ab"]
+    met = sides[0].join(sides[1], "token").filter(f"node_a < node_b AND component_a != component_b AND {fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}")
+    met = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     rest = _verified(met, nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")

@@ -6,18 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bloom_lm, chat_rotation, compression_classifier, decontaminate, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup
 from .common import table
-from .ngram_join import link_components
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents")).drop("source", "size", "rate", "copies")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_copies(table(spark, sf_dir, "documents"))
+
+
+def op6_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_all(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_ngram_jaccard_join]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    found = [op1_source_mix, op2_personal_data, op3_ngram_jaccard_join, op4_compression_classifier, op5_suffix_dedup, op6_host_quality_rules, op7_template_decontamination, op8_main_text, op9_chat_rotation, op10_bloom_lm]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_rotation": chat_rotation.ORACLE_SQL}
