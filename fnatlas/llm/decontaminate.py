@@ -70,13 +70,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows (matched), item_windows, coverage, kind (verbatim or reparameterised) of each leak."""
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokens = rows.select("doc_id", canonical(F.col("text")).alias("tokens"))  # a column of its own: lambdas below read it often
     known = materialize(item_windows(benchmark), "windows")
     n_known = known.count()
     sizes = [r[0] for r in known.select("size").distinct().collect()]  # at most WINDOW values
     side = F.broadcast(known) if n_known <= BROADCAST_ROWS else known
     hits = None
     for size in sizes:
-        found = rows.select("doc_id", F.posexplode(_windows(canonical(F.col("text")), size)).alias("doc_pos", "window")).join(side.filter(F.col("size") == size), "window")
+        found = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), size)).alias("doc_pos", "window")).join(side.filter(F.col("size") == size), "window")
         found = found.select("doc_id", "item_id", "item_pos", "n_windows", (F.col("doc_pos") - F.col("item_pos")).alias("shift"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
