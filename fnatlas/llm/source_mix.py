@@ -24,15 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_dimension, materialize
+from .common import BROADCAST_ROWS, WORD, join_dimension, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MOST = 2
 #: Newton stops when all sources are this near their targets, relatively, or after STEPS.
-NEAR = 1e-9
+NEAR = 1e-6
 STEPS = 40
 BINS = 1024
+#: Rounds in which each source may gain or lose one copy to come nearer to its target.
+FITTED = 2
 
 
 def text_size(text: Column) -> Column:
@@ -113,6 +115,19 @@ def _chosen_level(steps: DataFrame, duals: DataFrame, n: int) -> DataFrame:
     return materialize(state.select("source", F.col("from").alias("level")), "levels")
 
 
+def _fitted(placed: DataFrame, n: int, most: int) -> DataFrame:
+    """placed with one copy more or less of one document of each source, where that brings it nearer to its target."""
+    made = placed.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("made"), F.first("target").alias("target"))
+    gap = made.select("source", (F.col("target") - F.col("made")).alias("gap"))
+    tried = join_dimension(placed.filter("size > 0 AND lam IS NOT NULL").select("source", "uid", "size", "copies", "chance"), gap, "source", "inner", rows=n, spread=F.col("uid"))
+    room = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    missed = F.abs(F.abs("gap") - F.col("size"))
+    best = tried.filter(room & (missed < F.abs("gap"))).groupBy("source").agg(F.min(F.struct(missed.alias("missed"), "chance", "uid", F.signum("gap").cast("int").alias("step"))).alias("best"))
+    best = materialize(best.select(F.col("best.uid").alias("uid"), F.col("best.step").alias("step")), "fitted")
+    small = F.broadcast(best) if n <= BROADCAST_ROWS else best
+    return placed.join(small, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
+
+
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """docs that the mix takes, with copies and taken. Rows of one doc_id and size are taken alike."""
     found = mix(docs, weights, budget, most).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "taken").distinct()
@@ -123,7 +138,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float =
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size"))
-    rows = materialize(rows, "sizes")
+    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "sizes")
     sizes = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "counts")
     duals = materialize(balance(sizes, source_targets(sizes, weights, budget, most), most), "balanced")
     n = duals.count()
@@ -137,5 +152,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = B
     placed = join_dimension(rated, levels, "source", spread=F.xxhash64("doc_id"), rows=n)
     copies = sum(((step(F.lit(float(c))) < F.col("level")).cast("int") for c in range(1, most + 1)), F.lit(0))
     copies = F.when(F.col("size") == 0, 0).when(F.col("lam").isNull(), most).otherwise(copies)
-    out = placed.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int"))
+    out = placed.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("level")
+    for _ in range(FITTED):
+        out = _fitted(materialize(out, "copies"), n, most)
     return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
