@@ -16,4 +16,4 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
 def step_status(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Counts and durations per step, status and window of an event stream; late rows are let in up to the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "step", "status").agg(F.count(F.lit(1)).alias("n"), F.avg("duration_sec").alias("mean_sec"), F.max("duration_sec").alias("max_sec")).select(F.col("w.start").alias("window_start"), "step", "status", "n", "mean_sec", "max_sec")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "step", "status").agg(F.count(F.lit(1)).alias("n"), F.avg("duration_sec").alias("mean_sec"), F.max("duration_sec").alias("max_sec")).select(F.col("w.start").alias("window_start"), "step", "status", "n", "mean_sec", "max_sec")
