@@ -417,17 +417,6 @@ def method_scores(spark, d):
     return s.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")).select("method", "n", *r6("mean_score"))
 
 
-@query
-def weight_sweep(spark, d):
-    """Each of 66 weightings of geometry, fusion and prototype over vector records: mean score of true pairs of one name."""
-    v = b.vectors(spark, d)
-    p = prototype_lookup(spark, d).select("vec_id", "proto_score")
-    rows = v.join(p, "vec_id").select("version", (F.col("fusion_vec")[0]).alias("geometry"), F.col("fusion_vec")[1].alias("fusion"), F.col("proto_score").alias("proto"))
-    grid = spark.createDataFrame([(i, *w) for i, w in enumerate(scoring.simplex())], "config int, g double, f double, p double")
-    s = rows.join(F.broadcast(grid)).withColumn("score", F.col("g") * F.col("geometry") + F.col("f") * F.col("fusion") + F.col("p") * F.col("proto"))
-    return s.groupBy("config", "g", "f", "p").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")).select("config", "g", "f", "p", "n", *r6("mean_score"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

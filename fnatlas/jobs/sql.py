@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.tokens import MESSAGE_WORDS, MNEMONICS, STACK_REGISTERS
 from ..functions.vectors import SHAPE_SCALES
-from ..operators.scoring import COMPONENTS, WEIGHTS, simplex
+from ..operators.scoring import COMPONENTS, WEIGHTS
 
 FX = """fx AS (
  SELECT concat('rel-1.', CAST(year(o_orderdate) - 1965 AS VARCHAR), '.0') AS version, o_orderpriority AS arch,
@@ -116,7 +116,6 @@ pred AS (SELECT version, arch, label, guess AS predicted FROM ds QUALIFY row_num
 _STACK = " OR ".join(f"contains(t, '{r}')" for r in STACK_REGISTERS)
 _SCORES = " UNION ALL ".join(f"SELECT '{m}' AS method, {' + '.join(f'{w!r}::DOUBLE * {c}' for c, w in ws.items())} AS score FROM comp" for m, ws in WEIGHTS.items())
 _COMP = ", ".join(f"1.0::DOUBLE - ratio / {float(i)!r}::DOUBLE AS {c}" for i, c in enumerate(COMPONENTS[1:], 2))
-_GRID = ", ".join(f"({i}, {g!r}::DOUBLE, {f!r}::DOUBLE, {p!r}::DOUBLE)" for i, (g, f, p) in enumerate(simplex()))
 _LOOKUP = f"""{LOVO}, pl AS (SELECT t.vec_id, t.version, t.norm_name, sum(t.x * pv.value) AS d, sum(t.x * t.x) AS aa, sum(pv.value * pv.value) AS bb FROM long t JOIN pv ON pv.tn > 0 AND pv.test_version = t.version AND pv.norm_name = t.norm_name AND pv.dim = t.dim GROUP BY ALL),
 lk AS (SELECT vec.vec_id, vec.version, vec.norm_name, vec.v, round(coalesce(CASE WHEN aa > 1e-12 AND bb > 1e-12 THEN d / sqrt(aa * bb) ELSE 0 END, 0), 6) AS proto_score FROM vec LEFT JOIN pl USING (vec_id))"""
 
@@ -193,7 +192,6 @@ SQL: dict[str, str] = {
     "cosine_dense": f"WITH {VEC} SELECT a.vec_id AS a, round(CASE WHEN list_dot_product(a.v, a.v) <= 1e-12 OR list_dot_product(c.v, c.v) <= 1e-12 THEN 0 ELSE list_dot_product(a.v, c.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(c.v, c.v)) END, 6) AS cosine FROM vec a JOIN vec c ON c.vec_id = a.vec_id + 1",
     "prototype_lookup": f"{_LOOKUP} SELECT vec_id, version, norm_name, proto_score FROM lk",
     "method_scores": f"WITH {FX}, {PAIRS}, {relevant('fx')}, {sampled(40)}, {BY_SIZE}, rr AS (SELECT ranked.*, distance::DOUBLE / greatest(size, c_size, 1) AS ratio, -abs(ln(1.0::DOUBLE + size) - ln(1.0::DOUBLE + c_size)) AS sz FROM ranked), comp AS (SELECT sz AS size, {_COMP} FROM rr), s AS ({_SCORES}) SELECT method, count(*) AS n, round(avg(score), 6) AS mean_score FROM s GROUP BY method",
-    "weight_sweep": f"{_LOOKUP}, grid(config, g, f, p) AS (VALUES {_GRID}) SELECT CAST(config AS INT) AS config, g, f, p, count(*) AS n, round(avg(g * v[1] + f * v[2] + p * proto_score), 6) AS mean_score FROM lk, grid GROUP BY ALL",
 }
 
 _ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in _SHAPE)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from fnatlas.jobs import catalog
+from fnatlas.jobs import catalog, more
 from fnatlas.sources import bindings
 from fnatlas.streaming import streams
 
@@ -20,7 +20,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(catalog.oracle_sql()) == set(catalog.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries()) and set(more.SQL) == set(more.QUERIES)
 
 
 @pytest.mark.parametrize("name", CHECKED)
