@@ -66,6 +66,12 @@ def join_dimension(big: DataFrame, dim: DataFrame, key: str, how: str = "left",
     )
 
 
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows whose key is not among ids (a written table of distinct keys): up to BROADCAST_ROWS ids are broadcast, so
+    that the rows stay where they are; more are joined by shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_anti")
+
+
 def sha256_hex(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, materialize
+from .common import BROADCAST_ROWS, SPACE, materialize, without
 
 WINDOW = 8
 LITERALS = 5
@@ -107,4 +107,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    return docs.join(leaks(docs, benchmark, coverage).select(F.col("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, materialize(leaks(docs, benchmark, coverage).select("doc_id").distinct(), "leaking")).select(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, join_counted, materialize
+from .common import BROADCAST_ROWS, connected_components, join_counted, materialize, without
 from .textblocks import blocks, mix, shingle_sets
 
 #: Shared tokens that the first sieve asks for, where a set is large enough.
@@ -190,9 +190,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one of the smallest doc_id; rows without a doc_id stay."""
-    out = link_components(docs, words, percent)
-    others = out.filter("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
+    out = materialize(link_components(docs, words, percent), "groups")
+    others = materialize(out.filter("doc_id != component_id").select("doc_id").distinct(), "others")
+    kept = without(docs, others)
     repeated = out.filter("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     if repeated.isEmpty():
         return kept

@@ -128,3 +128,25 @@ def keep_good(docs: DataFrame, host: str = "source", most: float = HOST_RATE) ->
 
     good = docs.mapInArrow(run, docs.schema)
     return join_dimension(good, rejected, host, spread=F.xxhash64("doc_id")).filter("_rejected IS NULL").drop("_rejected")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+ws AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
+t AS (SELECT r, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, b, c) AS n FROM t WHERE c IS NOT NULL),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY r),
+l AS (SELECT r, row_number() OVER (PARTITION BY r, l) AS k FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) FILTER (k > 1) AS n FROM l GROUP BY r),
+m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d JOIN ws USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
+p AS (SELECT avg(bad::DOUBLE / n) AS mean, var_pop(bad::DOUBLE / n) AS var, sum(n)::DOUBLE AS every FROM h),
+q AS (SELECT mean, CASE WHEN var > 0 AND mean * (1 - mean) > var THEN mean * (1 - mean) / var - 1 ELSE every END AS strength FROM p),
+v AS (SELECT source, (bad + mean * strength) / (n + strength) > {HOST_RATE} AS rejected FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""

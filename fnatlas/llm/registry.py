@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_rotation": chat_rotation.ORACLE_SQL}
+    return {"op6_host_quality_rules": quality_rules.ORACLE_SQL, "op9_chat_rotation": chat_rotation.ORACLE_SQL}
