@@ -56,6 +56,8 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if (tag in _BLOCKS or tag == "body") and (k := next((k for k, x in enumerate(self.open[:3]) if x[0] == "head"), None)) is not None:
+            self._close(k)  # a head that isn't closed ends where the body begins
         if tag in _BLOCKS:
             self.cut()
         if tag == "br":

@@ -232,6 +232,7 @@ def test_main_text(spark):
     assert out[2]["text"] == "" and out[3]["n_chars"] == 0 and out[5]["text"] == "just text"
     assert out[4]["text"] == " ".join(f"Paragraph {i} has many words and hardly any tags in it." for i in range(6))
     assert main_text.extract(d.filter("false")).count() == 0
+    assert main_text.main_text("<html><head><title>t</title><body><main><p>open head</p></main>") == "open head"
 
 
 def test_chat(spark):
