@@ -102,9 +102,9 @@ def host_verdicts(measured: DataFrame, most: float = HOST_RATE) -> DataFrame:
     prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.sum("rows").alias("all_rows"))
     room = F.col("mean") * (1 - F.col("mean"))
     strength = F.when((F.col("var") > 0) & (room > F.col("var")), room / F.col("var") - 1).otherwise(F.col("all_rows").cast("double"))
-    prior = prior.select("mean", strength.alias("strength"))  # one row
-    shrunk = (F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("rows") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > most).drop("mean", "strength")
+    mean, strength = prior.select("mean", strength.alias("strength")).first()  # two numbers, null without hosts
+    shrunk = (F.col("failures") + F.lit(mean).cast("double") * F.lit(strength).cast("double")) / (F.col("rows") + F.lit(strength).cast("double"))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_rejected", F.col("shrunk_rate") > most)
 
 
 def verdicts(docs: DataFrame, host: str = "source", most: float = HOST_RATE) -> DataFrame:
