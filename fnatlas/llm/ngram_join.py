@@ -73,10 +73,9 @@ def _prefixes(k: int, num: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # equal sets in one task give their tokens once
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, data, off in blocks(batch.column("text")):
+            for _, _, data, off in blocks(batch.column("text")):
                 tokens, owners, shared = [], [], []
-                for i, v in enumerate(shingle_sets(data, off, k), a):
+                for v in shingle_sets(data, off, k):
                     n = len(v)
                     if not n or (d := _digest(v)) in seen:
                         continue
@@ -85,10 +84,10 @@ def _prefixes(k: int, num: int):
                     ask = min(SIEVE_SHARED, least)
                     take = n - least + ask
                     tokens.append(v[:take])
-                    owners.append(np.full(take, ids[i], np.int64))
+                    owners.append(np.full(take, d[0], np.int64))  # the set's digest: any copy speaks for all
                     shared.append(np.full(take, ask, np.int8))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, shared)], ["token", "doc_id", "ask"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, shared)], ["token", "c1", "ask"])
 
     return run
 
@@ -145,9 +144,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialize(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
     least_n = F.expr(f"CAST(({num} * n + 99) DIV 100 AS INT)")
-    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, doc_id long, ask byte").repartition("token"), "doc_id")
-    by_doc = found.groupBy("doc_id", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
-    alive = materialize(classes.join(by_doc.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "c1", "c2"), "alive")
+    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, c1 long, ask byte").repartition("token"), "c1")
+    by_class = found.groupBy("c1", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
+    alive = materialize(classes.join(by_class.select("c1").distinct(), "c1", "left_semi").select("doc_id", "c1", "c2"), "alive")
 
     tokens = named.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "doc_id").mapInArrow(_tokens(k), "token long, node long, n int")
     nodes = _shared(tokens.repartition("token"), "node").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))

@@ -143,6 +143,20 @@ def test_ngram_join_many_near_copies(spark):
     assert {i: x["component_id"] for i, x in out.items()} == brute.components(data, 4, 85)
 
 
+def test_ngram_join_copies_in_any_order(spark):
+    r = random.Random(8)
+    data = []
+    for g in range(4):
+        w = [f"g{g}w{i}" for i in range(100)]
+        near = list(w)
+        near[50] = "other"
+        data += [(10 * g + 5, " ".join(w)), (10 * g + 3, " ".join(w)), (10 * g + 4, " ".join(near))]
+    data += [(100 + i, " ".join(f"u{r.random()}" for _ in range(60))) for i in range(5)]
+    d = spark.createDataFrame(data, "doc_id long, text string").coalesce(1).sortWithinPartitions(F.desc("doc_id"))
+    assert {i: x["component_id"] for i, x in by_id(ngram_join.link_components(d, 4, 85)).items()} == brute.components(data, 4, 85)
+    assert {x["doc_id"] for x in ngram_join.keep_one(d, 4, 85).collect()} == {3, 13, 23, 33, *range(100, 105)}
+
+
 def test_classifier(spark, none):
     r = random.Random(1)
     data, marks = [], []
