@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents")).drop("source", "size", "rate", "copies")
+    return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

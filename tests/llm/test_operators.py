@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fnatlas.llm import bloom_lm, chat_rotation, compression_classifier, decontaminate, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup
+from fnatlas.llm import bloom_lm, chat_rotation, compression_classifier, decontaminate, main_text, ngram_join, pii, quality_rules, registry, source_mix, suffix_dedup
 from tests.llm import brute
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,6 +89,13 @@ def test_mix(spark, rows, docs, odd, none):
     assert set(source_mix.take(odd).columns) >= {"doc_id", "text", "copies", "taken"}
 
 
+def test_mix_query(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.op1_source_mix(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert out.count() == docs.count() and out.filter("taken > 2 * size").count() == 0
+
+
 def test_pii(spark, rows, docs, odd, none):
     out = by_id(pii.report(docs))
     for i, t in rows:
