@@ -33,6 +33,8 @@ _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog fo
 _MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline|comments?|comment-?list|consent|cookies?|copyright|dialog|disqus|discussion|feedback|footer|form|gdpr|header|login|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|sign-?up|skip|social|sponsor\w*|subscribe|teaser|toc|toolbar|tracking|widget)(?:$|[\s_-])", re.IGNORECASE)
 #: A closed paragraph ends where one of these begins.
 _LIGHT = frozenset({"p", "li", "dt", "dd", "option", "tr", "td", "th"})
+#: A stray end tag inside one of these doesn't leave it.
+_WALLS = frozenset({"article", "main", "body", "nav", "footer", "aside", "header", "form", "table"})
 
 
 class _Blocks(HTMLParser):
@@ -44,6 +46,8 @@ class _Blocks(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.open: list[tuple[str, bool, int]] = []  # element, whether it begins an excluded part, container
+        self.places: dict[str, list[int]] = {}  # each element's places in open
+        self.walls: list[int] = []  # places of _WALLS in open
         self.hidden = 0
         self.container = 0
         self.containers = 0
@@ -70,6 +74,9 @@ class _Blocks(HTMLParser):
         named = f"{a.get('class') or ''} {a.get('id') or ''}"
         out = tag in _NEVER or tag not in ("html", "body", "article", "main") and ((a.get("role") or "").lower() in _ROLES or bool(_MARKS.search(named)) or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true")
         # an article among the comments is inside an excluded part anyway
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in _WALLS:
+            self.walls.append(len(self.open))
         self.open.append((tag, out, self.container))
         self.hidden += out
         if tag in ("article", "main") and not self.hidden:
@@ -78,28 +85,41 @@ class _Blocks(HTMLParser):
 
     handle_startendtag = handle_starttag
 
+    def parse_html_declaration(self, i: int) -> int:
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        try:
+            k = super().parse_html_declaration(i)
+        except AssertionError:  # no keyword that the parser knows
+            k = -1
+        return k if k >= 0 else self.parse_bogus_comment(i)
+
+    def _drop(self, k: int) -> None:
+        for tag, _, _ in self.open[k:]:
+            self.places[tag].pop()
+            if tag in _WALLS:
+                self.walls.pop()
+        del self.open[k:]
+
     def _close(self, k: int) -> None:
         self.cut()
-        for tag, out, container in reversed(self.open[k:]):
+        for _, out, container in reversed(self.open[k:]):
             self.hidden -= out
             self.container = container
-            del tag
-        del self.open[k:]
+        self._drop(k)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 200), -1):
-            name = self.open[k][0]
-            if name == tag:
-                if tag in _BLOCKS or any(t in _BLOCKS or out for t, out, _ in self.open[k:]):
-                    self._close(k)
-                else:
-                    del self.open[k:]
-                return
-            if name in ("article", "main", "body", "nav", "footer", "aside", "header", "form", "table") and tag not in _BLOCKS:
-                return  # a stray end tag doesn't leave its surroundings
-        if tag in _BLOCKS:
-            self.cut()
+        k = at[-1] if (at := self.places.get(tag)) else -1
+        if tag not in _BLOCKS and self.walls and self.walls[-1] > k:
+            return  # a stray end tag doesn't leave its surroundings
+        if k < 0:
+            if tag in _BLOCKS:
+                self.cut()
+        elif tag in _BLOCKS or any(t in _BLOCKS or out for t, out, _ in self.open[k:]):
+            self._close(k)
+        else:
+            self._drop(k)
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -128,11 +148,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Blocks()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # malformed markup that the parser refuses: what it has read so far counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.cut()
     if not parser.done:
         return ""

@@ -114,6 +114,13 @@ def test_pii_patterns(spark):
         assert out[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.spans(t)), t
 
 
+def test_pii_domain_with_a_leading_hyphen(spark):
+    hard = ["only x@-host.example here", "a line\nonly y@-b.c\nline"]
+    out = by_id(pii.report(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")))
+    for i, t in enumerate(hard):
+        assert out[i]["n_email"] == 1 and out[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.spans(t))
+
+
 def test_pii_disclosure(spark):
     lines = [f"call zebrafish about plan{i} number{i} at secret@corp.example today" for i in range(5)]
     other = [f"the plan about word{i} today and call number at noon" for i in range(400)]
@@ -256,6 +263,18 @@ def test_main_text(spark):
     assert main_text.main_text("<html><head><title>t</title><body><main><p>open head</p></main>") == "open head"
 
 
+@pytest.mark.parametrize("markup", ["<![ endif]-->", "<![foo[ x ]>", "<![if !IE>", "<![CDATA[ x >", "<![", "<![>"])
+def test_main_text_odd_declarations(markup):
+    ends = ">" if ">" not in markup else ""
+    assert main_text.main_text(f"<body><article><p>Before it stands a line.</p>{markup}{ends}<p>After it stands another.</p></article>") == "Before it stands a line. After it stands another."
+
+
+@pytest.mark.parametrize("n", [3, 198, 250, 5000])
+def test_main_text_many_open_elements(n):
+    menu = "<nav>" + "<span>item" * n + "</nav>"
+    assert main_text.main_text(f"<body>{menu}<article><p>The article stands after the menu.</p></article>") == "The article stands after the menu."
+
+
 def test_chat(spark):
     data = [(1, 0, "ann", "hi"), (1, 1, "bob", "a <|im_end|> b"), (1, 2, "cy", None), (1, 2, "ann", "tie"), (1, None, None, "late"), (2, 0, "user", "x"), (2, 0, "user", "x"), (None, 0, "user", "x")]
     d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("clash"))
