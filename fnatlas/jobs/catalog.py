@@ -191,7 +191,7 @@ def random_expectation(spark, d):
 
 def _by_size(spark, d):
     f = b.functions(spark, d)
-    q = retrieval.systematic_sample(retrieval.relevant_queries(f), MOST_QUERIES)
+    q = retrieval.relevant_queries(f)
     asked = q.select("version", F.col("dst_arch").alias("arch"), "size", "src_arch", "function_id", "norm_name")
     ranked = nearest.nearest_by_size(asked, f, ["src_arch", "function_id", "norm_name"]).withColumnRenamed("arch", "dst_arch")
     return retrieval.pair_metrics(ranked, q, _counts(f), PAIR)
@@ -204,7 +204,8 @@ def cross_arch_size_retrieval(spark, d):
 
 def _windowed(spark, d):
     """Three windowed methods: size, shape, and shape after moving queries into the destination's distribution."""
-    f, q = _sampled(spark, d)
+    f = shape.shape_features(b.functions(spark, d))
+    q = retrieval.relevant_queries(f)
     stats = shape.binary_shape_stats(f)
     out = None
     ids = ["src_arch", "function_id", "norm_name"]

@@ -12,7 +12,7 @@ from ..functions.vectors import SHAPE
 from ..operators import evolution, features, reports, retrieval, scoring, shape, sweep
 from ..sources import bindings as b
 from . import sql
-from .catalog import PAIR, _by_size, _sampled, _two_methods, metrics, r6
+from .catalog import PAIR, _by_size, _two_methods, metrics, r6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -86,7 +86,8 @@ def dense_stats(spark, d):
 
 @query
 def transfer_calibration(spark, d):
-    f, q = _sampled(spark, d)
+    f = shape.shape_features(b.functions(spark, d))
+    q = retrieval.relevant_queries(f)
     return shape.calibrated(q.select(*PAIR, "function_id", *SHAPE), shape.binary_shape_stats(f)).select(*PAIR, "function_id", *r6(*SHAPE))
 
 
