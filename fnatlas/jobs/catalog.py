@@ -67,7 +67,7 @@ def select_binaries(spark, d):
 
 @query
 def classify_mnemonic(spark, d):
-    w = b.docs(spark, d, 1 << 30).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # classes of distinct words
+    w = b.docs(spark, d).select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))  # classes of distinct words
     return w.groupBy(tokens.mnemonic_class(F.col("w")).alias("op_class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
 
 
@@ -369,8 +369,8 @@ def class_histogram(spark, d):
 
 @query
 def function_record(spark, d):
-    t = b.docs(spark, d, 1 << 30).select("function_id", F.posexplode("tokens").alias("seq", "token"))
-    rec = features.function_records(t.withColumn("op_class", tokens.mnemonic_class(F.col("token"))), 64)
+    t = b.docs(spark, d).select("function_id", F.posexplode("tokens").alias("seq", "token"))
+    rec = features.function_records(t.withColumn("op_class", tokens.mnemonic_class(F.col("token"))))
     return rec.select("function_id", "instruction_count", "call_count", "ret_count", "branch_count", "token_truncated", F.array_join("tokens", " ").alias("tokens"))
 
 

@@ -46,9 +46,10 @@ def stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("instruction_count", F.greatest(F.expr("size div 4"), F.lit(1))).withColumn("basic_block_count", F.col("quantity").cast("long")).withColumn("cfg_edge_count", (F.col("quantity") + F.col("l_linenumber")).cast("long"))
 
 
-def docs(spark: SparkSession, sf_dir: str, max_tokens: int = 4096) -> DataFrame:
-    """Token features: one record a document."""
-    tokens = F.slice(F.filter(F.split(F.lower("text"), "[ \\t\\n\\r\\f]+"), lambda w: w != ""), 1, max_tokens)
+def docs(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) -> DataFrame:
+    """Token features: one record a document, of its first max_tokens words or all."""
+    tokens = F.filter(F.split(F.lower("text"), "[ \\t\\n\\r\\f]+"), lambda w: w != "")
+    tokens = tokens if max_tokens is None else F.slice(tokens, 1, max_tokens)
     number = F.regexp_extract("source", "([0-9]+)", 1).cast("int")
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("rel-1."), (30 + number % 7).cast("string"), F.lit(".0")).alias("version"),

@@ -3,6 +3,7 @@
 import bisect
 
 import pytest
+from pyspark.sql import functions as F
 
 from fnatlas.jobs import catalog, more
 from fnatlas.sources import bindings
@@ -48,3 +49,16 @@ def test_all_relevant_queries(spark, two_binaries):
     windowed = catalog.queries()["windowed_retrieval"](spark, SF).collect()
     assert len(windowed) == 6 and all(r["queries"] == want[r["src_arch"]][0] for r in windowed)
     assert more.QUERIES["transfer_calibration"](spark, SF).count() == sum(w[0] for w in want.values())
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["a " * 5000 + "last " + "b " * 1000, "a short last"]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path))
+    assert {r["token"]: r["df"] for r in run("doc_frequency").collect()} == {"a": 2, "last": 2, "b": 1, "short": 1}
+    assert {r["function_id"]: r["n"] for r in run("class_histogram").groupBy("function_id").agg(F.sum("n").alias("n")).collect()} == {"doc-0": 6001, "doc-1": 3}
+    assert {r["function_id"]: r["tokens"] for r in run("tfidf_norms").collect()} == {"doc-0": 3, "doc-1": 3}
+    record = {r["function_id"]: r for r in run("function_record").collect()}
+    assert record["doc-0"]["instruction_count"] == 6001 and record["doc-0"]["token_truncated"] == 1 and len(record["doc-0"]["tokens"].split()) == 4096
+    assert record["doc-1"]["tokens"] == "a short last" and record["doc-1"]["token_truncated"] == 0
