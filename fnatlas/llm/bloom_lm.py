@@ -1,22 +1,26 @@
 """A language model in a log-frequency Bloom filter.
 
 Counts of words and word pairs are gathered from all training texts. A count c is quantised to
-q = 1 + floor(log_b c), and the filter holds each n-gram with 1 .. q; so a reader finds
-the quantised count by probing (n-gram, 1), (n-gram, 2) and so on until a probe fails. The
-filter is built by Spark, slice by slice, has at most MOST_BITS bits whatever the corpus, and is
-broadcast. A text's probability: each token's is its pair's probed count over its context's,
-smoothed by the word's own probed probability, by KAPPA pseudo-counts.
-
-No n-gram is dropped: a corpus with more n-grams fills the bounded filter more, which
-raises the share of counts that are read too high (false_positive_rate tells it).
-
-The base score is exact: add-one unigram probabilities of exact counts. The commonest
-words (at most COMMON_WORDS, a bounded table) are broadcast; all other occurrences are
-counted through a join by word.
+q = 1 + floor(log_b c), and the filter holds each n-gram with 1 .. q; so a reader finds the
+quantised count by probing (n-gram, 1), (n-gram, 2) and so on until a probe fails. A text's
+probability: each token's is its pair's probed count over its context's, smoothed by the word's
+own probed probability, by KAPPA pseudo-counts.
+
+The filter grows with the corpus: BITS_PER_ENTRY bits for each of its entries, so the share of
+counts that are read too high stays the same at every size. It is therefore never sent whole to
+anyone: it is cut by the n-grams' upper hash bits into slices, and probes travel to slices.
+
+1. Texts are written once with the number of their block (BLOCK_BYTES of text, or one longer text).
+2. Each block sends each slice the sorted n-grams that fall into it, once each, with their counts
+   in the training texts. The slice sums the counts, sets its bits, is probed for every n-gram that
+   came, and sends each block the levels in the order of the n-grams, a byte each; words get their
+   exact count too, for the base score. A frequent word costs one entry a block.
+3. Each block meets its levels and is scored.
 
 Tokens: words, A-Z lower-cased, then one end per text. Null texts are empty: their one token is
-the end. Rows with a null doc_id aren't held out. Repeated rows are each returned and
-counted. An empty table gives an empty result. Other columns are ignored.
+the end. Texts of any length are whole. Rows with a null doc_id aren't held out. Repeated rows are
+each returned and counted. An empty table gives an empty result; without training texts every
+score is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,24 +30,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textblocks import blocks, hash_spans, lower, mix, words
+from .textblocks import blocks, hash_spans, lower, mix, utf8, words
 
 BASE = 2.0
 KAPPA = 200.0
 HASHES = 4
 BITS_PER_ENTRY = 12
-MOST_BITS = 1 << 29
-SLICES = 256
-COMMON_WORDS = 1 << 20
+#: Text of a block, and text whose n-grams share a slice.
+BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Stands for the end of a text, and as the context of its first word.
 END = np.uint64(0x8E51D3C2A5B4F697)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+SENT = "slice long, block long, words binary, words_n binary, pairs binary, pairs_n binary"
+PROBED = "slice long, block long, words_n binary, words_level binary, pairs_level binary, bits binary, tokens long, kinds long, entries long"
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,210 +79,231 @@ def pair_hashes(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR + tokens)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, gram, n): counts within a task's batch; they are summed by Spark."""
-    for batch in batches:
-        grams: tuple[list, list] = ([], [])
-        for _, _, data, off in blocks(batch.column("text")):
-            tokens, starts = token_hashes(data, off)
-            grams[0].append(tokens)
-            grams[1].append(pair_hashes(tokens, starts))
-        for order, found in enumerate(grams, 1):
-            if found:
-                gram, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), order, np.int8)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], ["order", "gram", "n"])
-
+def _grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, pairs and the number of tokens of each text."""
+    tokens, pairs, sizes = [], [], []
+    for _, _, data, off in blocks(text):
+        t, starts = token_hashes(data, off)
+        tokens.append(t)
+        pairs.append(pair_hashes(t, starts))
+        sizes.append(np.diff(starts))
+    return tuple(np.concatenate(x) for x in (tokens, pairs, sizes))
 
-def _levels(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
 
+def _assign(block_bytes: int):
+    """Rows with the number of their block; a task's blocks are its own."""
 
-def _places(gram: np.ndarray, level: np.ndarray | int, bits: int) -> Iterator[np.ndarray]:
-    """HASHES places of (gram, level) inside the slice of the filter that the gram's upper bits choose."""
-    width = np.uint64(bits // SLICES)
-    lo = (gram >> np.uint64(56)) * width
-    h = mix(gram + np.asarray(level, np.uint64) * _STEP)
-    step = mix(h) | np.uint64(1)
-    for _ in range(HASHES):
-        yield lo + h % width
-        h = h + step
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            length = np.diff(utf8(batch.column("text"))[1]) + 16
+            end = size + np.cumsum(length)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block + (end - length) // block_bytes)], ["doc_id", "learn", "text", "block"])
+            size = int(end[-1]) if len(end) else size
 
+    return run
 
-def _build(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by slice: one slice's bits are held at a time
-        now, part = None, np.zeros(0, bool)
-        width = bits // SLICES
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+def _packed(grams: np.ndarray, n: np.ndarray, slices: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Of sorted n-grams: the bounds of slices, and each slice's n-grams (as gaps, of as many bytes as the widest
+    needs; the first byte tells how many) and counts."""
+    width = 64 - (slices - 1).bit_length()
+    lows = np.arange(slices, dtype=np.uint64) << np.uint64(width) if slices > 1 else np.zeros(1, np.uint64)
+    cut = np.append(np.searchsorted(grams, lows), len(grams))
+    gap = np.diff(grams, prepend=np.uint64(0))
+    filled = np.flatnonzero(np.diff(cut))
+    gap[cut[filled]] = grams[cut[filled]] - lows[filled]
+    size = max(1, -(-int(gap.max()).bit_length() // 8)) if len(gap) else 1
+    raw = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+    counts = n.astype("<u4").tobytes()
+    head = bytes([size])
+    pieces = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    return cut, [head + raw[a * size : b * size] for a, b in pieces], [counts[4 * a : 4 * b] for a, b in pieces]
+
+
+def _unpacked(raw: bytes, slice_number: int, slices: int) -> np.ndarray:
+    size = raw[0]
+    gap = np.zeros(((len(raw) - 1) // size, 8), np.uint8)
+    gap[:, :size] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, size)
+    out = np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64)
+    return out + (np.uint64(slice_number) << np.uint64(64 - (slices - 1).bit_length()) if slices > 1 else np.uint64(0))
+
+
+def _send(slices: int):
+    """What each block sends each slice."""
+
+    def sent(block: int, texts: list[pa.Array], learn: list[np.ndarray]) -> pa.RecordBatch | None:
+        tokens, pairs, sizes = (np.concatenate(x) for x in zip(*map(_grams, texts), strict=True))
+        counted = np.repeat(np.concatenate(learn), sizes)
+        columns, full = [], np.zeros(slices, bool)
+        for h in (tokens, pairs):
+            found, where = np.unique(h, return_inverse=True)
+            cut, grams, counts = _packed(found, np.bincount(where, counted, len(found)), slices)
+            full |= np.diff(cut) > 0
+            columns += [grams, counts]
+        at = np.flatnonzero(full)
+        picked = [pa.array([c[i] for i in at], pa.binary()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.full(len(at), block), pa.int64()), *picked], [f.split()[0] for f in SENT.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, learn = None, [], []
         for batch in batches:
-            gram = batch.column("gram").to_numpy().view(np.uint64)
-            level = _levels(batch.column("n").to_numpy())
-            owner = (gram >> np.uint64(56)).astype(np.int64)
-            for piece in np.unique(owner):
-                if piece != now:
-                    if now is not None:
-                        yield done()
-                    now, part = int(piece), np.zeros(width, bool)
-                here = owner == piece
-                g, q = gram[here], level[here]
-                for j in range(1, int(q.max()) + 1):
-                    held = g[q >= j]
-                    for place in _places(held, j, bits):
-                        part[(place - np.uint64(now * width)).astype(np.int64)] = True
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b == a:
+                    continue
+                if now is not None and block[a] != now:
+                    yield sent(now, texts, learn)
+                    texts, learn = [], []
+                now = int(block[a])
+                texts.append(batch.column("text").slice(a, b - a))
+                learn.append(batch.column("learn").slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.float64))
         if now is not None:
-            yield done()
+            yield sent(now, texts, learn)
 
     return run
 
 
-def probe(filter_bits: np.ndarray, bits: int, gram: np.ndarray) -> np.ndarray:
-    """The quantised counts of n-grams: 0, or the last level up to which all probes succeed."""
-    level = np.zeros(len(gram), np.int64)
+def _levels(n: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
+
+
+def _places(gram: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+    """HASHES places of (gram, level) inside a slice of so many bits."""
+    h = mix(gram + np.array(level, np.uint64) * _STEP)
+    step = mix(h) | np.uint64(1)
+    for _ in range(HASHES):
+        yield (h % np.uint64(bits)).astype(np.int64)
+        h = h + step
+
+
+def build_slice(gram: np.ndarray, n: np.ndarray, bits: int = BITS_PER_ENTRY) -> tuple[np.ndarray, int]:
+    """The bits of a slice, packed, and its entries. gram, n: different n-grams with counts of 1 or more."""
+    level = _levels(n) if len(n) else np.zeros(0, np.int64)
+    entries = int(level.sum())
+    held = np.zeros(max(64, -(-bits * entries // 64) * 64), bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for place in _places(gram[level >= j], j, len(held)):
+            held[place] = True
+    return np.packbits(held, bitorder="little"), entries
+
+
+def probe(held: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The quantised counts of n-grams in their slice: 0, or the last level up to which all probes succeed."""
+    level = np.zeros(len(gram), np.uint8)
     alive = np.arange(len(gram))
     j = 1
     while len(alive) and j < 64:
         ok = np.ones(len(alive), bool)
-        for place in _places(gram[alive], j, bits):
-            ok &= (filter_bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        for place in _places(gram[alive], j, 8 * len(held)):
+            ok &= (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
         alive = alive[ok]
         level[alive] = j
         j += 1
     return level
 
 
+def _slice(slices: int, bits: int):
+    """Sums, sets and probes one slice; answers each block, and tells the slice's bits and totals (block null)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("slice")[0].as_py()
+        block = table.column("block").to_numpy()
+        names, back = np.unique(block, return_inverse=True)
+        parts, answers = [], []
+        for kind in ("words", "pairs"):
+            grams = [_unpacked(x.as_py(), number, slices) for x in table.column(kind)]
+            counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(f"{kind}_n")])
+            size = np.array([len(g) for g in grams])
+            every = np.concatenate(grams)
+            found, where = np.unique(every, return_inverse=True)
+            n = np.rint(np.bincount(where, counts, len(found))).astype(np.int64)
+            parts.append((found, n))
+            # a block may come in two parts, from two tasks: its answer is for their union, in order
+            order = np.lexsort((where, np.repeat(back, size)))
+            w, of = where[order], np.repeat(back, size)[order]
+            new = np.ones(len(w), bool)
+            new[1:] = (w[1:] != w[:-1]) | (of[1:] != of[:-1])
+            answers.append((w[new], np.append(0, np.cumsum(np.bincount(of[new], minlength=len(names))))))
+        seen = [(g[n > 0], n[n > 0]) for g, n in parts]
+        held, entries = build_slice(*(np.concatenate(x) for x in zip(*seen, strict=True)), bits)
+        level = [probe(held, g) for g, _ in parts]
+        out: dict[str, list] = {"words_n": [], "words_level": [], "pairs_level": []}
+        for i in range(len(names)):
+            w, p = (at[cut[i] : cut[i + 1]] for at, cut in answers)
+            out["words_n"].append(parts[0][1][w].astype("<i8").tobytes())
+            out["words_level"].append(level[0][w].tobytes())
+            out["pairs_level"].append(level[1][p].tobytes())
+        rows = len(names)
+        columns = [
+            pa.array([number] * (rows + 1), pa.int64()),
+            pa.array([*names.tolist(), None], pa.int64()),
+            *[pa.array([*out[c], None], pa.binary()) for c in out],
+            pa.array([None] * rows + [held.tobytes()], pa.binary()),
+            *[pa.array([None] * rows + [v], pa.int64()) for v in (int(parts[0][1].sum()), int((parts[0][1] > 0).sum()), entries)],
+        ]
+        return pa.Table.from_arrays(columns, [f.split()[0] for f in PROBED.split(", ")])
+
+    return run
+
+
 def _middle(level: np.ndarray) -> np.ndarray:
     """The count that a level stands for: the geometric middle of its range; 0 for level 0, 1 for level 1."""
+    level = level.astype(np.float64)
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, BASE ** (level - 0.5)))
 
 
-class Model:
-    """What the workers get: the filter and the corpus's totals, all of bounded size."""
-
-    def __init__(self, data: bytes, bits: int, tokens: int, vocabulary: int, entries: int) -> None:
-        self.data, self.bits, self.tokens, self.vocabulary, self.entries = data, bits, tokens, vocabulary, entries
+def _score(total: int, vocabulary: int):
+    """Scores the texts of one block, with the answers of all slices."""
 
-    @property
-    def false_positive_rate(self) -> float:
-        return (1 - math.exp(-HASHES * self.entries / self.bits)) ** HASHES if self.entries else 0.0
-
-    def log10(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token."""
-        held = np.frombuffer(self.data, np.uint8)
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, pairs, sizes = _grams(texts.column("text").combine_chunks())
         word, back = np.unique(tokens, return_inverse=True)
-        count = _middle(probe(held, self.bits, word))
-        alone = (count + 1) / (self.tokens + self.vocabulary + 1)
-        pair, where = np.unique(pair_hashes(tokens, starts), return_inverse=True)
-        together = _middle(probe(held, self.bits, pair))[where]
+        pair, where = np.unique(pairs, return_inverse=True)
+        answers = answers.sort_by("slice")
+        joined = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in answers.column(c)), kind)
+        n, level, together = joined("words_n", "<i8"), joined("words_level", np.uint8), joined("pairs_level", np.uint8)
+        if len(n) != len(word) or len(together) != len(pair):
+            raise ValueError("a block's n-grams and its answers differ")
+        count, both = _middle(level), _middle(together)[where]
+        alone = (count + 1) / (total + vocabulary + 1)
         before = np.empty(len(tokens), np.int64)
         before[1:] = back[:-1]
-        last = int(np.searchsorted(word, END))
-        before[starts[:-1]] = last
-        context = np.maximum(count[before], together)  # a context is at least as frequent as its pairs
-        return np.log10((together + KAPPA * alone[back]) / (context + KAPPA))
-
-
-def train(texts: DataFrame, most_bits: int = MOST_BITS) -> tuple[Model, DataFrame]:
-    """The model, and the table (gram, n) of exact word counts. texts: text."""
-    grams = texts.select("text").mapInArrow(_count, "order byte, gram long, n long").groupBy("order", "gram").agg(F.sum("n").alias("n"))
-    grams = materialize(grams, "grams")
-    level = F.lit(1) + F.floor(F.log("n") / math.log(BASE) + 1e-9)
-    sums = {r["order"]: r for r in grams.groupBy("order").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum(level).alias("entries")).collect()}
-    entries = sum(r["entries"] for r in sums.values())
-    bits = min(most_bits, max(SLICES * 64, 1 << (BITS_PER_ENTRY * entries).bit_length()))
-    sliced = grams.select(F.shiftrightunsigned("gram", 56).cast("int").alias("slice"), "gram", "n")
-    built = sliced.repartition("slice").sortWithinPartitions("slice").mapInArrow(_build(bits), "slice int, bits binary")
-    width = bits // SLICES // 8
-    data = bytearray(bits // 8)
-    for r in built.toLocalIterator():  # MOST_BITS bits in all
-        data[r["slice"] * width : (r["slice"] + 1) * width] = r["bits"]
-    one = sums.get(1)
-    return Model(bytes(data), bits, one["n"] if one else 0, one["kinds"] if one else 0, entries), grams.filter(F.col("order") == 1).select("gram", "n")
-
-
-def _common(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The words with the highest counts, at most `most`, as sorted hashes and counts, and the least count among them:
-    all words with that count or more are in it."""
-    by_level = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()  # 64 rows at most
-    total, least = 0, 1 << 62
-    for r in sorted(by_level, key=lambda r: -r["level"]):
-        total += r["words"]
-        if total > most:
-            break
-        least = 1 << r["level"]
-    t = counts.filter(F.col("n") >= least).toArrow()
-    gram, n = t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
-    order = np.argsort(gram)
-    return gram[order], n[order], least
-
-
-def _score(model: Broadcast, common: Broadcast):
-    """(doc_id, row, n_tokens, common_known, common_base, score, words, times): words are the rarer ones, with their numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        known, n, _ = common.value
-        logs = np.log10((n + 1) / (m.tokens + m.vocabulary + 1))
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for _, _, data, off in blocks(batch.column("text")):
-                tokens, starts = token_hashes(data, off)
-                owner = np.repeat(np.arange(len(off) - 1), np.diff(starts))
-                at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-                hit = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-                size = len(off) - 1
-                out[0].append(np.diff(starts))
-                out[1].append(np.bincount(owner[hit], minlength=size))
-                out[2].append(np.bincount(owner[hit], logs[at[hit]] if len(known) else None, size))
-                out[3].append(np.bincount(owner, m.log10(tokens, starts), size))
-                rest, of = tokens[~hit], owner[~hit]
-                order = np.lexsort((rest, of))
-                rest, of = rest[order], of[order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (of[1:] != of[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.concatenate((first, [len(rest)])))
-                cuts = np.searchsorted(of[first], np.arange(size + 1)).astype(np.int32)
-                out[4].append(pa.ListArray.from_arrays(cuts, pa.array(rest[first].view(np.int64))))
-                out[5].append(pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64))))
-            if out[0]:
-                flat = [pa.array(np.concatenate(x).astype(t)) for x, t in zip(out[:4], (np.int64, np.int64, np.float64, np.float64), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *flat, pa.concat_arrays(out[4]), pa.concat_arrays(out[5])], ["doc_id", "n_tokens", "common_known", "common_base", "score", "words", "times"])
+        before[np.cumsum(sizes) - sizes] = int(np.searchsorted(word, END))
+        context = np.maximum(count[before], both)  # a context is at least as frequent as its pairs
+        score = np.log10((both + KAPPA * alone[back]) / (context + KAPPA))
+        base = np.log10((n + 1) / (total + vocabulary + 1))[back]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda x: pa.array(np.bincount(owner, x, len(sizes)))
+        known = pa.array(np.bincount(owner[n[back] > 0], minlength=len(sizes)).astype(np.int64))
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(sizes.astype(np.int64)), known, sums(base), sums(score)], [f.split()[0] for f in SCORED.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, training: DataFrame, most_bits: int = MOST_BITS, common_words: int = COMMON_WORDS) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score. training: text."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, counts = train(training, most_bits)
-    common = _common(counts, common_words)
-    least = common[2]
-    shared = sc.broadcast(model), sc.broadcast(common)
-    scored = rows.mapInArrow(_score(*shared), "doc_id long, n_tokens long, common_known long, common_base double, score double, words array<long>, times array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rarer = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("gram"), F.col("x.times").alias("times"))
-    # no word here is frequent: the frequent ones are in the broadcast table
-    met = rarer.join(counts.filter(F.col("n") < least), "gram", "left")
-    unknown = math.log10(1 / (model.tokens + model.vocabulary + 1))
-    log = F.when(F.col("n").isNotNull(), F.log10((F.col("n") + 1) / F.lit(float(model.tokens + model.vocabulary + 1)))).otherwise(F.lit(unknown))
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(log * F.col("times")).alias("rare_base"))
-    out = scored.drop("words", "times").join(sums, "row", "left")
-    return out.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("common_base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+def probed(rows: DataFrame, slices: int, bits: int = BITS_PER_ENTRY) -> DataFrame:
+    """The filter's slices (block null: slice, bits, tokens, kinds, entries) and their answers to every block.
+    rows: learn, text, block."""
+    sent = rows.select("learn", "text", "block").mapInArrow(_send(slices), SENT)
+    return materialize(sent.groupBy("slice").applyInArrow(_slice(slices, bits), PROBED), "probed")
+
+
+def score(docs: DataFrame, learn: Column, bits: int = BITS_PER_ENTRY, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score. learn: which rows are training texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), text.alias("text"))
+    rows = materialize(rows.mapInArrow(_assign(block_bytes), "doc_id long, learn boolean, text string, block long"), "blocks")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = 1 << max(0, (size // slice_bytes).bit_length())
+    found = probed(rows, slices, bits)
+    total, vocabulary = found.filter("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    answers = found.filter("block IS NOT NULL").select("block", "slice", "words_n", "words_level", "pairs_level")
+    scored = rows.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(total, vocabulary), SCORED)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_all(docs: DataFrame) -> DataFrame:
     """score() of all docs, learnt from those that aren't held out, with held_out."""
-    training = docs.filter(~held_out(F.col("doc_id").cast("long"))).select(F.col("text").cast("string").alias("text"))
-    out = score(docs, training)
+    out = score(docs, ~held_out(F.col("doc_id").cast("long")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
