@@ -15,8 +15,10 @@ Copies: each document's rate and a hash of its doc_id give the level at which it
 next copy. Per source one level is chosen so that the copies' tokens come nearest to
 the target from below, by two rounds of histograms of levels. Nothing is random: reruns agree.
 
-Null texts have size 0 and copies 0. Rows with a null doc_id and repeated rows are documents too.
-Empty tables give empty results. Of other columns only source is read.
+Null and empty texts have size 0 and copies 0; texts of any length are counted whole. Rows with a null doc_id and
+repeated rows are documents of their own: equal rows have one rate, and of those that differ in their last copy it isn't
+told which is which. Empty tables give empty results. Of other columns only source is read; take() keeps them, whatever
+their names, but for its own two, copies and taken.
 """
 
 from __future__ import annotations
@@ -128,31 +130,38 @@ def _fitted(placed: DataFrame, n: int, most: int) -> DataFrame:
     return placed.join(small, "uid", "left").withColumn("copies", F.col("copies") + F.coalesce("step", F.lit(0))).drop("step")
 
 
-def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """docs that the mix takes, with copies and taken. Rows of one doc_id and size are taken alike."""
-    found = mix(docs, weights, budget, most).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "taken").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (text_size(F.col("text").cast("string")) == F.col("_size"))
-    return docs.drop("copies", "taken").join(found, same).drop("_id", "_source", "_size")
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size"))
-    rows = materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "sizes")
+def _placed(rows: DataFrame, weights: tuple[float, ...], budget: float, most: int) -> DataFrame:
+    """uid, doc_id, source, size, source_size, target, rate, copies, taken of every row. rows (a written table): uid, doc_id, source, size."""
     sizes = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "counts")
     duals = materialize(balance(sizes, source_targets(sizes, weights, budget, most), most), "balanced")
     n = duals.count()
-    rated = join_dimension(rows, duals, "source", spread=F.xxhash64("doc_id"), rows=n)
+    rated = join_dimension(rows, duals, "source", spread=F.xxhash64("uid"), rows=n)
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("lam").isNull(), float(most)).otherwise(_tilted(F.col("size") / F.col("mean"), most))
     rated = rated.withColumn("rate", rate).withColumn("chance", F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52)))
     # copy c (1 .. most) comes at the level c - 1 + chance - rate, scaled from (-most, most] to (0, 1]
     step = lambda c: (c - F.lit(1.0) + F.col("chance") - F.col("rate") + most) / (2.0 * most)
     steps = rated.filter("size > 0 AND lam IS NOT NULL").select("source", "size", F.explode(F.array(*[step(F.lit(float(c))) for c in range(1, most + 1)])).alias("step"))
     levels = _chosen_level(steps, duals, n)
-    placed = join_dimension(rated, levels, "source", spread=F.xxhash64("doc_id"), rows=n)
+    placed = join_dimension(rated, levels, "source", spread=F.xxhash64("uid"), rows=n)
     copies = sum(((step(F.lit(float(c))) < F.col("level")).cast("int") for c in range(1, most + 1)), F.lit(0))
     copies = F.when(F.col("size") == 0, 0).when(F.col("lam").isNull(), most).otherwise(copies)
     out = placed.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("level")
     for _ in range(FITTED):
         out = _fitted(materialize(out, "copies"), n, most)
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select("uid", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _rows(docs: DataFrame) -> list[Column]:
+    return [F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_size(F.col("text").cast("string")).alias("size")]
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken of every row."""
+    return _placed(materialize(docs.select(*_rows(docs)), "sizes"), weights, budget, most).drop("uid")
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """docs that the mix takes, with copies and taken. Rows are written once with a number each, by which their copies come back."""
+    rows = materialize(docs.select(F.struct(*[c for c in docs.columns if c not in ("copies", "taken")]).alias("row"), *_rows(docs)), "numbered")
+    found = _placed(rows.select("uid", "doc_id", "source", "size"), weights, budget, most).filter("copies > 0")
+    return rows.select("uid", "row").join(found.select("uid", "copies", "taken"), "uid").select("row.*", "copies", "taken")
