@@ -5,11 +5,15 @@ compressed with both; the normalised difference of the sizes says which of the t
 resembles, and a logistic curve fitted to the labels makes it a probability. Labels, lang,
 source and doc_id are never inputs of a score.
 
-Fitting: from the training rows SAMPLE_DOCS texts of each label at most, the first by a hash
-of doc_id, in pieces of at most PIECE_BYTES. Half of them make the dictionaries, the other half
+Fitting: of the training rows a sample of whole texts for each label: the first by a hash of
+doc_id, SAMPLE_DOCS at most, as many as stay within SAMPLE_BYTES together (a text that is
+longer than the room left is passed over). Half of them make the dictionaries, the other half
 the curve, so that the curve sees texts that the dictionaries don't hold. Scoring: every
 whole text. Null and empty texts get the score of the difference 0. With no labels, or of one
 kind only, all scores are the share of label 1 among the training rows, 0.5 without any.
+Rows with a null doc_id aren't held out and have no label; repeated rows are each scored, and of
+rows that share a doc_id the least text is learnt from; equal hashes are in order of doc_id.
+Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The bound of the fit's sample, per label; pieces of a text; size of each dictionary; zstandard's level.
+#: The bounds of the fit's sample, per label; size of each dictionary; zstandard's level.
 SAMPLE_DOCS = 3000
-PIECE_BYTES = 8192
-PIECES = 2
+SAMPLE_BYTES = 32 << 20
 DICT_BYTES = 112_640
 LEVEL = 3
 
@@ -58,19 +61,28 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1] / scale)
 
 
-def _sample(docs: DataFrame, marks: DataFrame, label: int) -> list[bytes]:
-    """At most SAMPLE_DOCS texts of a label; of a long text a piece of its head and one of its middle."""
+def _sample(docs: DataFrame, marks: DataFrame, label: int, most_docs: int, most_bytes: int) -> list[bytes]:
+    """Whole texts of a label within the bounds, in order of the hash. Sizes are looked at before any text is."""
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    picked = marks.filter(F.col("label") == label).select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE_DOCS)
+    picked = marks.filter(F.col("label") == label).select("doc_id").distinct().orderBy(order, "doc_id").limit(most_docs)
     rows = docs.join(F.broadcast(picked), "doc_id").filter("text != ''")
-    middle = F.when(F.octet_length("text") > 2 * PIECE_BYTES, F.expr(f"substring(text, length(text) div 2, {PIECE_BYTES})"))
-    cut = rows.select(order.alias("at"), "doc_id", F.substring("text", 1, PIECE_BYTES).alias("head"), middle.alias("middle")).collect()
-    return [b"\0".join(x.encode() for x in r[2:] if x)[: PIECES * PIECE_BYTES] for r in sorted(cut, key=lambda r: tuple(x or "" for x in (str(r[0]), str(r[1]), *r[2:])))][: 2 * SAMPLE_DOCS]
-
-
-def fit(docs: DataFrame, marks: DataFrame) -> dict:
+    sizes = rows.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("bytes")).select("doc_id", order.alias("at"), "bytes").collect()  # most_docs rows at most
+    room, kept = most_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"])):
+        if r["bytes"] <= room:
+            room -= r["bytes"]
+            kept.append(r["doc_id"])
+    if not kept:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "doc_id long")
+    texts = docs.join(F.broadcast(ids), "doc_id").filter("text != ''").groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # most_bytes at most
+    at = {i: k for k, i in enumerate(kept)}
+    return [r["text"].encode() for r in sorted(texts, key=lambda r: at[r["doc_id"]])]
+
+
+def fit(docs: DataFrame, marks: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict:
     """docs: doc_id, text. marks: doc_id, label (0 or 1) of the rows to learn from. The model's size is bounded."""
-    good, bad = (_sample(docs, marks, k) for k in (1, 0))
+    good, bad = (_sample(docs, marks, k, most_docs, most_bytes) for k in (1, 0))
     if min(len(good), len(bad)) < 2:
         share = (len(good) + 1) / (len(good) + len(bad) + 2) if good or bad else 0.5
         return {"good": None, "bad": None, "curve": (math.log(share / (1 - share)), 0.0)}
