@@ -7,19 +7,24 @@ picks its own l: the higher the estimated cost of its candidates (the sum of the
 frequencies of its prefix tokens), the longer its prefix, and the more shared tokens a
 pair must show before it is verified. A pair is held to the smaller l of its two.
 
-1. Equal sets are one class; one document stands for it.
+1. Equal sets (by 128 bits of hashes) are one class; one number stands for it.
 2. Under the order of hash values, prefixes of all documents for l = SIEVE_SHARED give token
    frequencies. A document without l tokens that another one has too cannot link: it is done.
-3. The rest get exact frequencies among themselves and the order rare-first.
+3. The rest get exact frequencies among themselves, the order rare-first and their own l.
 4. Stars: of each prefix token's documents, the one with the fewest tokens of its own is
-   paired with all others; verified pairs become components.
-5. Only pairs of different components that meet at a token from which enough of both sets is
-   left, and share enough prefix tokens, are then tried; a pair inside a component can change
-   nothing. So a group of copies costs about its
-   own size, and every link that joins components is found.
-
-Nulls and texts without words have empty sets and link with nothing. Rows with a null
-doc_id stay, without linking. Repeated rows are each returned. Other columns are ignored.
+   paired with all others. Pairs that meet at l tokens or more are verified and become components.
+5. All pairs of different components that meet at l prefix tokens or more are then verified; a
+   pair inside a component can change nothing. So a group of copies costs about its own size,
+   and every link that joins components is found. Sets are fetched for pairs that pass only.
+
+Tokens that very many documents have are known before anything gathers by token: a table of
+counts by the tokens' upper bits finds them. Their rows are counted by aggregation, and
+pairs at such a token are made in blocks of documents, one block against one other a task.
+
+Nulls and texts without words have empty sets and link with nothing; they take no part in any
+shuffle by set. Texts of any length are whole. Rows with a null doc_id stay, without linking.
+Repeated rows are each returned. Rows that share a doc_id share links: each is a row of its own, with
+its own set. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, join_counted, materialize, without
+from .common import BROADCAST_ROWS, FREQUENT, connected_components, join_counted, materialize, without
 from .textblocks import blocks, mix, shingle_sets
 
 #: Shared tokens that the first sieve asks for, where a set is large enough.
@@ -39,6 +44,10 @@ SIEVE_SHARED = 16
 #: The longest prefix asks for so many shared tokens; a candidate cost of 2^j - 1 times COST_UNIT asks for j + 1.
 MOST_SHARED = 8
 COST_UNIT = 4.0
+#: A token is hot from so many rows on, and from 1 / FREQUENT of all rows on.
+HOT_ROWS = 1000
+#: Documents of one block of a hot token.
+BLOCK_DOCS = 500
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -74,7 +83,7 @@ def _prefixes(k: int, num: int):
         seen: set[tuple[int, int]] = set()  # equal sets in one task give their tokens once
         for batch in batches:
             for _, _, data, off in blocks(batch.column("text")):
-                tokens, owners, shared = [], [], []
+                tokens, owners, others, shared = [], [], [], []
                 for v in shingle_sets(data, off, k):
                     n = len(v)
                     if not n or (d := _digest(v)) in seen:
@@ -85,9 +94,10 @@ def _prefixes(k: int, num: int):
                     take = n - least + ask
                     tokens.append(v[:take])
                     owners.append(np.full(take, d[0], np.int64))  # the set's digest: any copy speaks for all
+                    others.append(np.full(take, d[1], np.int64))
                     shared.append(np.full(take, ask, np.int8))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, shared)], ["token", "c1", "ask"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(tokens).view(np.int64)], owners, others, shared)], ["token", "c1", "c2", "ask"])
 
     return run
 
@@ -95,13 +105,13 @@ def _prefixes(k: int, num: int):
 def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = list(zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), strict=True))
+            want = list(zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), batch.column("node").to_pylist(), strict=True))
             for a, _, data, off in blocks(batch.column("text")):
                 tokens, owners, sizes = [], [], []
                 for i, v in enumerate(shingle_sets(data, off, k), a):
-                    if len(v) and _digest(v) == want[i]:
+                    if len(v) and _digest(v) == want[i][:2]:
                         tokens.append(v)
-                        owners.append(np.full(len(v), want[i][0], np.int64))
+                        owners.append(np.full(len(v), want[i][2], np.int64))
                         sizes.append(np.full(len(v), len(v), np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["token", "node", "n"])
@@ -109,11 +119,28 @@ def _tokens(k: int):
     return run
 
 
-def _shared(tokens: DataFrame, owner: str) -> DataFrame:
-    """The tokens that two owners or more have, with their number; repeats of an owner's token go."""
-    before = F.lag(owner).over(Window.partitionBy("token").orderBy(owner))
-    once = tokens.withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != F.col(owner))).drop("before")
-    return once.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+def _hot_tokens(tokens: DataFrame, total: int) -> DataFrame:
+    """The tokens with over total / FREQUENT rows (and HOT_ROWS): fewer than FREQUENT. tokens: a written table."""
+    limit = max(total / FREQUENT, float(HOT_ROWS))
+    part = F.shiftrightunsigned("token", 48)
+    parts = tokens.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).select("part")
+    inside = tokens.join(F.broadcast(parts), part == F.col("part"), "left_semi")  # as few parts as hot tokens can be
+    return materialize(inside.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).select("token"), "hot")
+
+
+def _shared(tokens: DataFrame, owner: list[str], tag: str) -> DataFrame:
+    """The tokens that two owners or more have, with their number (df); repeats of an owner's token go."""
+    tokens = materialize(tokens, tag)
+    hot = F.broadcast(_hot_tokens(tokens, tokens.count()))
+    who = F.struct(*owner)
+    before = F.lag(who).over(Window.partitionBy("token").orderBy(*owner))
+    cold = tokens.join(hot, "token", "left_anti").repartition("token").withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != who)).drop("before")
+    cold = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    rest = [c for c in tokens.columns if c not in ("token", *owner)]
+    once = tokens.join(hot, "token").groupBy("token", *owner).agg(*[F.max(c).alias(c) for c in rest])
+    once = materialize(once, f"{tag}-hot")
+    df = once.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    return cold.unionByName(once.join(F.broadcast(df), "token").select(*tokens.columns, "df"))
 
 
 def _asked(cost: Column, least: Column) -> Column:
@@ -122,15 +149,41 @@ def _asked(cost: Column, least: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) that link. A pair must share the smaller l of its two among its prefixes before its
-    sets are compared. Only tokens that two documents have can be in an overlap."""
-    sets = nodes.select("node", "n", "l", F.expr("n - least + l - own").alias("k"), F.transform("found", lambda x: x["token"]).alias("set"))
-    both = pairs.join(sets.toDF("a", "n_a", "l_a", "k_a", "set_a"), "a").join(sets.toDF("b", "n_b", "l_b", "k_b", "set_b"), "b")
-    both = both.filter("size(array_intersect(slice(set_a, 1, k_a), slice(set_b, 1, k_b))) >= least(l_a, l_b)")
+    """The pairs (a, b) that link. Only tokens that two documents have can be in an overlap."""
+    sets = nodes.select("node", "n", F.transform("found", lambda x: x["token"]).alias("set"))
+    both = pairs.select("a", "b").join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
     both = both.withColumn("i", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(F.expr(f"100 * i >= {num} * (n_a + n_b - i)")).select("a", "b")
 
 
+def _counted(met: DataFrame, num: int) -> DataFrame:
+    """The pairs that share enough prefix tokens, from a row for each token at which a pair meets (a, b, and n, pos, l of
+    both). A pair's first shared token stands in both shortest prefixes and has the needed overlap behind it."""
+    need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
+    fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
+    reach = f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}"  # more than that they can't share
+    first = F.max(F.expr(f"least(n_a - pos_a, n_b - pos_b) - {need}"))
+    many = met.filter(f"{fits} AND {reach}").groupBy("a", "b", F.expr("least(l_a, l_b)").alias("l")).agg(F.count(F.lit(1)).alias("met"), first.alias("room"))
+    return many.filter("met >= l AND room >= 0").select("a", "b")
+
+
+def _mixed_pairs(placed: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row for each token and pair of different components that meet there. placed: token, node, n, pos, l, component;
+    hot: token, docs. A hot token's documents are dealt into blocks, and each task gets two blocks."""
+    columns = ("node", "n", "pos", "l", "component")
+    sides = [placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
+    other = "node_a < node_b AND component_a != component_b"
+    cold = [s.join(F.broadcast(hot), "token", "left_anti") for s in sides]
+    cold = cold[0].join(cold[1], "token").filter(other)
+    number = F.ceil(F.col("docs") / F.lit(float(BLOCK_DOCS))).cast("int")
+    dealt = [s.join(F.broadcast(hot), "token").withColumn("parts", number).withColumn("of", F.pmod(F.xxhash64(f"node_{x}"), F.col("parts")).cast("int")) for s, x in zip(sides, "ab", strict=True)]
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = dealt[0].withColumn("part_b", every).withColumnRenamed("of", "part_a").drop("docs", "parts")
+    right = dealt[1].withColumn("part_a", every).withColumnRenamed("of", "part_b").drop("docs", "parts")
+    met = cold.unionByName(left.join(right, ["token", "part_a", "part_b"]).filter(other).drop("part_a", "part_b"))
+    return met.withColumnsRenamed({"node_a": "a", "node_b": "b"})
+
+
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
@@ -140,51 +193,51 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = materialize(docs.mapInArrow(_info(k), "doc_id long, n long, c1 long, c2 long"), "sets")
     total = info.count()
-    named = docs.filter("doc_id IS NOT NULL")
-    classes = materialize(info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    classes = info.filter("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     least_n = F.expr(f"CAST(({num} * n + 99) DIV 100 AS INT)")
-    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, c1 long, ask byte").repartition("token"), "c1")
-    by_class = found.groupBy("c1", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
-    alive = materialize(classes.join(by_class.select("c1").distinct(), "c1", "left_semi").select("doc_id", "c1", "c2"), "alive")
+    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, c1 long, c2 long, ask byte"), ["c1", "c2"], "sieve")
+    by_class = found.groupBy("c1", "c2", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
+    alive = materialize(classes.join(by_class.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi").select("doc_id", "c1", "c2", "node"), "alive")
 
     tokens = named.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "doc_id").mapInArrow(_tokens(k), "token long, node long, n int")
-    nodes = _shared(tokens.repartition("token"), "node").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+    nodes = _shared(tokens, ["node"], "tokens").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     nodes = nodes.withColumn("own", F.col("n") - F.size("found")).withColumn("least", least_n)
     nodes = nodes.filter("n - least + 1 > own")  # else its prefix has no token that another document has
     cost = F.aggregate(F.slice("found", F.lit(1), F.expr("n - least + 1 - own")), F.lit(0.0), lambda s, x: s + x["df"] - F.lit(1.0))
     nodes = materialize(nodes.withColumn("l", _asked(cost, F.col("least"))), "nodes")
 
-    # two linked sets meet at the first token that they share, which stands in both shortest prefixes
-    prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
-    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
-    need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
-    fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-
-    hub = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos")).over(Window.partitionBy("token"))
-    star = prefix.withColumn("hub", hub).filter("hub.node != node").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("p_b"))
-    star = star.filter(f"{fits} AND least(n_a - p_a, n_b - p_b) >= {need}").select("a", "b").distinct()
-    near = materialize(connected_components(_verified(star, nodes, num)), "stars")
-
-    placed = prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = Window.partitionBy("token")
-    placed = placed.withColumn("lo", F.min("component").over(mixed)).withColumn("hi", F.max("component").over(mixed)).filter("lo != hi").drop("lo", "hi", "own")
-    sides = [placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "component")]) for s in "ab"]
-    met = sides[0].join(sides[1], "token").filter(f"node_a < node_b AND component_a != component_b AND {fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}")
-    met = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = _verified(met, nodes, num)
+    prefix = nodes.select("node", "n", "own", "l", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + l - own"))).alias("at", "x"))
+    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", "l", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
+    hub = prefix.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos", "l")).alias("hub"), F.count(F.lit(1)).alias("docs"))
+    hub = materialize(hub, "hubs")
+    star = join_counted(prefix, hub, ["token"], "docs", prefix.count(), "inner").filter("hub.node != node")
+    ends = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
+    star = star.select(*ends, *[F.col(c).alias(f"{c}_a") for c in ("n", "pos", "l")], *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("n", "pos", "l")])
+    near = materialize(connected_components(_verified(_counted(star, num), nodes, num)), "stars")
+
+    placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo != hi").select("token", "docs")
+    mixed = materialize(mixed, "mixed")
+    placed = join_counted(placed, mixed, ["token"], "docs", placed.count(), "inner").drop("docs")
+    hot = materialize(mixed.filter(F.col("docs") > F.lit(float(HOT_ROWS))), "hot-mixed")
+    rest = _verified(_counted(_mixed_pairs(materialize(placed, "meeting"), hot), num), nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
     rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     wider = materialize(connected_components(rest), "links")
 
     comp = near.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
-    comp = comp.unionByName(wider.join(near.select("node"), "node", "left_anti")).withColumnRenamed("node", "c1")
-    grouped = classes.join(comp, "c1", "left").filter("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "c1"))
+    comp = comp.unionByName(wider.join(near.select("node"), "node", "left_anti"))
+    grouped = classes.join(comp, "node", "left").filter("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "node"))
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_by = grouped.join(first, "component").select("c1", "c2", "copies", "component_id")
-    out = join_counted(info, materialize(named_by, "components"), ["c1", "c2"], "copies", total)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    out = join_counted(info.filter(linked), materialize(named_by, "components"), ["c1", "c2"], "copies", total)
+    out = out.select("doc_id", "n", "component_id").unionByName(info.filter(~linked).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -89,6 +89,38 @@ def test_mix(spark, rows, docs, odd, none):
     assert set(source_mix.take(odd).columns) >= {"doc_id", "text", "copies", "taken"}
 
 
+def test_take_gives_each_row_its_own_copies(spark, odd, none):
+    r = random.Random(6)
+    data = [(i // 3, "same words " * (4 + i // 3 % 5), f"s{i % 4}" if i % 9 else None) for i in range(120)] + [(None, "no id at all", "s1")] * 5
+    d = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("uid", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("copies", F.lit(-1))
+    key = lambda x: (str(x["doc_id"]), str(x["source"]), x["size"], x["copies"], x["taken"])
+    want = sorted(map(key, source_mix.mix(d).filter("copies > 0").collect()))
+    taken = source_mix.take(d).withColumn("size", source_mix.text_size(F.col("text")))
+    assert sorted(map(key, taken.collect())) == want and set(taken.columns) == {"doc_id", "text", "source", "uid", "row", "copies", "taken", "size"}
+    assert source_mix.take(none).count() == 0 and source_mix.take(odd).select("n", "size").distinct().collect()[0]["n"] == "clash"
+
+
+def test_mix_rates_are_entropy_balanced(spark):
+    """Rates min(2, exp(lambda * size / mean)) with the lambda that a plain bisection finds."""
+    import math
+
+    r = random.Random(3)
+    data = [(i, "w " * r.randrange(1, 60), f"s{i % 5}") for i in range(400)]
+    out = source_mix.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    for s in {x["source"] for x in out}:
+        rows = [x for x in out if x["source"] == s]
+        mean, target = sum(x["size"] for x in rows) / len(rows), rows[0]["target"]
+        rate = lambda lam, n: min(2.0, math.exp(lam * n / mean))  # noqa: B023, E731
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(x["size"] * rate(mid, x["size"]) for x in rows) < target else (low, mid)
+        full = target >= 2 * rows[0]["source_size"] * (1 - 1e-12)
+        assert all(x["rate"] == pytest.approx(2.0 if full else rate(low, x["size"]), rel=1e-4) for x in rows)
+        assert all(abs(x["copies"] - x["rate"]) <= 1.05 for x in rows)
+        assert sum(x["taken"] for x in rows) == pytest.approx(target, abs=60)
+
+
 def test_mix_query(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = registry.op1_source_mix(spark, str(tmp_path))
@@ -171,6 +203,39 @@ def test_ngram_join_copies_in_any_order(spark):
     assert {x["doc_id"] for x in ngram_join.keep_one(d, 4, 85).collect()} == {3, 13, 23, 33, *range(100, 105)}
 
 
+@pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 2, 60)])
+def test_ngram_join_hot_tokens(spark, monkeypatch, seed, k, percent):
+    """Shuffled equal and near-equal sets that share a passage, with tokens that count as hot from a few rows on."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(12)]
+    data = []
+    for g in range(30):
+        base = [f"g{g}w{r.randrange(40)}" for _ in range(r.randrange(5, 40))] + passage
+        for _ in range(r.randrange(1, 6)):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"x{r.randrange(5)}"
+            data.append(" ".join(w))
+    data += ["", None, "one two"] * 4
+    r.shuffle(data)
+    rows = list(enumerate(data))
+    r.shuffle(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {i: x["component_id"] for i, x in by_id(ngram_join.link_components(d, k, percent)).items()} == brute.components(rows, k, percent)
+
+
+def test_ngram_join_repeated_ids_and_clashing_columns(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    near = a.replace("a7 ", "other ")
+    d = spark.createDataFrame([(4, a), (4, b), (9, near), (2, b), (2, None)], "doc_id long, text string")
+    for c in ("n", "token", "node", "a", "b", "component", "c1", "l"):
+        d = d.withColumn(c, F.lit("clash"))
+    out = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.link_components(d, 4, 80).collect())
+    assert out == [(2, 0, 2), (2, 47, 2), (4, 47, 2), (4, 47, 4), (9, 47, 4)]
+
+
 def test_classifier(spark, none):
     r = random.Random(1)
     data, marks = [], []
@@ -186,6 +251,34 @@ def test_classifier(spark, none):
     assert len(held) > 80 and sum(x["predicted"] == dict(marks)[x["doc_id"]] for x in held) / len(held) > 0.95
     assert compression_classifier.classify(none, m).count() == 0
     assert {x["score"] for x in compression_classifier.classify(d, m.filter("false")).collect()} == {0.5}
+    assert {x["score"] for x in compression_classifier.classify(d.withColumn("label", F.lit("x")).unionByName(d, True), m.withColumn("text", F.lit(1))).filter("doc_id = 7").collect()} == {x["score"] for x in out if x["doc_id"] == 7}
+
+
+def test_classifier_against_a_plain_one(spark):
+    """The same sample, dictionaries and curve without Spark; a text that is longer than the bound isn't learnt from."""
+    import zlib
+
+    r = random.Random(4)
+    data = [(i, " ".join(r.choice(["river", "stone", "garden"] if i % 2 else ["BUY", "now!!", "click"]) for _ in range(r.randrange(5, 300)))) for i in range(300)]
+    data[10] = (10, "river " * 40_000)
+    marks = [(i, i % 2) for i in range(300)]
+    d, m = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    learnt = m.filter(~compression_classifier.held_out(F.col("doc_id"))).withColumnRenamed("quality", "label")
+    at = {x["doc_id"]: x["h"] for x in d.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    texts = dict(data)
+    samples = []
+    for label in (1, 0):
+        ids = sorted((i for i, y in marks if y == label and zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: at[i])[:80]
+        room, kept = 20_000, []
+        for i in ids:
+            if len(texts[i]) <= room:
+                room -= len(texts[i])
+                kept.append(texts[i].encode())
+        samples.append(kept)
+    model = compression_classifier.fit(d, learnt, 80, 20_000)
+    plain = brute.compression_scores(samples, [t.encode() for _, t in data], compression_classifier.DICT_BYTES, compression_classifier.LEVEL, sum(y for i, y in marks if zlib.crc32(str(i).encode()) % 3 != 1) / sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in marks))
+    got = {x["doc_id"]: x["score"] for x in compression_classifier.score(d, model).collect()}
+    assert [got[i] for i, _ in data] == pytest.approx(plain, abs=1e-6)
 
 
 def test_suffix_dedup(spark, rows, docs, odd, none, monkeypatch):
@@ -286,6 +379,17 @@ def test_chat(spark):
     assert chat_rotation.rotate(d.filter("false")).count() == 0
 
 
+def test_chat_far_turns_and_long_conversations(spark):
+    turns = [-(1 << 63), -5, 0, 7, (1 << 62) + 1, (1 << 63) - 1]
+    data = [(c, t, f"p{(c + k) % 3}", f"text {c} {t}") for c in range(3) for k, t in enumerate(turns)] + [(9, t, f"q{t % 4}", f"x{t}") for t in range(200)]
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    key = lambda x: tuple(x.asDict().values())
+    plain, dealt = (sorted(map(str, map(key, chat_rotation.rotate(d, n).collect()))) for n in (1000, 20))  # the second deals conversation 9 out
+    assert plain == dealt and len(plain) == 3 * 6 * 3 + 200 * 4
+    one = sorted((x["turn_order"], x["turn"]) for x in chat_rotation.rotate(d).filter("conv_id = 1 AND perspective = 'p1'").collect())
+    assert [t for _, t in one] == turns
+
+
 @pytest.mark.parametrize(("bits", "block", "cut"), [(12, 4 << 20, 8 << 20), (1024, 4 << 20, 8 << 20), (1024, 1 << 14, 1 << 13)])
 def test_language_model(spark, rows, docs, odd, none, bits, block, cut):
     """The last two have too many bits for a count to be read too high: scores are the plain model's."""
