@@ -14,13 +14,16 @@ previous factor has LENGTH bytes, and factors need to be known up to LENGTH only
    nearly everything. A task settles the repeats among its own rows before the shuffle and
    deals them out by a key of their own, so that no group of copies gathers in one task.
 3. For buckets with different stretches the suffixes of all their windows are sorted (to
-   LENGTH bytes), and the previous and next smaller positions in suffix order give each
+   LENGTH bytes), and the previous and next smaller positions in suffix order give the length of each
    window's longest previous factor. Buckets of over MOST_STRETCHES stretches are first split
    into buckets of single windows by content, again with the repeats of a task settled in it.
+   Anchors that very many stretches have are known before (a table of counts by the anchors'
+   upper bits): their stretches never meet by anchor, but by content at once.
 4. The copies' bytes are removed, document by document.
 
-Null texts are empty. Rows with a null doc_id come after all others. Rows with one doc_id are
-ordered by their text; repeated rows count as copies of the first. Other columns are ignored.
+Null texts are empty, texts of any length are whole. Rows with a null doc_id come after all others.
+Rows with one doc_id are ordered by a hash of their text, then the text; repeated rows count as copies of the
+first. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ from .textblocks import blocks, mix
 LENGTH = 100
 SEED = 32
 MOST_STRETCHES = 256
+#: An anchor is hot if its upper bits hold over 1 / HOT_ANCHORS of all stretches (and over MOST_STRETCHES).
+HOT_ANCHORS = 2000
 #: Windows that are sorted at once in step 3, at least (a bucket is never split).
 SORTED_AT_ONCE = 60_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -108,8 +113,32 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[
     return np.searchsorted(off, lo, "right") - 1, lo, hi, anchor, stretch
 
 
-def _first_scan(length: int):
-    """(bucket, stretch, doc, at, more, copy): a stretch's windows start at at .. at + more."""
+def _anchor_counts(length: int):
+    """(part, n): stretches of a task by the upper 16 bits of their anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for _, _, data, off in blocks(batch.column("text")):
+                n += np.bincount((stretches(data, off, length)[3] >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+        part = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], ["part", "n"])
+
+    return run
+
+
+def _hot_parts(rows: DataFrame, length: int) -> list[int]:
+    """The upper bits of hot anchors: fewer than HOT_ANCHORS values."""
+    parts = materialize(rows.select("text").mapInArrow(_anchor_counts(length), "part int, n long").groupBy("part").agg(F.sum("n").alias("n")), "anchors")
+    limit = max((parts.agg(F.sum("n")).first()[0] or 0) / HOT_ANCHORS, MOST_STRETCHES)
+    return [r[0] for r in parts.filter(F.col("n") > float(limit)).collect()]
+
+
+def _first_scan(length: int, hot: list[int]):
+    """(bucket, stretch, doc, at, more, copy, split): a stretch's windows start at at .. at + more. Those of hot anchors
+    have a bucket for each different stretch and are to be split."""
+    is_hot = np.zeros(1 << 16, bool)
+    is_hot[hot] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +154,12 @@ def _first_scan(length: int):
             anchor, stretch, doc, at, more = (x[order] for x in (anchor, stretch, doc, at, more))
             copy = np.zeros(len(at), bool)
             copy[1:] = (anchor[1:] == anchor[:-1]) & (stretch[1:] == stretch[:-1])
+            split = is_hot[(anchor >> np.uint64(48)).astype(np.int64)]
+            anchor = np.where(split, mix(_join(anchor, stretch)), anchor)
             # a copy meets nothing any more: its key is its own place
             own = mix(doc.astype(np.uint64) * _K1 + at.astype(np.uint64))
             anchor = np.where(copy, own, anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), stretch.view(np.int64), doc, at.astype(np.int32), more.astype(np.int16), copy)], ["bucket", "stretch", "doc", "at", "more", "copy"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), stretch.view(np.int64), doc, at.astype(np.int32), more.astype(np.int16), copy, split)], ["bucket", "stretch", "doc", "at", "more", "copy", "split"])
 
     return run
 
@@ -166,27 +197,42 @@ def _second_scan(length: int):
     return run
 
 
+def nearest_smaller(at: np.ndarray) -> np.ndarray:
+    """For each element the index of the nearest one before it that is smaller, or -1, by jumping from candidate to candidate."""
+    found = np.arange(-1, len(at) - 1)
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_ := open_[at[np.maximum(found[open_], 0)] >= at[open_]]):
+        found[open_] = found[found[open_]]  # all between are no smaller than the candidate, nor is it
+        open_ = open_[found[open_] >= 0]
+    return found
+
+
+def _common(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of rows a and rows b; 0 where b is -1."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 1 << 16):
+        i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+        other = rows[i] != rows[np.maximum(j, 0)]
+        out[k : k + (1 << 16)] = np.where(j < 0, 0, np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1]))
+    return out
+
+
 def previous_factors(windows: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Which suffixes, given by their first `length` bytes (rows of bytes), have a longest previous
-    factor of `length`: an equal row with a smaller place.
+    """The longest previous factors of suffixes, cut to `length`: how many of its first bytes also start at a smaller place.
+    windows: the suffixes' first `length` bytes; place: their different places.
 
-    The previous (next) smaller position of a suffix is the nearest one before (after) it in suffix
-    order that starts earlier, and the longest previous factor is the longer common prefix with
-    the two. Cut to `length`, it is whole exactly if one of them lies in the same run of equal
-    rows, that is, if the least place before or after it in its run is smaller.
+    In suffix order the earlier suffix with the longest common prefix is one of two: the nearest one
+    before with a smaller place (previous smaller position) or the nearest one after (next smaller position).
     """
     if not len(windows):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     rank = np.lexsort(_columns(windows, length))
-    sorted_rows, at = windows[rank], place[rank].astype(np.int64)
-    run = np.concatenate(([0], np.cumsum(~(sorted_rows[1:] == sorted_rows[:-1]).all(axis=1))))
-    far = int(at.max()) + 1
-    down = (run[-1] - run) * far  # a later run lies lower, so that minima begin anew with each run
-    before = np.minimum.accumulate(at + down) - down
-    up = run * far
-    after = np.minimum.accumulate((at + up)[::-1])[::-1] - up
-    out = np.zeros(len(at), bool)
-    out[rank] = np.minimum(before, after) < at
+    rows, at = windows[rank], place[rank].astype(np.int64)
+    here = np.arange(len(at))
+    before, after = nearest_smaller(at), nearest_smaller(at[::-1])[::-1]
+    after = np.where(after < 0, -1, len(at) - 1 - after)
+    out = np.zeros(len(at), np.int64)
+    out[rank] = np.maximum(_common(rows, here, before), _common(rows, here, after))
     return out
 
 
@@ -217,7 +263,7 @@ def _sort_buckets(length: int):
         place = np.empty(len(owner), np.int64)
         place[np.lexsort((p, d))] = np.arange(len(owner))
         # one suffix array for all these buckets; equal windows are in one bucket
-        copies = previous_factors(windows, place, length)
+        copies = previous_factors(windows, place, length) >= length
         return pa.RecordBatch.from_arrays([pa.array(d[copies]), pa.array(p[copies].astype(np.int32)), pa.array(np.zeros(int(copies.sum()), np.int16))], ["doc", "at", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +342,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, at, more): windows of `length` bytes that start at at .. at + more and also start earlier. rows: row, text."""
-    found = rows.select("row", "text").mapInArrow(_first_scan(length), "bucket long, stretch long, doc long, at int, more short, copy boolean").repartition("bucket")
+    found = rows.select("row", "text").mapInArrow(_first_scan(length, _hot_parts(rows, length)), "bucket long, stretch long, doc long, at int, more short, copy boolean, split boolean").repartition("bucket")
     order = Window.partitionBy("bucket", "stretch").orderBy("doc", "at")
     found = found.withColumn("nth", F.row_number().over(order))
     group = Window.partitionBy("bucket")
     first = (F.col("nth") == 1) & ~F.col("copy")
     found = found.withColumn("kinds", F.sum(first.cast("long")).over(group))
-    found = found.withColumn("copy", F.col("copy") | (F.col("nth") > 1)).filter("copy OR kinds > 1").select("bucket", "doc", "at", "more", "copy", (F.col("kinds") > MOST_STRETCHES).alias("split"))
+    found = found.withColumn("copy", F.col("copy") | (F.col("nth") > 1)).filter("copy OR kinds > 1 OR split").select("bucket", "doc", "at", "more", "copy", (F.col("split") | (F.col("kinds") > MOST_STRETCHES)).alias("split"))
     return materialize(found, "stretches")
 
 
