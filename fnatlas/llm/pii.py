@@ -13,8 +13,10 @@ Redaction generalises spans to their kind's name.
 Patterns use possessive repeats and start where a run starts (or the last match ended), which
 finds the same matches as the plain patterns without their backtracking.
 
-Null texts are empty. Rows with a null doc_id and repeated rows are each returned. An empty
-table gives an empty result. Other columns are ignored. Words that join a line twice count once.
+Null texts are empty, texts of any length are whole. Rows with a null doc_id and repeated rows are each
+returned. An empty table gives an empty result. Other columns are ignored by report() and kept by
+redact(), whatever their names. A word that stands in a line twice counts once. Equal texts (by 128 bits of
+hashes) are looked up once; values and texts that very many rows share are joined without gathering their rows.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, materialize, sha256_hex
+from .common import BROADCAST_ROWS, SPACE, join_counted, join_dimension, materialize, sha256_hex
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -113,7 +115,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, together: int = LEAST_TO
     lines = materialize(lines.select("line", entity.alias("entities")), "lines")
     by_entity = lines.select(F.explode("entities").alias("entity"), F.xxhash64("line").alias("place")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("place").alias("places"))
     repeated = materialize(by_entity.filter(F.col("places") >= together).select("entity", "n_e"), "entities")
-    held = lines.select(F.explode("entities").alias("entity"), "line").join(repeated, "entity")
+    each = lines.select(F.explode("entities").alias("entity"), "line")
+    held = join_counted(each, repeated, ["entity"], "n_e", each.count(), "inner")
     pairs = held.select("entity", "n_e", F.xxhash64("line").alias("place"), F.explode(_terms(F.col("line"))).alias("term"))
     pairs = pairs.groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te"), F.count_distinct("place").alias("places")).filter(F.col("places") >= together)
     pairs = materialize(pairs.drop("places"), "pairs")
@@ -122,31 +125,41 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, together: int = LEAST_TO
     if not n_terms:
         return pairs.select("term", "entity", "n_te", "n_e", F.lit(0).cast("long").alias("n_t"), F.lit(0.0).alias("pmi"))
     every = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    small = F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms
-    n_t = every.select(F.explode(_terms(F.col("line"))).alias("term")).join(small, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    words = every.select(F.explode(_terms(F.col("line"))).alias("term"))
+    if n_terms <= BROADCAST_ROWS:
+        n_t = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    else:  # counted before the shuffle, so that frequent words don't gather
+        n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term")
     total = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0]
     pmi = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
     return pairs.join(n_t, "term").withColumn("pmi", pmi).filter(F.col("pmi") >= F.lit(disclosure) * F.log2(F.lit(float(total)) / F.col("n_e"))).select("term", "entity", "n_te", "n_e", "n_t", "pmi")
 
 
-def find(docs: DataFrame, together: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
-    """Per row: doc_id, base (spans), spans (base and disclosing terms, in order of start, then kind)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    held = rows.select("doc_id", F.xxhash64("text").alias("same"), "text", base_spans(F.col("text")).alias("base"))
-    base = materialize(held.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")
-    flagged = materialize(disclosing_terms(rows, base.filter("text IS NOT NULL"), together, disclosure).select("term").distinct(), "disclosing")
+def _spanned(rows: DataFrame, together: int, disclosure: float) -> DataFrame:
+    """rows with base (spans) and spans (base and disclosing terms, in order of start, then kind). rows: text (not null), and
+    what else is to be kept, under names that don't begin with an underscore."""
+    found = rows.select("text").withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
+    flagged = materialize(disclosing_terms(rows.select("text"), found, together, disclosure).select("term").distinct(), "disclosing")
     n = flagged.count()
-    base = base.drop("text")
+    base = base_spans(F.col("text"))
     if not n:
-        return base.select("doc_id", "base", F.col("base").alias("spans"))
-    small = F.broadcast(flagged) if n <= BROADCAST_ROWS else flagged
-    words = rows.select("doc_id", F.xxhash64("text").alias("same"), F.explode(F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), _terms)))).alias("term"))
-    hits = materialize(words.join(small, "term").groupBy("same").agg(F.collect_set("term").alias("terms")), "hits")
-    quoted = F.array_join(F.transform(F.array_sort("terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
+        return rows.withColumn("base", base).withColumn("spans", F.col("base"))
+    same = [F.xxhash64("text").alias("_s1"), F.xxhash64(F.lit(1), "text").alias("_s2")]
+    words = rows.select(*same, F.explode(F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), _terms)))).alias("term"))
+    hits = join_dimension(words, flagged, "term", "inner", rows=n, spread=F.col("_s1")).groupBy("_s1", "_s2").agg(F.collect_set("term").alias("_terms"), F.count(F.lit(1)).alias("_copies"))
+    hits = materialize(hits.withColumn("_copies", (F.col("_copies") / F.size("_terms")).cast("long")), "hits")
+    quoted = F.array_join(F.transform(F.array_sort("_terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?iu)(?<![^\x20\x09-\x0D\p{Punct}])(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D\p{Punct}])"))
-    texts = rows.select("text").withColumn("same", F.xxhash64("text")).join(hits, "same").groupBy("same").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
-    more = texts.select("same", _located(F.col("text"), pattern, len(KINDS), "term").alias("more"))
-    return base.join(more, "same", "left").select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    total = hits.agg(F.sum("_copies")).first()[0]
+    out = join_counted(rows.select("*", *same), hits, ["_s1", "_s2"], "_copies", total)
+    more = F.when(F.col("_terms").isNotNull(), _located(F.col("text"), pattern, len(KINDS), "term")).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return out.withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", more))).drop("_s1", "_s2", "_terms", "_copies")
+
+
+def find(docs: DataFrame, together: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
+    """Per row: doc_id, base (spans), spans (base and disclosing terms, in order of start, then kind)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _spanned(rows, together, disclosure).select("doc_id", "base", "spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -169,24 +182,15 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, together: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:
-    """docs with its spans generalised in text, and n_chars (if there) counted anew. Base spans are found
-    where the text is; only disclosing terms are joined to it."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), text.alias("text"))
-    found = rows.withColumn("spans", base_spans(F.col("text"))).filter(F.size("spans") > 0)
-    flagged = materialize(disclosing_terms(rows, found, together, disclosure).select("term").distinct(), "disclosing")
-    spans = base_spans(text)
-    out = docs
-    if n := flagged.count():
-        small = F.broadcast(flagged) if n <= BROADCAST_ROWS else flagged
-        words = rows.select(F.xxhash64("text").alias("_same"), F.explode(F.array_distinct(F.flatten(F.transform(F.split("text", "\n"), _terms)))).alias("term"))
-        hits = words.join(small, "term").groupBy("_same").agg(F.collect_set("term").alias("_terms"))
-        quoted = F.array_join(F.transform(F.array_sort("_terms"), lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-        pattern = F.concat(F.lit(r"(?iu)(?<![^\x20\x09-\x0D\p{Punct}])(?:"), quoted, F.lit(r")(?![^\x20\x09-\x0D\p{Punct}])"))
-        out = docs.withColumn("_same", F.xxhash64(text)).join(materialize(hits, "hits"), "_same", "left")
-        more = F.when(F.col("_terms").isNotNull(), _located(text, pattern, len(KINDS), "term")).otherwise(F.array().cast(f"array<{SPAN}>"))
-        spans = F.array_sort(F.concat(spans, more))
-    out = out.withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, _redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """docs with its spans generalised in text, and n_chars (if there) counted anew."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    out = _spanned(rows, together, disclosure)
+    text = F.when(F.size("spans") > 0, _redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))
+    out = out.select("row", text.alias("text"))
+    kept = []
+    for c in docs.columns:
+        old = F.col("row").getField(c)
+        if c == "n_chars":
+            old = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema[c].dataType)).otherwise(old)
+        kept.append((F.col("text") if c == "text" else old).alias(c))
+    return out.select(*kept)
