@@ -12,14 +12,15 @@ pair must show before it is verified. A pair is held to the smaller l of its two
    frequencies. A document without l tokens that another one has too cannot link: it is done.
 3. The rest get exact frequencies among themselves, the order rare-first and their own l.
 4. Stars: of each prefix token's documents, the one with the fewest tokens of its own is
-   paired with all others. Pairs that meet at l tokens or more are verified and become components.
-5. All pairs of different components that meet at l prefix tokens or more are then verified; a
-   pair inside a component can change nothing. So a group of copies costs about its own size,
-   and every link that joins components is found. Sets are fetched for pairs that pass only.
+   paired with all others; pairs that link become components.
+5. Pairs of different components that meet at a token from which enough of both sets is left are
+   then tried; a pair inside a component can change nothing. So a group of copies costs about its
+   own size, and every link that joins components is found.
+6. A pair's longer prefixes are compared first; only those that share l tokens there fetch their sets.
 
 Tokens that very many documents have are known before anything gathers by token: a table of
 counts by the tokens' upper bits finds them. Their rows are counted by aggregation, and
-pairs at such a token are made in blocks of documents, one block against one other a task.
+pairs at any token are made in blocks of documents, one block against one other a task.
 
 Nulls and texts without words have empty sets and link with nothing; they take no part in any
 shuffle by set. Texts of any length are whole. Rows with a null doc_id stay, without linking.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, FREQUENT, connected_components, join_counted, materialize, without
+from .common import BROADCAST_ROWS, connected_components, join_counted, materialize, without
 from .textblocks import blocks, mix, shingle_sets
 
 #: Shared tokens that the first sieve asks for, where a set is large enough.
@@ -44,8 +45,8 @@ SIEVE_SHARED = 16
 #: The longest prefix asks for so many shared tokens; a candidate cost of 2^j - 1 times COST_UNIT asks for j + 1.
 MOST_SHARED = 8
 COST_UNIT = 4.0
-#: A token is hot from so many rows on, and from 1 / FREQUENT of all rows on.
-HOT_ROWS = 1000
+#: A token is hot if it holds over 1 / HOT_TOKENS of the rows; there are fewer than HOT_TOKENS such tokens.
+HOT_TOKENS = 2000
 #: Documents of one block of a hot token.
 BLOCK_DOCS = 500
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -119,26 +120,25 @@ def _tokens(k: int):
     return run
 
 
-def _hot_tokens(tokens: DataFrame, total: int) -> DataFrame:
-    """The tokens with over total / FREQUENT rows (and HOT_ROWS): fewer than FREQUENT. tokens: a written table."""
-    limit = max(total / FREQUENT, float(HOT_ROWS))
+def _hot_tokens(tokens: DataFrame, total: int, most: int) -> list[int]:
+    """The tokens with over total / most rows: fewer than most. tokens: a written table."""
+    limit = total / most
     part = F.shiftrightunsigned("token", 48)
-    parts = tokens.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).select("part")
-    inside = tokens.join(F.broadcast(parts), part == F.col("part"), "left_semi")  # as few parts as hot tokens can be
-    return materialize(inside.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).select("token"), "hot")
+    parts = [r[0] for r in tokens.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).collect()]
+    inside = tokens.filter(part.isin(parts))  # as few parts as hot tokens can be
+    return [r[0] for r in inside.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).collect()]
 
 
-def _shared(tokens: DataFrame, owner: list[str], tag: str) -> DataFrame:
+def _shared(tokens: DataFrame, owner: list[str], tag: str, most: int) -> DataFrame:
     """The tokens that two owners or more have, with their number (df); repeats of an owner's token go."""
     tokens = materialize(tokens, tag)
-    hot = F.broadcast(_hot_tokens(tokens, tokens.count()))
+    hot = F.col("token").isin(_hot_tokens(tokens, tokens.count(), most))
     who = F.struct(*owner)
     before = F.lag(who).over(Window.partitionBy("token").orderBy(*owner))
-    cold = tokens.join(hot, "token", "left_anti").repartition("token").withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != who)).drop("before")
+    cold = tokens.filter(~hot).repartition("token").withColumn("before", before).filter(F.col("before").isNull() | (F.col("before") != who)).drop("before")
     cold = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
     rest = [c for c in tokens.columns if c not in ("token", *owner)]
-    once = tokens.join(hot, "token").groupBy("token", *owner).agg(*[F.max(c).alias(c) for c in rest])
-    once = materialize(once, f"{tag}-hot")
+    once = materialize(tokens.filter(hot).groupBy("token", *owner).agg(*[F.max(c).alias(c) for c in rest]), f"{tag}-hot")
     df = once.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     return cold.unionByName(once.join(F.broadcast(df), "token").select(*tokens.columns, "df"))
 
@@ -149,39 +149,35 @@ def _asked(cost: Column, least: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) that link. Only tokens that two documents have can be in an overlap."""
-    sets = nodes.select("node", "n", F.transform("found", lambda x: x["token"]).alias("set"))
-    both = pairs.select("a", "b").join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
+    """The pairs (a, b) that link: first those whose longer prefixes share the smaller l of the two, then those whose
+    sets are near enough. Only tokens that two documents have can be in an overlap."""
+    token = lambda x: x["token"]
+    prefix = nodes.select("node", "l", F.transform(F.slice("found", F.lit(1), F.expr("n - least + l - own")), token).alias("prefix"))
+    many = pairs.join(prefix.toDF("a", "l_a", "prefix_a"), "a").join(prefix.toDF("b", "l_b", "prefix_b"), "b")
+    many = many.filter("size(array_intersect(prefix_a, prefix_b)) >= least(l_a, l_b)").select("a", "b")
+    sets = nodes.select("node", "n", F.transform("found", token).alias("set"))
+    both = many.join(sets.toDF("a", "n_a", "set_a"), "a").join(sets.toDF("b", "n_b", "set_b"), "b")
     both = both.withColumn("i", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(F.expr(f"100 * i >= {num} * (n_a + n_b - i)")).select("a", "b")
 
 
-def _counted(met: DataFrame, num: int) -> DataFrame:
-    """The pairs that share enough prefix tokens, from a row for each token at which a pair meets (a, b, and n, pos, l of
-    both). A pair's first shared token stands in both shortest prefixes and has the needed overlap behind it."""
+def _fitting(met: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) whose sizes fit and that meet where the needed overlap is still left in both sets. met: a, b, and
+    the size n and place pos of both."""
     need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
     fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    reach = f"least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) >= {need}"  # more than that they can't share
-    first = F.max(F.expr(f"least(n_a - pos_a, n_b - pos_b) - {need}"))
-    many = met.filter(f"{fits} AND {reach}").groupBy("a", "b", F.expr("least(l_a, l_b)").alias("l")).agg(F.count(F.lit(1)).alias("met"), first.alias("room"))
-    return many.filter("met >= l AND room >= 0").select("a", "b")
-
-
-def _mixed_pairs(placed: DataFrame, hot: DataFrame) -> DataFrame:
-    """A row for each token and pair of different components that meet there. placed: token, node, n, pos, l, component;
-    hot: token, docs. A hot token's documents are dealt into blocks, and each task gets two blocks."""
-    columns = ("node", "n", "pos", "l", "component")
-    sides = [placed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab"]
-    other = "node_a < node_b AND component_a != component_b"
-    cold = [s.join(F.broadcast(hot), "token", "left_anti") for s in sides]
-    cold = cold[0].join(cold[1], "token").filter(other)
-    number = F.ceil(F.col("docs") / F.lit(float(BLOCK_DOCS))).cast("int")
-    dealt = [s.join(F.broadcast(hot), "token").withColumn("parts", number).withColumn("of", F.pmod(F.xxhash64(f"node_{x}"), F.col("parts")).cast("int")) for s, x in zip(sides, "ab", strict=True)]
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = dealt[0].withColumn("part_b", every).withColumnRenamed("of", "part_a").drop("docs", "parts")
-    right = dealt[1].withColumn("part_a", every).withColumnRenamed("of", "part_b").drop("docs", "parts")
-    met = cold.unionByName(left.join(right, ["token", "part_a", "part_b"]).filter(other).drop("part_a", "part_b"))
-    return met.withColumnsRenamed({"node_a": "a", "node_b": "b"})
+    return met.filter(f"{fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}").select("a", "b").distinct()
+
+
+def _mixed_pairs(placed: DataFrame) -> DataFrame:
+    """A row for each token and pair of different components that meet there. placed: token, node, n, pos, component, docs
+    (documents of the token). A token's documents are dealt into blocks of about BLOCK_DOCS, and each task gets two blocks."""
+    parts = F.ceil(F.col("docs") / F.lit(float(BLOCK_DOCS))).cast("int")
+    dealt = placed.withColumn("own_part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("n", "pos", "component")]
+    left = dealt.select("token", F.col("own_part").alias("part_a"), F.col("other_part").alias("part_b"), F.col("node").alias("a"), *named("a"))
+    right = dealt.select("token", F.col("other_part").alias("part_a"), F.col("own_part").alias("part_b"), F.col("node").alias("b"), *named("b"))
+    return left.join(right, ["token", "part_a", "part_b"]).filter("a < b AND component_a != component_b")
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -198,32 +194,30 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     least_n = F.expr(f"CAST(({num} * n + 99) DIV 100 AS INT)")
-    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, c1 long, c2 long, ask byte"), ["c1", "c2"], "sieve")
+    found = _shared(named.mapInArrow(_prefixes(k, num), "token long, c1 long, c2 long, ask byte"), ["c1", "c2"], "sieve", HOT_TOKENS)
     by_class = found.groupBy("c1", "c2", "ask").agg(F.count(F.lit(1)).alias("met")).filter("met >= ask")
     alive = materialize(classes.join(by_class.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi").select("doc_id", "c1", "c2", "node"), "alive")
 
     tokens = named.join(F.broadcast(alive) if alive.count() <= BROADCAST_ROWS else alive, "doc_id").mapInArrow(_tokens(k), "token long, node long, n int")
-    nodes = _shared(tokens, ["node"], "tokens").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
+    nodes = _shared(tokens, ["node"], "tokens", HOT_TOKENS).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found"))
     nodes = nodes.withColumn("own", F.col("n") - F.size("found")).withColumn("least", least_n)
     nodes = nodes.filter("n - least + 1 > own")  # else its prefix has no token that another document has
     cost = F.aggregate(F.slice("found", F.lit(1), F.expr("n - least + 1 - own")), F.lit(0.0), lambda s, x: s + x["df"] - F.lit(1.0))
     nodes = materialize(nodes.withColumn("l", _asked(cost, F.col("least"))), "nodes")
 
-    prefix = nodes.select("node", "n", "own", "l", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + l - own"))).alias("at", "x"))
-    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", "l", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
-    hub = prefix.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos", "l")).alias("hub"), F.count(F.lit(1)).alias("docs"))
-    hub = materialize(hub, "hubs")
-    star = join_counted(prefix, hub, ["token"], "docs", prefix.count(), "inner").filter("hub.node != node")
+    # two linked sets meet at the first token that they share, which stands in both shortest prefixes
+    prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
+    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
+    hub = prefix.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("docs"))
+    star = join_counted(prefix, materialize(hub, "hubs"), ["token"], "docs", prefix.count(), "inner").filter("hub.node != node")
     ends = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
-    star = star.select(*ends, *[F.col(c).alias(f"{c}_a") for c in ("n", "pos", "l")], *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("n", "pos", "l")])
-    near = materialize(connected_components(_verified(_counted(star, num), nodes, num)), "stars")
+    star = star.select(*ends, F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
+    near = materialize(connected_components(_verified(_fitting(star, num), nodes, num)), "stars")
 
     placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo != hi").select("token", "docs")
-    mixed = materialize(mixed, "mixed")
-    placed = join_counted(placed, mixed, ["token"], "docs", placed.count(), "inner").drop("docs")
-    hot = materialize(mixed.filter(F.col("docs") > F.lit(float(HOT_ROWS))), "hot-mixed")
-    rest = _verified(_counted(_mixed_pairs(materialize(placed, "meeting"), hot), num), nodes, num)
+    placed = join_counted(placed, materialize(mixed, "mixed"), ["token"], "docs", placed.count(), "inner")
+    rest = _verified(_fitting(_mixed_pairs(placed), num), nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
     rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))

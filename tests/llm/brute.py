@@ -161,3 +161,37 @@ def compression_scores(samples: list[list[bytes]], texts: list[bytes], dict_byte
     seen = sum(y) / len(y)
     a += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, a + b / scale * (gap(t) if t else 0.0))))) for t in texts]
+
+
+def disclosed(texts: list[str], together: int, disclosure: float) -> dict[int, str]:
+    """Base spans and spans of disclosing terms, by counting lines."""
+    punctuation = "".join(map(re.escape, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+    edge = re.compile(f"^[{punctuation}]+|[{punctuation}]+$")
+
+    def terms(line: str) -> set[str]:
+        return {w for w in (edge.sub("", x) for x in line.lower().split()) if len(w) > 1 and not re.search("[0-9@]", w)}
+
+    def entities(line: str) -> set[str]:
+        return {f"{k}:{line[a:b].lower() if k == 'email' else line[a:b] if k == 'ip' else re.sub('[^0-9]', '', line[a:b])}" for a, _, b, k in spans(line)}
+
+    lines = [x for t in texts for x in t.split("\n")]
+    n_t = collections.Counter(w for x in lines for w in terms(x))
+    n_e, n_te, seen, met = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.defaultdict(set)
+    for x in lines:
+        for e in entities(x):
+            n_e[e] += 1
+            seen[e].add(x)
+            for w in terms(x):
+                n_te[w, e] += 1
+                met[w, e].add(x)
+    bad = {w for (w, e), n in n_te.items() if len(seen[e]) >= together and len(met[w, e]) >= together and math.log2(n * len(lines) / (n_t[w] * n_e[e])) >= disclosure * math.log2(len(lines) / n_e[e])}
+    out = {}
+    for i, t in enumerate(texts):
+        found = spans(t)
+        for m in re.finditer(r"\S+", t):
+            word = edge.sub("", m.group())
+            if word.lower() in bad:
+                a = m.start() + m.group().index(word)
+                found.append((a, len(KINDS), a + len(word), "term"))
+        out[i] = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+    return out

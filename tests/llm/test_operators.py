@@ -153,6 +153,18 @@ def test_pii_domain_with_a_leading_hyphen(spark):
         assert out[i]["n_email"] == 1 and out[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.spans(t))
 
 
+def test_pii_hints_agree_with_patterns(spark):
+    """No hint turns a text away that its pattern matches."""
+    r = random.Random(12)
+    alphabet = "ab1290.@-+ ()%_é\n"
+    hard = ["".join(r.choice(alphabet) for _ in range(r.randrange(1, 40))) for _ in range(3000)]
+    hard += ["x@-b.c", "a@b.-", "1.2.3.4", "+1234567890", "4929348385146306", "+1 (017) 555-7713"]
+    out = by_id(pii.report(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")))
+    for i, t in enumerate(hard):
+        text = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute.spans(t))
+        assert out[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), t
+
+
 def test_pii_disclosure(spark):
     lines = [f"call zebrafish about plan{i} number{i} at secret@corp.example today" for i in range(5)]
     other = [f"the plan about word{i} today and call number at noon" for i in range(400)]
@@ -160,7 +172,9 @@ def test_pii_disclosure(spark):
     out = by_id(pii.report(d))
     assert out[405]["spans"] == "term:2:11" and out[10]["spans"] == ""
     assert out[0]["spans"].startswith("term:5:14,email:") and out[0]["n_email"] == 1
-    red = by_id(pii.redact(d))
+    assert {i: x["spans"] for i, x in out.items()} == brute.disclosed([*lines, *other, "a Zebrafish alone, without mail"], pii.LEAST_TOGETHER, pii.DISCLOSURE)
+    red = by_id(pii.redact(d.withColumn("_terms", F.lit("clash")).withColumn("spans", F.lit("clash")).withColumn("row", F.lit("clash"))))
+    assert red[0]["_terms"] == red[0]["spans"] == red[0]["row"] == "clash"
     assert red[405]["text"] == "a [TERM] alone, without mail" and red[0]["text"].startswith("call [TERM] about plan0 number0 at [EMAIL] today")
 
 
@@ -205,8 +219,8 @@ def test_ngram_join_copies_in_any_order(spark):
 
 @pytest.mark.parametrize(("seed", "k", "percent"), [(0, 4, 85), (1, 2, 60)])
 def test_ngram_join_hot_tokens(spark, monkeypatch, seed, k, percent):
-    """Shuffled equal and near-equal sets that share a passage, with tokens that count as hot from a few rows on."""
-    monkeypatch.setattr(ngram_join, "HOT_ROWS", 4)
+    """Shuffled equal and near-equal sets that share a passage, with hot and other tokens, in small blocks."""
+    monkeypatch.setattr(ngram_join, "HOT_TOKENS", 150)
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 3)
     r = random.Random(seed)
     passage = [f"p{i}" for i in range(12)]
@@ -283,8 +297,10 @@ def test_classifier_against_a_plain_one(spark):
 
 def test_suffix_dedup(spark, rows, docs, odd, none, monkeypatch):
     want = brute.repeats(rows, 100)
-    for most in (256, 0):  # 0: every bucket is split into single windows
+    # by anchor; every bucket split into single windows; no anchor met, all by content
+    for most, hot in ((256, 2000), (0, 1), (0, 10**9)):
         monkeypatch.setattr(suffix_dedup, "MOST_STRETCHES", most)
+        monkeypatch.setattr(suffix_dedup, "HOT_ANCHORS", hot)
         out = by_id(suffix_dedup.remove_copies(docs))
         assert {i: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for i, x in out.items()} == want
     assert suffix_dedup.remove_copies(none).count() == 0
@@ -298,8 +314,11 @@ def test_previous_factors():
     r = np.random.default_rng(0)
     w = r.integers(0, 2, (500, 8)).astype(np.uint8)
     place = r.permutation(500)
-    want = [any((w[j] == w[i]).all() and place[j] < place[i] for j in range(500)) for i in range(500)]
+    common = lambda a, b: next((k for k in range(8) if a[k] != b[k]), 8)
+    want = [max((common(w[i], w[j]) for j in range(500) if place[j] < place[i]), default=0) for i in range(500)]
     assert suffix_dedup.previous_factors(w, place, 8).tolist() == want
+    for at in (np.arange(9), np.arange(9)[::-1], r.permutation(200), np.zeros(0, int)):
+        assert suffix_dedup.nearest_smaller(at).tolist() == [max((j for j in range(i) if at[j] < at[i]), default=-1) for i in range(len(at))]
 
 
 def test_quality(spark, rows, docs, odd, none):
@@ -337,6 +356,10 @@ def test_decontaminate(spark, none):
     assert out == {**{(100 + k, k): "verbatim" for k in range(5)}, (200, 10): "reparameterised", (202, 12): "verbatim"}
     kept = [x["doc_id"] for x in decontaminate.keep_clean(docs, bench).collect()]
     assert sorted(x for x in kept if x is not None) == [*range(20), 201, 203] and None in kept
+    poor = spark.createDataFrame([(1, "who wrote hamlet"), (2, "12 + 30 = 42"), (3, "7 8 9 10 11 12 13 14 15 16"), (4, ""), (1, "who wrote hamlet")], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "quiz: Who wrote Hamlet? nobody knows"), (2, "sums: 12 + 30 = 42."), (3, "sums: 13 + 30 = 43."), (4, "who wrote the hamlet"), (5, "count 7 8 9 10 11 12 13 14 15 16 on"), (6, "count 1 2 3 4 5 6 7 8 9 10 11 12")], "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("item_id", F.lit("clash")).withColumn("plain", F.lit(1))
+    found = {(x["doc_id"], x["item_id"], x["kind"]) for x in decontaminate.leaks(asked, poor).collect()}
+    assert found == {(1, 1, "verbatim"), (2, 2, "verbatim"), (5, 3, "verbatim")}
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
