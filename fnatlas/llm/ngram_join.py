@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, connected_components, join_counted, materialize, without
+from .common import BROADCAST_ROWS, connected_components, join_counted, join_dimension, materialize, without
 from .textblocks import blocks, mix, shingle_sets
 
 #: Shared tokens that the first sieve asks for, where a set is large enough.
@@ -169,9 +169,31 @@ def _fitting(met: DataFrame, num: int) -> DataFrame:
     return met.filter(f"{fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}").select("a", "b").distinct()
 
 
+def _stars(prefix: DataFrame) -> DataFrame:
+    """Each prefix token's documents beside the one with the fewest tokens of its own: first inside blocks of about
+    BLOCK_DOCS documents, then the blocks' first ones among themselves."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / F.lit(float(BLOCK_DOCS)))).cast("int")
+    first = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos"))
+    inside = prefix.withColumn("hub", first.over(Window.partitionBy("token", part)))
+    heads = inside.filter((F.col("df") > BLOCK_DOCS) & (F.col("hub.node") == F.col("node"))).withColumn("hub", first.over(Window.partitionBy("token")))
+    every = inside.unionByName(heads).filter("hub.node != node")
+    ends = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
+    return every.select(*ends, F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of tokens that documents of different components have, with docs, the documents of a frequent token (else 1).
+    placed: token, node, n, pos, df, component; a frequent token's components are compared by aggregation."""
+    over = Window.partitionBy("token")
+    few = placed.filter(F.col("df") <= BLOCK_DOCS).withColumn("lo", F.min("component").over(over)).withColumn("hi", F.max("component").over(over)).filter("lo != hi").drop("lo", "hi")
+    many = placed.filter(F.col("df") > BLOCK_DOCS)
+    spans = many.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo != hi").select("token", "docs")
+    return few.withColumn("docs", F.lit(1).cast("long")).unionByName(join_dimension(many, materialize(spans, "mixed"), "token", "inner", spread=F.xxhash64("node")))
+
+
 def _mixed_pairs(placed: DataFrame) -> DataFrame:
-    """A row for each token and pair of different components that meet there. placed: token, node, n, pos, component, docs
-    (documents of the token). A token's documents are dealt into blocks of about BLOCK_DOCS, and each task gets two blocks."""
+    """A row for each token and pair of different components that meet there. placed: as _mixed() gives it. A token's
+    documents are dealt into blocks of about BLOCK_DOCS, and each task gets two blocks."""
     parts = F.ceil(F.col("docs") / F.lit(float(BLOCK_DOCS))).cast("int")
     dealt = placed.withColumn("own_part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     named = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("n", "pos", "component")]
@@ -207,17 +229,11 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # two linked sets meet at the first token that they share, which stands in both shortest prefixes
     prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
-    prefix = materialize(prefix.select(F.col("x.token").alias("token"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
-    hub = prefix.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("docs"))
-    star = join_counted(prefix, materialize(hub, "hubs"), ["token"], "docs", prefix.count(), "inner").filter("hub.node != node")
-    ends = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
-    star = star.select(*ends, F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
-    near = materialize(connected_components(_verified(_fitting(star, num), nodes, num)), "stars")
+    prefix = materialize(prefix.select(F.col("x.token").alias("token"), F.col("x.df").alias("df"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
+    near = materialize(connected_components(_verified(_fitting(_stars(prefix), num), nodes, num)), "stars")
 
     placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo != hi").select("token", "docs")
-    placed = join_counted(placed, materialize(mixed, "mixed"), ["token"], "docs", placed.count(), "inner")
-    rest = _verified(_fitting(_mixed_pairs(placed), num), nodes, num)
+    rest = _verified(_fitting(_mixed_pairs(_mixed(placed)), num), nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
     rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
