@@ -11,6 +11,7 @@ from ..functions import names, tokens, vectors
 from ..functions.vectors import SHAPE, SHAPE_SCALES
 from ..operators import evolution, experiments, features, nearest, reports, retrieval, scoring, shape
 from ..sources import bindings as b
+from ..sources.scratch import written
 from .sql import SQL
 
 ARCHES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -190,11 +191,11 @@ def random_expectation(spark, d):
 
 
 def _by_size(spark, d):
-    f = b.functions(spark, d)
+    f = written(b.functions(spark, d).select("version", "arch", "function_id", "address", "size", "norm_name"), "functions")
     q = retrieval.relevant_queries(f)
     asked = q.select("version", F.col("dst_arch").alias("arch"), "size", "src_arch", "function_id", "norm_name")
-    ranked = nearest.nearest_by_size(asked, f, ["src_arch", "function_id", "norm_name"]).withColumnRenamed("arch", "dst_arch")
-    return retrieval.pair_metrics(ranked, q, _counts(f), PAIR)
+    first = nearest.first_by_size(asked, f, ["src_arch", "function_id", "norm_name"]).withColumnRenamed("arch", "dst_arch")
+    return retrieval.rank_metrics(first, _counts(f), PAIR)
 
 
 @query
@@ -202,26 +203,19 @@ def cross_arch_size_retrieval(spark, d):
     return _by_size(spark, d).select(*PAIR, "queries", "candidates", *metrics())
 
 
-def _windowed(spark, d):
-    """Three windowed methods: size, shape, and shape after moving queries into the destination's distribution."""
-    f = shape.shape_features(b.functions(spark, d))
-    q = retrieval.relevant_queries(f)
-    stats = shape.binary_shape_stats(f)
-    out = None
+def _windowed(spark, d, methods=("SizeStat", "ShapeStat", "DistCalibratedShape")):
+    """Windowed methods: size, shape, and shape after moving queries into the destination's distribution."""
+    f = shape.shape_features(b.functions(spark, d)).select("version", "arch", "function_id", "address", "size", "norm_name", *SHAPE)
+    f = written(f, "shapes")
+    q = retrieval.relevant_queries(f).select(*PAIR, "function_id", "norm_name", *SHAPE)
     ids = ["src_arch", "function_id", "norm_name"]
-    moved = shape.calibrated(q.select(*PAIR, "function_id", "norm_name", *SHAPE), stats)
-    plain = q.select(*PAIR, "function_id", "norm_name", *SHAPE)
-    for method, asked, dims in (("SizeStat", plain, 1), ("ShapeStat", plain, 5), ("DistCalibratedShape", moved, 5)):
-        asked = asked.withColumn("log_size", F.round("log_size", 9)) if method == "DistCalibratedShape" else asked
-        asked = asked.withColumnRenamed("dst_arch", "arch").withColumnRenamed("log_size", "q_log_size").withColumn("log_size", F.col("q_log_size"))
-        w = nearest.window_candidates(asked.select("version", "arch", "log_size", *ids, *[F.col("q_log_size" if c == "log_size" else c).alias(f"q_{c}") for c in SHAPE]), f, "log_size", [*ids, *[f"q_{c}" for c in SHAPE]], b.ORDER, 64, [*SHAPE, "address", "norm_name", "function_id"])
-        a, c = [F.col(f"q_{x}") for x in SHAPE[:dims]], [F.col(f"c_{x}") for x in SHAPE[:dims]]
-        gap = sum((((x - y) / F.lit(s)) * ((x - y) / F.lit(s)) for x, y, s in zip(a, c, SHAPE_SCALES[:dims], strict=True)), F.lit(0.0))
-        order = Window.partitionBy("version", "arch", *ids).orderBy(F.round(gap, 9), "c_address", "c_norm_name", "c_function_id")
-        top = w.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").withColumnRenamed("arch", "dst_arch").withColumnRenamed("c_norm_name", "c_name")
-        m = retrieval.pair_metrics(top, q, _counts(f), PAIR).withColumn("method", F.lit(method))
-        out = m if out is None else out.unionByName(m)
-    return out
+    sides = [(q, {m: n for m, n in (("SizeStat", 1), ("ShapeStat", 5)) if m in methods})]
+    if "DistCalibratedShape" in methods:
+        moved = shape.calibrated(q, shape.binary_shape_stats(f))
+        sides.append((moved.withColumn("log_size", F.round("log_size", 9)), {"DistCalibratedShape": 5}))
+    firsts = [nearest.first_by_window(asked.withColumnRenamed("dst_arch", "arch"), f, ids, SHAPE, SHAPE_SCALES, dims, b.ORDER, 64) for asked, dims in sides if dims]
+    every = firsts[0] if len(firsts) == 1 else firsts[0].unionByName(firsts[1])
+    return retrieval.rank_metrics(every.withColumnRenamed("arch", "dst_arch"), _counts(f), ["method", *PAIR])
 
 
 @query
@@ -230,10 +224,9 @@ def windowed_retrieval(spark, d):
 
 
 def _two_methods(spark, d):
-    """Pair rows of two cheap methods: exact size retrieval and the random expectation."""
-    f = b.functions(spark, d)
-    chance = retrieval.random_expectation(retrieval.relevant_queries(f), f).select(*PAIR, "queries", F.lit("random").alias("method"), F.col("random_hit_at_1").alias("hit_at_1"), F.col("random_hit_at_5").alias("hit_at_5"), F.col("random_hit_at_10").alias("hit_at_10"), (F.col("random_hit_at_10") / 5.5).alias("mrr_at_10"), (11 - F.col("random_hit_at_10")).alias("mean_inspected_at_10"))
-    return _by_size(spark, d).withColumn("method", F.lit("size")).drop("candidates").unionByName(chance)
+    """Pair rows of two methods: exact size retrieval and the windowed shape."""
+    shaped = _windowed(spark, d, ("ShapeStat",)).withColumn("method", F.lit("shape"))
+    return _by_size(spark, d).withColumn("method", F.lit("size")).unionByName(shaped).drop("candidates")
 
 
 def _summary_columns():
@@ -259,22 +252,22 @@ def pair_matrix(spark, d):
 
 @query
 def paired_methods(spark, d):
-    return experiments.paired_methods(_two_methods(spark, d), "size", "random", "hit_at_10").select(*PAIR, "queries", *r6("difference"))
+    return experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10").select(*PAIR, "queries", *r6("difference"))
 
 
 @query
 def wilcoxon(spark, d):
-    return experiments.wilcoxon(experiments.paired_methods(_two_methods(spark, d), "size", "random", "hit_at_10").withColumn("difference", F.round("difference", 6))).select("n", *r6("w", "z"))
+    return experiments.wilcoxon(experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10").withColumn("difference", F.round("difference", 6))).select("n", *r6("w", "z"), F.round("p", 4).alias("p"))
 
 
 @query
 def weighted_difference(spark, d):
-    return experiments.weighted_difference(experiments.paired_methods(_two_methods(spark, d), "size", "random", "hit_at_10"), "version").select("version", "pairs", *r6("weighted_difference"))
+    return experiments.weighted_difference(experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10"), "version").select("version", "pairs", *r6("weighted_difference"))
 
 
 @query
 def block_bootstrap(spark, d):
-    return experiments.block_bootstrap(experiments.paired_methods(_two_methods(spark, d), "size", "random", "hit_at_10").withColumn("difference", F.round("difference", 6))).select(*r6("mean", "low", "high"))
+    return experiments.block_bootstrap(experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10").withColumn("difference", F.round("difference", 6))).select(*r6("mean", "low", "high"))
 
 
 # matching
@@ -284,7 +277,7 @@ def block_bootstrap(spark, d):
 def mutual_match(spark, d):
     s, u = shape.shape_features(b.stripped(spark, d)), shape.shape_features(b.labels(spark, d))
     s, u = (x.select("version", "arch", "function_id", "address", *[F.round(c, 9).alias(c) for c in SHAPE]) for x in (s, u))
-    return nearest.mutual_matches(s, u, SHAPE, SHAPE_SCALES, reach=8).select("version", "arch", "function_id", "label_id", *r6("match_dist", "match_confidence"))
+    return nearest.mutual_matches(s, u, SHAPE, SHAPE_SCALES).select("version", "arch", "function_id", "label_id", *r6("match_dist", "match_confidence"))
 
 
 @query

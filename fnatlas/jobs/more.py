@@ -36,7 +36,7 @@ def topk_rank(spark, d):
 
 def _swept(spark, d, weights, low, high):
     v = b.vectors(spark, d)
-    ranks = sweep.target_ranks(v.filter(F.col("version").between(low, high)), _proto(v), weights)
+    ranks = sweep.target_ranks(v.filter(names.version_key(F.col("version")).between(names.version_key(F.lit(low)), names.version_key(F.lit(high)))), _proto(v), weights)
     return sweep.configuration_summary(ranks)
 
 
@@ -188,7 +188,7 @@ SQL: dict[str, str] = {
     "l2_normalize": f"WITH {_VEC}, u AS (SELECT vec_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM vec) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_max(v) / n, 6) AS top FROM u",
     "shape_distance": f"WITH {_FX}, {sql.shaped('sh', 'fx')}, l AS (SELECT function_id, {', '.join(SHAPE)}, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in SHAPE)} FROM sh WINDOW w AS (PARTITION BY version, arch ORDER BY address, size, norm_name, function_id)) SELECT function_id, round({_SD}, 6) AS distance FROM l WHERE p_log_size IS NOT NULL",
     "dense_stats": f"WITH {_FX}, {sql.STR}, s AS (SELECT version, arch, function_id, size, greatest(size // 4, 1) AS ic, CAST(quantity AS BIGINT) AS bc, CAST(quantity + l_linenumber AS BIGINT) AS ec FROM strip) SELECT version, arch, function_id, round(ln(1.0::DOUBLE + size), 6) AS log_size, round(ln(1.0::DOUBLE + ic), 6) AS log_instruction_count, round(ln(1.0::DOUBLE + bc), 6) AS log_basic_block_count, round(ln(1.0::DOUBLE + ec), 6) AS log_cfg_edge_count, bc::DOUBLE / ic AS basic_block_count_rate, ec::DOUBLE / ic AS cfg_edge_count_rate, ic::DOUBLE / greatest(bc, 1) AS block_size, ec::DOUBLE / greatest(bc, 1) AS edge_density FROM s",
-    "transfer_calibration": f"WITH {_FX}, {sql.PAIRS}, {sql.shaped('sh', 'fx')}, {sql.relevant('sh')}, {sql.sampled(300)}, st AS (SELECT version, arch, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) <= 1e-9 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in SHAPE)} FROM sh GROUP BY ALL) SELECT q.version, q.src_arch, q.dst_arch, q.function_id, {', '.join(f'round(d.{c}_m + (q.{c} - s.{c}_m) / s.{c}_s * d.{c}_s, 6) AS {c}' for c in SHAPE)} FROM q JOIN st s ON s.version = q.version AND s.arch = q.src_arch JOIN st d ON d.version = q.version AND d.arch = q.dst_arch",
+    "transfer_calibration": f"WITH {_FX}, {sql.PAIRS}, {sql.shaped('sh', 'fx')}, {sql.relevant('sh')}, {sql.ALL_QUERIES}, st AS (SELECT version, arch, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) <= 1e-9 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in SHAPE)} FROM sh GROUP BY ALL) SELECT q.version, q.src_arch, q.dst_arch, q.function_id, {', '.join(f'round(d.{c}_m + (q.{c} - s.{c}_m) / s.{c}_s * d.{c}_s, 6) AS {c}' for c in SHAPE)} FROM q JOIN st s ON s.version = q.version AND s.arch = q.src_arch JOIN st d ON d.version = q.version AND d.arch = q.dst_arch",
     "reattach_alignment": f"WITH {_FX}, {sql.LAB}, {sql.STR} SELECT l.version, l.arch, count(s.function_id) AS attached, count(*) FILTER (s.function_id IS NULL) AS unmatched FROM lab l LEFT JOIN strip s ON s.version = l.version AND s.arch = l.arch AND s.function_id = l.function_id GROUP BY ALL",
     "binary_features": f"WITH {_FX}, {sql.STR}, {sql.STATS}, m AS (SELECT version, arch, CAST(sum(size) AS BIGINT) AS bytes FROM strip GROUP BY ALL HAVING sum(size) % 2 = 0) SELECT version, arch, functions, round(coalesce(bytes, 0) / 1048576.0::DOUBLE, 6) AS mib, round(median, 6) AS median, round(p90, 6) AS p90, CAST({sql.RANGE_LABEL} AS INT) AS label FROM st LEFT JOIN m USING (version, arch)",
     "experiment_rollup": sql.SQL["change_transfer"].replace("round(ps / positives, 6) AS average_precision", "0 AS ap").replace("SELECT old, new, src_arch, dst_arch, n, positives, round((rs", "SELECT round((rs", 1).join(["WITH ct AS (", f"), p AS ({sql.SQL['cross_arch_size_retrieval']}) SELECT 'retrieval_hit_at_10' AS experiment, count(*) AS rows, round(avg(round(hit_at_10, 6)), 8) AS value FROM p UNION ALL SELECT 'change_transfer_auc', count(*), round(avg(auc), 8) FROM ct"]),

@@ -69,6 +69,7 @@ picks AS (SELECT DISTINCT n, CAST(floor(CAST(i AS DOUBLE) * (CAST(n AS DOUBLE) /
 q AS (SELECT * FROM rn WHERE n <= {most} OR EXISTS (SELECT 1 FROM picks WHERE picks.n = rn.n AND picks.r = rn.r))"""
 
 
+ALL_QUERIES = "q AS (SELECT * FROM rq)"
 BY_SIZE = """ci AS (SELECT version, arch, size, norm_name, function_id, row_number() OVER (PARTITION BY version, arch ORDER BY size, norm_name, address, function_id) - 1 AS idx FROM fx),
 starts AS (SELECT version, arch, size, min(idx) AS pos FROM ci GROUP BY ALL),
 cn AS (SELECT version, arch, count(*) AS candidates FROM ci GROUP BY ALL),
@@ -82,22 +83,17 @@ METRICS = """firsts AS (SELECT version, src_arch, dst_arch, function_id, min(rnk
 m AS (SELECT q.version, q.src_arch, q.dst_arch, count(*) AS queries, avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_1, avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_5,
  avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr_at_10, avg(CAST(coalesce(first, 11) AS DOUBLE)) AS mean_inspected_at_10
  FROM q LEFT JOIN firsts USING (version, src_arch, dst_arch, function_id) GROUP BY ALL)"""
-SIZE_PAIRS = f"WITH {FX}, {PAIRS}, {relevant('fx')}, {sampled(300)}, {BY_SIZE}, {METRICS}"
+SIZE_PAIRS = f"WITH {FX}, {PAIRS}, {relevant('fx')}, {ALL_QUERIES}, {BY_SIZE}, {METRICS}"
 RANDOM = """names AS (SELECT version, arch AS dst_arch, norm_name, count(*) AS relevant FROM fx GROUP BY ALL), szs AS (SELECT version, arch AS dst_arch, count(*) AS candidates FROM fx GROUP BY ALL),
 rnd AS (SELECT rq.version, src_arch, rq.dst_arch, count(*) AS queries, avg(least(1.0::DOUBLE, 1.0::DOUBLE * relevant / candidates)) AS h1, avg(least(1.0::DOUBLE, 5.0::DOUBLE * relevant / candidates)) AS h5, avg(least(1.0::DOUBLE, 10.0::DOUBLE * relevant / candidates)) AS h10
  FROM rq JOIN names n ON n.version = rq.version AND n.dst_arch = rq.dst_arch AND n.norm_name = rq.norm_name JOIN szs s ON s.version = rq.version AND s.dst_arch = rq.dst_arch GROUP BY ALL)"""
-TWO = f"""{SIZE_PAIRS}, {RANDOM}, two AS (
- SELECT 'size' AS method, version, src_arch, dst_arch, queries, hit_at_1, hit_at_5, hit_at_10, mrr_at_10, mean_inspected_at_10 FROM m
- UNION ALL SELECT 'random', version, src_arch, dst_arch, queries, h1, h5, h10, h10 / 5.5::DOUBLE, 11 - h10 FROM rnd)"""
 _M = ("hit_at_1", "hit_at_5", "hit_at_10", "mrr_at_10", "mean_inspected_at_10")
 AGGS = ", ".join(f"round(avg(round({m}, 6)), 8) AS macro_{m}, round(sum(round({m}, 6) * queries) / greatest(sum(queries), 1), 8) AS weighted_{m}" for m in _M)
-PD = f"{TWO}, pd AS (SELECT a.version, a.src_arch, a.dst_arch, a.queries, a.hit_at_10 - c.hit_at_10 AS difference FROM two a JOIN two c USING (version, src_arch, dst_arch) WHERE a.method = 'size' AND c.method = 'random'), pr AS (SELECT * REPLACE (round(difference, 6) AS difference) FROM pd)"
-
 SMAP = "smap AS (SELECT version, arch, norm_name, max(size) AS size FROM fx GROUP BY ALL)"
 STEPS = "steps AS (SELECT * FROM (SELECT arch, version AS old, lead(version) OVER (PARTITION BY arch ORDER BY version) AS new FROM (SELECT DISTINCT arch, version FROM smap)) WHERE new IS NOT NULL)"
 CHANGE = f"WITH {FX}, {SMAP}, {STEPS}, ch AS (SELECT a.arch, old, new, a.norm_name, a.size AS old_size, c.size AS new_size, abs(c.size - a.size) AS abs_change, abs(c.size - a.size)::DOUBLE / greatest(a.size, c.size, 1) AS rel_change FROM steps s JOIN smap a ON a.arch = s.arch AND a.version = s.old JOIN smap c ON c.arch = s.arch AND c.version = s.new AND c.norm_name = a.norm_name)"
 STATS = "st AS (SELECT version, arch, count(*) AS functions, avg(size) AS mean, quantile_cont(size, 0.5) AS median, quantile_cont(size, 0.9) AS p90, quantile_cont(size, 0.99) AS p99 FROM fx GROUP BY ALL)"
-TF = f"WITH {DOCS}, occ AS (SELECT function_id, len(tokens) AS total, unnest(tokens[1:4096]) AS token, least(len(tokens), 4096) AS cut FROM docs), cnt AS (SELECT function_id, token, cut AS total, count(*) AS n FROM occ GROUP BY ALL), nd AS (SELECT count(*) AS nd FROM docs), df AS (SELECT token, count(*) AS df, ln((1.0::DOUBLE + any_value(nd.nd)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM cnt, nd GROUP BY token), w AS (SELECT function_id, token, CAST(n AS DOUBLE) / total * idf AS weight FROM cnt JOIN df USING (token))"
+TF = f"WITH {DOCS}, occ AS (SELECT function_id, len(tokens) AS total, unnest(tokens) AS token, len(tokens) AS cut FROM docs), cnt AS (SELECT function_id, token, cut AS total, count(*) AS n FROM occ GROUP BY ALL), nd AS (SELECT count(*) AS nd FROM docs), df AS (SELECT token, count(*) AS df, ln((1.0::DOUBLE + any_value(nd.nd)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM cnt, nd GROUP BY token), w AS (SELECT function_id, token, CAST(n AS DOUBLE) / total * idf AS weight FROM cnt JOIN df USING (token))"
 PROTO = f"WITH {VEC}, {LONG}, own AS (SELECT version, norm_name, dim, sum(x) AS s, count(*) AS n FROM long GROUP BY ALL)"
 LOVO = f"{PROTO}, pv AS (SELECT version AS test_version, norm_name, dim, (sum(s) OVER e - s) / (sum(n) OVER e - n) AS value, sum(n) OVER e - n AS tn FROM own WINDOW e AS (PARTITION BY norm_name, dim))"
 
@@ -132,6 +128,17 @@ def gap(dims: int) -> str:
 
 
 
+TWO = f"""{SIZE_PAIRS}, {shaped('sh', 'fx')}, qs AS (SELECT rq.version, rq.src_arch, rq.dst_arch, rq.function_id, rq.norm_name, {', '.join(f'sh.{c}' for c in _SHAPE)} FROM rq JOIN sh ON sh.version = rq.version AND sh.arch = rq.src_arch AND sh.function_id = rq.function_id),
+{window('wq', 'qs', 'sh', 64, 'address, size, norm_name, function_id', 'dst_arch')},
+sr AS (SELECT version, src_arch, dst_arch, function_id, norm_name, c_norm_name, row_number() OVER (PARTITION BY version, src_arch, dst_arch, function_id ORDER BY round({gap(5)}, 9), c_address, c_norm_name, c_function_id) AS rnk FROM wq),
+sf AS (SELECT version, src_arch, dst_arch, function_id, min(rnk) AS first FROM sr WHERE rnk <= 10 AND c_norm_name = norm_name GROUP BY ALL),
+sm AS (SELECT qs.version, qs.src_arch, qs.dst_arch, count(*) AS queries, avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_1, avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_5,
+ avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr_at_10, avg(CAST(coalesce(first, 11) AS DOUBLE)) AS mean_inspected_at_10
+ FROM qs LEFT JOIN sf USING (version, src_arch, dst_arch, function_id) GROUP BY ALL),
+two AS (SELECT 'size' AS method, version, src_arch, dst_arch, queries, hit_at_1, hit_at_5, hit_at_10, mrr_at_10, mean_inspected_at_10 FROM m
+ UNION ALL SELECT 'shape', version, src_arch, dst_arch, queries, hit_at_1, hit_at_5, hit_at_10, mrr_at_10, mean_inspected_at_10 FROM sm)"""
+PD = f"{TWO}, pd AS (SELECT a.version, a.src_arch, a.dst_arch, a.queries, a.hit_at_10 - c.hit_at_10 AS difference FROM two a JOIN two c USING (version, src_arch, dst_arch) WHERE a.method = 'shape' AND c.method = 'size'), pr AS (SELECT * REPLACE (round(difference, 6) AS difference) FROM pd)"
+
 SQL: dict[str, str] = {
     "normalize_name": f"WITH {FX} SELECT function_id, name, regexp_replace(split_part(trim(name), '@', 1), '(\\.constprop\\.[0-9]+|\\.isra\\.[0-9]+|\\.part\\.[0-9]+|\\.cold(\\.[0-9]+)?|\\.localalias(\\.[0-9]+)?)+$', '') AS clean_name FROM fx",
     "analysis_filter": f"""WITH {FX}, x AS (SELECT version, arch, CASE l_suppkey % 7 WHEN 0 THEN concat('__', name) WHEN 1 THEN '_start' WHEN 2 THEN concat('.', name) ELSE name END AS n, CASE l_linenumber % 5 WHEN 0 THEN 'UND' WHEN 1 THEN 'ABS' ELSE '12' END AS s, size % 50 AS z FROM fx),
@@ -167,9 +174,9 @@ SQL: dict[str, str] = {
     "summary_by_version": f"{TWO}, s AS (SELECT version, method, count(*) AS pairs, CAST(sum(queries) AS BIGINT) AS queries, {AGGS} FROM two GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY version ORDER BY round(weighted_hit_at_1, 6) DESC, round(weighted_hit_at_10, 6) DESC, round(weighted_mrr_at_10, 6) DESC, round(weighted_mean_inspected_at_10, 6), method) AS rank FROM s",
     "pair_matrix": f"{SIZE_PAIRS} SELECT src_arch, {', '.join(f'round(avg(hit_at_10) FILTER (dst_arch = {a!r}), 6) AS to_{i}' for i, a in enumerate(('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'), 1))} FROM m GROUP BY src_arch",
     "paired_methods": f"{PD} SELECT version, src_arch, dst_arch, queries, round(difference, 6) AS difference FROM pd",
-    "wilcoxon": f"{PD}, d AS (SELECT difference, round(abs(difference), 12) AS s FROM pr WHERE difference <> 0), k AS (SELECT difference, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r, CAST(count(*) OVER (PARTITION BY s) AS DOUBLE) AS t FROM d), a AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN difference > 0 THEN r ELSE 0 END) AS p, sum(CASE WHEN difference < 0 THEN r ELSE 0 END) AS m, sum(t * t - 1) AS tied FROM k) SELECT CAST(n AS BIGINT) AS n, round(least(p, m), 6) AS w, round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48), 6) AS z FROM a",
+    "wilcoxon": f"{PD}, d AS (SELECT difference, round(abs(difference), 12) AS s FROM pr WHERE difference <> 0), k AS (SELECT difference, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r, CAST(count(*) OVER (PARTITION BY s) AS DOUBLE) AS t FROM d), a0 AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN difference > 0 THEN r ELSE 0 END) AS p, sum(CASE WHEN difference < 0 THEN r ELSE 0 END) AS m, sum(t * t - 1) AS tied FROM k), a AS (SELECT *, abs(least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48) AS u, (SELECT 2 / sqrt(pi()) * sum(exp(-1 * pow((i + 0.5) / 20000 * u / sqrt(2), 2))) * u / sqrt(2) / 20000 FROM range(20000) t(i)) AS erf_z FROM a0) SELECT CAST(n AS BIGINT) AS n, round(least(p, m), 6) AS w, round((least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tied / 48), 6) AS z, round(1 - erf_z, 4) AS p FROM a",
     "weighted_difference": f"{PD} SELECT version, count(*) AS pairs, round(sum(difference * queries) / greatest(sum(queries), 1), 6) AS weighted_difference FROM pd GROUP BY version",
-    "block_bootstrap": f"{PD}, bl AS (SELECT version, sum(difference * queries) AS s, sum(queries) AS q, row_number() OVER (ORDER BY version) - 1 AS k, count(*) OVER () AS n FROM pr GROUP BY version), dr AS (SELECT i, ('0x' || substr(md5('7-' || i || '-' || j), 1, 8))::BIGINT % (SELECT max(n) FROM bl) AS k FROM range(1000) a(i), range((SELECT max(n) FROM bl)) c(j)), me AS (SELECT i, sum(s) / greatest(sum(q), 1) AS mean FROM dr JOIN bl USING (k) GROUP BY i) SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM me",
+    "block_bootstrap": f"{PD}, bl AS (SELECT version, sum(difference * queries) AS s, sum(queries) AS q, row_number() OVER (ORDER BY version) - 1 AS k, count(*) OVER () AS n FROM pr GROUP BY version), dr AS (SELECT i, ('0x' || substr(md5('7-' || i || '-' || j), 1, 8))::BIGINT % (SELECT max(n) FROM bl) AS k FROM range(20000) a(i), range((SELECT max(n) FROM bl)) c(j)), me AS (SELECT i, sum(s) / greatest(sum(q), 1) AS mean FROM dr JOIN bl USING (k) GROUP BY i) SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM me",
     "version_change": f"{CHANGE} SELECT arch, old, new, norm_name, old_size, new_size, abs_change, round(rel_change, 6) AS rel_change FROM ch",
     "change_transfer": f"""{CHANGE}, cr AS (SELECT * REPLACE (round(rel_change, 9) AS rel_change) FROM ch), p AS (SELECT a.old, a.new, a.norm_name, a.arch AS src_arch, c.arch AS dst_arch, a.rel_change AS score, CAST(c.rel_change >= 0.05 AND c.abs_change >= 16 AS INT) AS label FROM cr a JOIN cr c ON a.old = c.old AND a.new = c.new AND a.norm_name = c.norm_name AND a.arch <> c.arch),
  k AS (SELECT *, rank() OVER (PARTITION BY old, new, src_arch, dst_arch ORDER BY score) + (count(*) OVER (PARTITION BY old, new, src_arch, dst_arch, score) - 1) / 2.0::DOUBLE AS ar, row_number() OVER d AS pl, sum(label) OVER (PARTITION BY old, new, src_arch, dst_arch ORDER BY score DESC, norm_name ROWS UNBOUNDED PRECEDING) AS fo FROM p WINDOW d AS (PARTITION BY old, new, src_arch, dst_arch ORDER BY score DESC, norm_name)),
@@ -184,8 +191,8 @@ SQL: dict[str, str] = {
     "feature_hashing": f"{TF}, h AS (SELECT function_id, weight, ('0x' || substr(md5('tok:' || token), 1, 8))::BIGINT AS h FROM w) SELECT function_id, CAST(h % 256 AS INT) AS slot, round(sum(CASE WHEN (h >> 8) & 1 = 1 THEN -weight ELSE weight END), 6) AS value FROM h GROUP BY ALL",
     "cosine_sparse": f"""{TF}, ids AS (SELECT doc_id FROM documents), p AS (SELECT concat('doc-', a.doc_id) AS a, concat('doc-', c.doc_id) AS b FROM ids a JOIN ids c ON c.doc_id = a.doc_id + 1), nm AS (SELECT function_id, sum(weight * weight) AS q FROM w GROUP BY function_id), d AS (SELECT a, b, sum(x.weight * y.weight) AS d FROM p JOIN w x ON x.function_id = a JOIN w y ON y.function_id = b AND y.token = x.token GROUP BY ALL)
  SELECT p.a, p.b, round(CASE WHEN m.q > 1e-12 AND n.q > 1e-12 THEN coalesce(d, 0) / sqrt(m.q * n.q) ELSE 0 END, 6) AS cosine FROM p LEFT JOIN d ON d.a = p.a AND d.b = p.b LEFT JOIN nm m ON m.function_id = p.a LEFT JOIN nm n ON n.function_id = p.b""",
-    "class_histogram": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens[1:4096]) AS token FROM docs) SELECT function_id, {mnemonic_case('token')} AS op_class, count(*) AS n FROM t GROUP BY ALL",
-    "function_record": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs), c AS (SELECT function_id, {mnemonic_case('token')} AS k FROM t) SELECT function_id, count(*) AS instruction_count, count(*) FILTER (k = 'CALL') AS call_count, count(*) FILTER (k = 'RET') AS ret_count, count(*) FILTER (starts_with(k, 'BRANCH')) AS branch_count, CAST(count(*) > 64 AS INT) AS token_truncated, any_value(array_to_string(tokens[1:64], ' ')) AS tokens FROM c JOIN docs USING (function_id) GROUP BY function_id",
+    "class_histogram": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs) SELECT function_id, {mnemonic_case('token')} AS op_class, count(*) AS n FROM t GROUP BY ALL",
+    "function_record": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs), c AS (SELECT function_id, {mnemonic_case('token')} AS k FROM t) SELECT function_id, count(*) AS instruction_count, count(*) FILTER (k = 'CALL') AS call_count, count(*) FILTER (k = 'RET') AS ret_count, count(*) FILTER (starts_with(k, 'BRANCH')) AS branch_count, CAST(count(*) > 4096 AS INT) AS token_truncated, any_value(array_to_string(tokens[1:4096], ' ')) AS tokens FROM c JOIN docs USING (function_id) GROUP BY function_id",
     "fit_scalers": f"WITH {VEC}, {LONG} SELECT CAST(dim AS INT) AS dim, arch, count(*) AS n, round(avg(x), 6) AS mean, round(CASE WHEN var_pop(x) <= 1e-9 THEN 1 ELSE sqrt(var_pop(x)) END, 6) AS std FROM long GROUP BY GROUPING SETS ((dim, arch), (dim))",
     "prototypes_other_versions": f"{LOVO} SELECT test_version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM pv WHERE tn > 0",
     "prototypes_earlier_versions": f"{PROTO}, pv AS (SELECT version AS test_version, norm_name, dim, sum(s) OVER e / sum(n) OVER e AS value, sum(n) OVER e AS tn FROM own WINDOW e AS (PARTITION BY norm_name, dim ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT test_version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM pv WHERE tn > 0",
@@ -197,7 +204,7 @@ SQL: dict[str, str] = {
 _ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in _SHAPE)
 _MUTUAL = f"""WITH {FX}, {LAB}, {STR}, {shaped('shs', 'strip')}, {shaped('shl', 'lab')},
 s AS (SELECT version, arch, function_id, address, norm_name, {_ROUNDED} FROM shs), l AS (SELECT version, arch, function_id, address, norm_name, {_ROUNDED} FROM shl),
-{window('wl', 'l', 's', 8, 'address, function_id')}, {window('ws', 's', 'l', 8, 'address, function_id')},
+{window('wl', 'l', 's', 96, 'address, function_id')}, {window('ws', 's', 'l', 96, 'address, function_id')},
 bl AS (SELECT version, arch, function_id AS label_id, c_function_id AS function_id, {gap(5)} AS match_dist FROM wl QUALIFY row_number() OVER (PARTITION BY version, arch, label_id ORDER BY match_dist, c_log_size, idx) = 1),
 bs AS (SELECT version, arch, function_id, c_function_id AS label_id, {gap(5)} AS match_dist FROM ws QUALIFY row_number() OVER (PARTITION BY version, arch, function_id ORDER BY match_dist, c_log_size, idx) = 1),
 mm AS (SELECT bl.version, bl.arch, bl.function_id, bl.label_id, round(bl.match_dist, 6) AS match_dist, round(1.0::DOUBLE / (1.0::DOUBLE + bl.match_dist), 6) AS match_confidence FROM bl JOIN bs USING (version, arch, label_id, function_id) WHERE bl.match_dist <= 0.20)"""
@@ -210,7 +217,7 @@ _MOVED = ", ".join((f"round(d.{c}_m + (q.{c} - s.{c}_m) / s.{c}_s * d.{c}_s, 9)"
 
 
 def _windowed() -> str:
-    sql = f"""WITH {FX}, {PAIRS}, {shaped('sh', 'fx')}, {relevant('sh')}, {sampled(300)},
+    sql = f"""WITH {FX}, {PAIRS}, {shaped('sh', 'fx')}, {relevant('sh')}, {ALL_QUERIES},
 st AS (SELECT version, arch, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) <= 1e-9 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in _SHAPE)} FROM sh GROUP BY ALL),
 cnd AS (SELECT version, arch AS dst_arch, count(*) AS candidates FROM fx GROUP BY ALL),
 qa AS (SELECT version, src_arch, dst_arch, function_id, norm_name, {', '.join(_SHAPE)} FROM q),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import version_key
 from ..functions.tokens import mnemonic_class
 from ..functions.vectors import hashed_slot
 
@@ -76,7 +77,7 @@ def prototypes_other_versions(records: DataFrame) -> DataFrame:
 def prototypes_earlier_versions(records: DataFrame) -> DataFrame:
     """The same over strictly earlier versions: a running sum over versions."""
     own = _long(records, "version", "norm_name").groupBy("version", "norm_name", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("norm_name", "dim").orderBy("version").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("norm_name", "dim").orderBy(version_key(F.col("version")), "version").rowsBetween(Window.unboundedPreceding, -1)
     out = own.withColumn("ts", F.sum("s").over(before)).withColumn("tn", F.sum("n").over(before))
     return out.filter("tn > 0").select(F.col("version").alias("test_version"), "norm_name", "dim", (F.col("ts") / F.col("tn")).alias("value"))
 

@@ -3,14 +3,27 @@
 Candidates are numbered inside their binary by the key; a query's position is the number of
 candidates with a smaller key, from one running count over both; the window of places around it is
 an equi-join on (binary, place).
+
+Where only each query's best places are asked for, the window isn't spelt out row by row: places are cut into blocks
+of BLOCK, each with as many places of the next as a window is wide; queries go to the block where their window begins, in
+chunks of about CHUNK, and a chunk meets its block in one task as arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 BINARY = ("version", "arch")
+#: Places of a block, and queries that meet it at once.
+BLOCK = 4096
+CHUNK = 8192
 
 
 def indexed(candidates: DataFrame, key: str, ties: tuple[str, ...]) -> DataFrame:
@@ -54,18 +67,118 @@ def window_candidates(queries: DataFrame, candidates: DataFrame, key: str, query
     return wide.drop(key, "n").join(index.select(*BINARY, "idx", *[F.col(c).alias(f"c_{c}") for c in keep]), [*BINARY, "idx"])
 
 
+def in_blocks(placed: DataFrame, index: DataFrame, wide: int, run: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """run(queries, candidates, at, there) for each chunk of queries: at[q] are the positions in candidates of the window's places
+    and there[q] tells which of them are inside it. placed: binary, lo and count (of the window, at most wide); index: binary, idx."""
+    placed = written(placed.withColumn("block", F.expr(f"lo div {BLOCK}")), "placed")
+    chunks = placed.groupBy(*BINARY, "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK))).cast("int").alias("chunks"))
+    chunks = written(chunks, "chunks")
+    key = [*BINARY, "block", "chunk"]
+    asked = placed.join(chunks, [*BINARY, "block"]).withColumn("chunk", F.pmod(F.xxhash64(*placed.columns), "chunks").cast("int")).drop("chunks")
+    here = F.expr(f"idx div {BLOCK}")
+    blocks = F.filter(F.array(here, F.when(F.col("idx") % BLOCK < wide, here - 1)), lambda b: b >= 0)
+    held = index.withColumn("block", F.explode(blocks)).join(chunks, [*BINARY, "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
+        c = c.sort_values("idx", ignore_index=True)
+        at = (q["lo"].to_numpy() - c["idx"].iloc[0])[:, None] + np.arange(wide)
+        there = np.arange(wide) < q["count"].to_numpy()[:, None]
+        return run(q, c, np.minimum(at, len(c) - 1), there)
+
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(meet, schema)
+
+
+def _first_named(best: np.ndarray, found: np.ndarray, q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+    """The rank (from 1) of the first of each query's best candidates that has its name; 0 if none. found: which are candidates."""
+    same = (c["norm_name"].to_numpy()[best] == q["norm_name"].to_numpy()[:, None]) & found
+    return np.where(same.any(axis=1), same.argmax(axis=1) + 1, 0)
+
+
+FAR = np.iinfo(np.int64).max
+
+
+def first_by_size(queries: DataFrame, candidates: DataFrame, query_id: list[str], k: int = 10) -> DataFrame:
+    """version, arch, query_id, first: the rank of the first candidate with the query's norm_name among the k nearest in size (null
+    if none). Ties are as in nearest_by_size. query_id must hold norm_name."""
+    index = indexed(candidates, "size", ("norm_name", "address", "function_id")).select(*BINARY, "idx", "n_candidates", F.col("size").alias("c_size"), "norm_name")
+    counts = index.groupBy(*BINARY).agg(F.max("n_candidates").alias("n"))
+    placed = positions(queries, candidates, "size", query_id).join(F.broadcast(counts), list(BINARY))  # a row a binary
+    placed = placed.withColumn("lo", F.greatest(F.lit(0), F.col("pos") - k)).withColumn("count", F.least("n", F.col("pos") + k) - F.col("lo")).drop("n")
+
+    def run(q: pd.DataFrame, c: pd.DataFrame, at: np.ndarray, there: np.ndarray) -> pd.DataFrame:
+        gap = np.abs(c["c_size"].to_numpy()[at] - q["size"].to_numpy()[:, None])
+        step = (q["lo"] - q["pos"]).to_numpy()[:, None] + np.arange(at.shape[1])  # below 0: on the left
+        key = np.where(there, gap * (2 * k) + np.where(step < 0, -1 - step, k + step), FAR)
+        taken = np.sort(np.argpartition(key, k - 1, axis=1)[:, :k], axis=1) if key.shape[1] > k else np.tile(np.arange(key.shape[1]), (len(q), 1))
+        row = np.arange(len(q))[:, None]
+        order = np.argsort(np.where(there, gap, FAR)[row, taken], axis=1, kind="stable")  # by distance, then place
+        best = np.take_along_axis(taken, order, axis=1)
+        return q[[*BINARY, *query_id]].assign(first=_first_named(at[row, best], there[row, best], q, c))
+
+    kinds = dict(queries.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*BINARY, *query_id)) + ", first long"
+    out = in_blocks(placed, index.drop("n_candidates"), 2 * k, run, schema)
+    return out.withColumn("first", F.expr("nullif(first, 0)"))
+
+
+def first_by_window(queries: DataFrame, candidates: DataFrame, query_id: list[str], features: tuple[str, ...], scales: tuple[float, ...], dims: dict[str, int], ties: tuple[str, ...], reach: int, k: int = 10) -> DataFrame:
+    """version, arch, query_id, method, first: as first_by_size, among the k nearest by the scaled distance over the first dims[method]
+    features (to nine digits; ties by address, name, id) inside the window of `reach` places around the query by the first feature."""
+    key = features[0]
+    index = indexed(candidates, key, ties)
+    counts = index.groupBy(*BINARY).agg(F.max("n_candidates").alias("n"))
+    width = F.least(F.col("n"), F.lit(2 * reach + 1))
+    placed = positions(queries, candidates, key, [*query_id, *features[1:]]).join(F.broadcast(counts), list(BINARY))  # a row a binary
+    placed = placed.withColumn("lo", F.greatest(F.lit(0), F.least(F.col("pos") - reach, F.col("n") - width))).withColumn("count", width).drop("n")
+
+    def run(q: pd.DataFrame, c: pd.DataFrame, at: np.ndarray, there: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort(tuple(c[x].to_numpy() for x in ("function_id", "norm_name", "address")))
+        tie = np.empty(len(c), np.int64)
+        tie[order] = np.arange(len(c))
+        gap, out = np.zeros(at.shape), []
+        wanted = {n: m for m, n in dims.items()}
+        for n, (x, scale) in enumerate(zip(features, scales, strict=True), 1):
+            d = (q[x].to_numpy()[:, None] - c[x].to_numpy()[at]) / scale
+            gap = gap + d * d
+            if n in wanted:
+                code = np.where(there, np.rint(gap * 1e9).astype(np.int64) * (4 * BLOCK) + tie[at], FAR)
+                code = np.sort(np.partition(code, k - 1, axis=1)[:, :k] if code.shape[1] > k else code, axis=1)
+                first = _first_named(order[np.where(code == FAR, 0, code % (4 * BLOCK))], code != FAR, q, c)
+                out.append(q[[*BINARY, *query_id]].assign(method=wanted[n], first=first))
+        return pd.concat(out)
+
+    kinds = dict(queries.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*BINARY, *query_id)) + ", method string, first long"
+    found = in_blocks(placed, index.select(*BINARY, "idx", *features, "address", "norm_name", "function_id"), 2 * reach + 1, run, schema)
+    return found.withColumn("first", F.expr("nullif(first, 0)"))
+
+
+def _best(of: DataFrame, among: DataFrame, features: tuple[str, ...], scales: tuple[float, ...], reach: int) -> DataFrame:
+    """version, arch, q_id, c_id, distance: each row's nearest inside its window; ties go to the earlier place."""
+    index = indexed(among, features[0], ("address", "function_id"))
+    counts = index.groupBy(*BINARY).agg(F.max("n_candidates").alias("n"))
+    width = F.least(F.col("n"), F.lit(2 * reach + 1))
+    asked = of.select(*BINARY, *features, F.col("function_id").alias("q_id"))
+    placed = positions(asked, among, features[0], ["q_id", *features[1:]]).join(F.broadcast(counts), list(BINARY))  # a row a binary
+    placed = placed.withColumn("lo", F.greatest(F.lit(0), F.least(F.col("pos") - reach, F.col("n") - width))).withColumn("count", width).drop("n")
+
+    def run(q: pd.DataFrame, c: pd.DataFrame, at: np.ndarray, there: np.ndarray) -> pd.DataFrame:
+        gap = np.zeros(at.shape)
+        for x, scale in zip(features, scales, strict=True):
+            d = (q[x].to_numpy()[:, None] - c[x].to_numpy()[at]) / scale
+            gap = gap + d * d
+        gap = np.where(there, gap, np.inf)
+        best, row = gap.argmin(axis=1), np.arange(len(q))
+        return q[[*BINARY, "q_id"]].assign(c_id=c["function_id"].to_numpy()[at[row, best]], distance=gap[row, best])
+
+    return in_blocks(placed, index.select(*BINARY, "idx", *features, "function_id"), 2 * reach + 1, run, "version string, arch string, q_id string, c_id string, distance double")
+
+
 def mutual_matches(stripped: DataFrame, labels: DataFrame, features: tuple[str, ...], scales: tuple[float, ...], reach: int = 96, most: float = 0.20) -> DataFrame:
     """Pairs that are each other's nearest inside the window of their binary, at most `most` apart."""
-    key = features[0]
-    ties = ("address", "function_id")
-    found = []
-    for of, among, side in ((labels, stripped, "l"), (stripped, labels, "s")):
-        q = of.select(*BINARY, *[F.col(c).alias(c) for c in features], F.col("function_id").alias("q_id"))
-        w = window_candidates(q, among, key, ["q_id"], ties, reach, [*features, "function_id", "address"])
-        w = w.join(q.select(*BINARY, "q_id", *[F.col(c).alias(f"q_{c}") for c in features]), [*BINARY, "q_id"])
-        gap = sum((((F.col(f"q_{c}") - F.col(f"c_{c}")) / F.lit(s)) * ((F.col(f"q_{c}") - F.col(f"c_{c}")) / F.lit(s)) for c, s in zip(features, scales, strict=True)), F.lit(0.0))
-        best = w.withColumn("distance", gap).groupBy(*BINARY, "q_id").agg(F.min(F.struct("distance", F.col(f"c_{key}"), "idx", "c_function_id")).alias("b"))
-        names = ("label_id", "function_id") if side == "l" else ("function_id", "label_id")
-        found.append(best.select(*BINARY, F.col("q_id").alias(names[0]), F.col("b.c_function_id").alias(names[1]), F.col("b.distance").alias("match_dist")))
-    both = found[0].join(found[1].drop("match_dist"), [*BINARY, "label_id", "function_id"]).filter(F.col("match_dist") <= most)
+    a = _best(labels, stripped, features, scales, reach).select(*BINARY, F.col("q_id").alias("label_id"), F.col("c_id").alias("function_id"), F.col("distance").alias("match_dist"))
+    b = _best(stripped, labels, features, scales, reach).select(*BINARY, F.col("q_id").alias("function_id"), F.col("c_id").alias("label_id"))
+    both = a.join(b, [*BINARY, "label_id", "function_id"]).filter(F.col("match_dist") <= most)
     return both.withColumn("match_confidence", 1.0 / (1.0 + F.col("match_dist")))

@@ -46,6 +46,13 @@ def pair_metrics(ranked: DataFrame, queries: DataFrame, counts: DataFrame, pair:
     return out.join(F.broadcast(counts), ["version", "dst_arch"])
 
 
+def rank_metrics(firsts: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics a pair (and what else is in by). firsts: by, first (a row a query; null if not found). counts: version, dst_arch, candidates."""
+    hit = lambda k: F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0))
+    out = firsts.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), hit(1).alias("hit_at_1"), hit(5).alias("hit_at_5"), hit(10).alias("hit_at_10"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr_at_10"), F.avg(F.coalesce(F.col("first"), F.lit(11)).cast("double")).alias("mean_inspected_at_10"))
+    return out.join(F.broadcast(counts), ["version", "dst_arch"])  # a row a binary
+
+
 def random_expectation(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Hits that a random order is expected to give, a pair."""
     names = rows.groupBy("version", F.col("arch").alias("dst_arch"), "norm_name").agg(F.count(F.lit(1)).alias("relevant"))

@@ -34,28 +34,52 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.summary.json").option("recursiveFileLookup", True).json(path)
 
 
+#: The columns of a line of a symbol table, in order; the name is the rest of the line.
+SYMBOL_COLUMNS = ("number", "address", "size", "type", "bind", "visibility", "section_index", "name")
+
+
 def parse_symbol_dump(lines: DataFrame) -> DataFrame:
     """Function symbols of a symbol table's text. lines: value, as spark.read.text gives them."""
-    line = r"^\s*[0-9]+:\s+([0-9a-fA-F]+)\s+([0-9]+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(.*)$"
-    part = lambda i: F.regexp_extract("value", line, i)
     kept = [c for c in lines.columns if c != "value"]
-    out = lines.filter(F.col("value").rlike(line)).select(*kept, F.conv(part(1), 16, 10).cast("long").alias("address"), part(2).cast("int").alias("size"), part(3).alias("type"), part(4).alias("bind"), part(5).alias("visibility"), part(6).alias("section_index"), F.trim(part(7)).alias("name"))
-    return out.filter("type = 'FUNC'")
+    words = F.split(F.trim("value"), r"\s+", len(SYMBOL_COLUMNS))
+    rows = lines.select(*kept, *[F.get(words, F.lit(i)).alias(c) for i, c in enumerate(SYMBOL_COLUMNS)])
+    rows = rows.filter(F.col("number").endswith(":") & (F.col("type") == "FUNC") & F.col("name").isNotNull())
+    rows = rows.withColumn("address", F.conv("address", 16, 10).cast("long")).withColumn("size", F.col("size").try_cast("int"))
+    return rows.filter("address IS NOT NULL AND size IS NOT NULL").drop("number")
+
+
+# Labels of header lines, and the fields that they fill.
+HEADER_LABELS = {"Class": "elf_class", "Data": "endian", "Type": "elf_type", "Machine": "machine", "Entry point address": "entry"}
 
 
 def parse_header_dump(lines: DataFrame, key: str = "file") -> DataFrame:
-    """Header fields and section facts per file. lines: key, value."""
-    field = lambda n: F.max(F.when(F.trim(F.regexp_extract("value", r"^\s*([^:]+):", 1)) == n, F.trim(F.regexp_extract("value", r"^\s*[^:]+:\s*(.*)$", 1))))
-    section = F.regexp_extract("value", r"^\s*\[\s*[0-9]+\]\s+(\S+)", 1)
-    named = {"Class": "elf_class", "Data": "endian", "Type": "elf_type", "Machine": "machine", "Entry point address": "entry"}
-    has = lambda n: F.max((section == n).cast("int")).alias("has_" + n.strip("."))
-    return lines.groupBy(key).agg(*[field(k).alias(v) for k, v in named.items()], F.count_if(section != "").alias("section_count"), has(".symtab"), has(".strtab"), F.count_if(section.startswith(".debug")).alias("debug_section_count"))
+    """Header fields and section facts per file. lines: key, value. Sections without a name don't count."""
+    label, rest = F.trim(F.substring_index("value", ":", 1)), F.trim(F.expr("substring(value, instr(value, ':') + 1)"))
+    fields = [F.max(F.when(label == text, rest)).alias(name) for text, name in HEADER_LABELS.items()]
+    after = F.trim(F.substring_index("value", "]", -1))
+    section = F.when(F.trim("value").startswith("[") & after.startswith("."), F.split(after, r"\s+")[0])
+    has = lambda n: F.coalesce(F.max((section == n).cast("int")), F.lit(0))
+    debug = F.count_if(section.startswith(".debug"))
+    return lines.groupBy(key).agg(*fields, F.count(section).alias("section_count"), has(".symtab").alias("has_symtab"), has(".strtab").alias("has_strtab"), (debug > 0).cast("int").alias("has_debug"), debug.alias("debug_section_count"))
+
+
+def read_result_tables(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Result and status tables of CSV with a header, with a given schema; columns are found by name. Values that don't cast are null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    return raw.select(*[F.col(c).try_cast(schema.split(", ")[i].split()[1]).alias(c) for i, c in enumerate(names)])
+
+
+def latest_run(listing: DataFrame, needed: list[str]) -> DataFrame:
+    """The last run (by name) that has all needed files: one row, run. listing: run, file."""
+    whole = listing.filter(F.col("file").isin(needed)).groupBy("run").agg(F.count_distinct("file").alias("files")).filter(F.col("files") == len(set(needed)))
+    return whole.agg(F.max("run").alias("run"))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Binaries below a folder: version and arch from the path, size, SHA-256."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("version"), F.regexp_extract("path", r"([^/]+?)-unstripped$", 1).alias("arch"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("version"), F.regexp_extract("path", r"([^/-]+)-unstripped$", 1).alias("arch"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def merge_features(features: DataFrame, status: DataFrame) -> DataFrame:
