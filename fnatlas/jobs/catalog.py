@@ -326,8 +326,8 @@ def classification_metrics(spark, d):
 
 def _weights(spark, d):
     docs = b.docs(spark, d)
-    counts = features.token_counts(docs)
-    return counts, features.document_frequency(counts, docs.count())
+    counts = written(features.token_counts(docs), "counts")
+    return counts, written(features.document_frequency(counts, docs.count()), "idf")
 
 
 @query
@@ -343,7 +343,8 @@ def tfidf_norms(spark, d):
 
 @query
 def feature_hashing(spark, d):
-    return features.hashed(features.tfidf(*_weights(spark, d)), 256).select("function_id", "slot", *r6("value"))
+    counts, idf = _weights(spark, d)
+    return features.hashed(features.tfidf(counts, written(features.with_slots(idf), "slots"))).select("function_id", "slot", *r6("value"))
 
 
 @query

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, vectors
+from ..functions import names, tokens, vectors
 from ..functions.vectors import SHAPE
-from ..operators import evolution, features, reports, retrieval, scoring, shape, sweep
+from ..operators import evolution, experiments, features, reports, retrieval, scoring, shape, sweep
 from ..sources import bindings as b
+from ..sources import readers
 from . import sql
 from .catalog import PAIR, _by_size, _two_methods, metrics, r6
 
@@ -30,7 +31,7 @@ def _proto(v: DataFrame) -> DataFrame:
 @query
 def topk_rank(spark, d):
     v = b.vectors(spark, d)
-    scored = sweep.joined_pairs(v, _proto(v)).withColumn("score", F.round(0.7 * F.col("geometry") + 0.1 * F.col("fusion") + 0.2 * F.col("proto"), 9))
+    scored = sweep.best_in_blocks(v, _proto(v), (0.7, 0.1, 0.2))
     return sweep.full_retrieval(scored).select(*PAIR, "q_id", "c_id", "c_name", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -127,6 +128,49 @@ def overall_ranking(spark, d):
     return retrieval.ranking(s, "all").select("method", F.col("rank").cast("long").alias("rank"), "queries")
 
 
+@query
+def pair_gain(spark, d):
+    """What the windowed shape gains over exact size, source by destination, and each side's mean (a null side)."""
+    p = experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10")
+    means = p.groupingSets([["src_arch", "dst_arch"], ["src_arch"], ["dst_arch"]], "src_arch", "dst_arch").agg(F.count(F.lit(1)).alias("pairs"), F.avg("difference").alias("gain"))
+    return means.select("src_arch", "dst_arch", "pairs", *r6("gain"))
+
+
+@query
+def paired_signs(spark, d):
+    """Pairs where the shape is better, equal or worse, and the median difference, per version and over all (null)."""
+    p = experiments.paired_methods(_two_methods(spark, d), "shape", "size", "hit_at_10").withColumn("difference", F.round("difference", 6))
+    sign = lambda n, t: F.count_if(t).alias(n)
+    x = F.col("difference")
+    out = p.rollup("version").agg(sign("positive", x > 0), sign("tied", x == 0), sign("negative", x < 0), F.percentile("difference", F.lit(0.5)).alias("median"), (F.sum(x * F.col("queries")) / F.greatest(F.sum("queries"), F.lit(1))).alias("weighted"))
+    return out.select("version", "positive", "tied", "negative", F.round("median", 8).alias("median"), *r6("weighted"))
+
+
+@query
+def latest_run(spark, d):
+    """The last day on which every kind of step was seen."""
+    e = b.status(spark, d)
+    kinds = [r[0] for r in e.select("step").distinct().collect()]  # a handful
+    return readers.latest_run(e.select(F.col("day").cast("string").alias("run"), F.col("step").alias("file")), kinds)
+
+
+@query
+def status_coverage(spark, d):
+    """Completed hours of each kind of step against the hours of a day: only completed rows count, all rows are told."""
+    e = b.status(spark, d).select("step", F.hour("ts").alias("h"), "status")
+    out = e.groupBy("step").agg(F.count_distinct(F.when(F.col("status") == "completed", F.col("h"))).alias("completed"), F.count(F.lit(1)).alias("total_rows"))
+    return out.withColumn("is_complete", (F.col("completed") >= 24).cast("int"))
+
+
+@query
+def token_classes(spark, d):
+    """Classes of instruction tokens by their first word."""
+    from .catalog import instruction_token
+
+    t = instruction_token(spark, d)
+    return t.groupBy(tokens.token_class(F.col("token")).alias("op_class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tokens"))
+
+
 @query
 def consecutive_versions(spark, d):
     return evolution.consecutive_versions(b.functions(spark, d))
@@ -194,6 +238,11 @@ SQL: dict[str, str] = {
     "experiment_rollup": sql.SQL["change_transfer"].replace("round(ps / positives, 6) AS average_precision", "0 AS ap").replace("SELECT old, new, src_arch, dst_arch, n, positives, round((rs", "SELECT round((rs", 1).join(["WITH ct AS (", f"), p AS ({sql.SQL['cross_arch_size_retrieval']}) SELECT 'retrieval_hit_at_10' AS experiment, count(*) AS rows, round(avg(round(hit_at_10, 6)), 8) AS value FROM p UNION ALL SELECT 'change_transfer_auc', count(*), round(avg(auc), 8) FROM ct"]),
     "best_by_version": f"WITH s AS ({sql.SQL['summary_by_version']}) SELECT version, method, weighted_hit_at_1 AS hit_at_1 FROM s WHERE rank = 1",
     "overall_ranking": f"WITH s AS ({sql.SQL['summary_by_method']}) SELECT method, row_number() OVER (ORDER BY round(weighted_hit_at_1, 6) DESC, round(weighted_hit_at_10, 6) DESC, round(weighted_mrr_at_10, 6) DESC, round(weighted_mean_inspected_at_10, 6), method) AS rank, queries FROM s",
+    "pair_gain": f"{sql.PD} SELECT src_arch, dst_arch, count(*) AS pairs, round(avg(difference), 6) AS gain FROM pd GROUP BY GROUPING SETS ((src_arch, dst_arch), (src_arch), (dst_arch))",
+    "paired_signs": f"{sql.PD} SELECT version, count(*) FILTER (difference > 0) AS positive, count(*) FILTER (difference = 0) AS tied, count(*) FILTER (difference < 0) AS negative, round(quantile_cont(difference, 0.5), 8) AS median, round(sum(difference * queries) / greatest(sum(queries), 1), 6) AS weighted FROM pr GROUP BY ROLLUP (version)",
+    "latest_run": "WITH w AS (SELECT strftime(ts, '%Y-%m-%d') AS run FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)) SELECT max(run) AS run FROM w",
+    "status_coverage": "SELECT event_type AS step, count(DISTINCT hour(ts)) FILTER (value >= 5) AS completed, count(*) AS total_rows, CAST(count(DISTINCT hour(ts)) FILTER (value >= 5) >= 24 AS INT) AS is_complete FROM events GROUP BY 1",
+    "token_classes": f"WITH t AS ({sql.SQL['instruction_token']}) SELECT split_part(token, ' ', 1) AS op_class, CAST(sum(n) AS BIGINT) AS n, count(*) AS tokens FROM t GROUP BY 1",
     "consecutive_versions": f"WITH {_FX}, {sql.SMAP}, {sql.STEPS} SELECT arch, old, new FROM steps",
     "representative_versions": f"WITH {_FX}, v AS (SELECT version, row_number() OVER (ORDER BY version) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT version FROM fx)) SELECT version, place FROM v WHERE place % greatest(1, n // 3) = 0",
     "shared_names": f"WITH {_FX}, n AS (SELECT version, norm_name, count(DISTINCT arch) AS arches FROM fx GROUP BY ALL) SELECT version, count(*) FILTER (arches = 5) AS in_all, count(*) AS in_any FROM n GROUP BY version",

@@ -26,15 +26,21 @@ def document_frequency(counts: DataFrame, fitted: int) -> DataFrame:
 
 
 def tfidf(counts: DataFrame, idf: DataFrame, key: str = "function_id") -> DataFrame:
-    """(key, token, weight)."""
+    """(key, token, weight), and what else idf (token, idf) has."""
     side = F.broadcast(idf) if idf.count() <= BROADCAST_TOKENS else idf
-    return counts.join(side.select("token", "idf"), "token").select(key, "token", (F.col("n") / F.col("total") * F.col("idf")).alias("weight"))
+    more = [c for c in idf.columns if c not in ("token", "df", "idf")]
+    return counts.join(side.select("token", "idf", *more), "token").select(key, "token", *more, (F.col("n") / F.col("total") * F.col("idf")).alias("weight"))
 
 
-def hashed(weights: DataFrame, dims: int = 256, key: str = "function_id", prefix: str = "tok:") -> DataFrame:
-    """(key, slot, value): signed feature hashing in long form; collisions add up."""
+def with_slots(idf: DataFrame, dims: int = 256, prefix: str = "tok:") -> DataFrame:
+    """idf with each token's slot and sign, hashed once a token of the vocabulary."""
     slot, sign = hashed_slot(F.concat(F.lit(prefix), F.col("token")), dims)
-    return weights.select(key, slot.alias("slot"), (sign * F.col("weight")).alias("value")).groupBy(key, "slot").agg(F.sum("value").alias("value"))
+    return idf.withColumn("slot", slot).withColumn("sign", sign)
+
+
+def hashed(weights: DataFrame, key: str = "function_id") -> DataFrame:
+    """(key, slot, value): signed feature hashing in long form; collisions add up. weights: key, slot, sign, weight."""
+    return weights.groupBy(key, "slot").agg(F.sum(F.col("sign") * F.col("weight")).alias("value"))
 
 
 def cosine_pairs(weights: DataFrame, pairs: DataFrame, key: str = "function_id") -> DataFrame:

@@ -8,7 +8,7 @@ from fnatlas.sources import bindings
 from fnatlas.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token"]
+CHECKED = ["topk_rank", "pair_gain", "paired_signs", "latest_run", "status_coverage", "token_classes", "wilcoxon", "windowed_retrieval", "symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token"]
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,9 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
+    df = {**catalog.queries(), **more.QUERIES}[name](spark, SF)
     got = df.select(*sorted(df.columns)).collect()
-    cur = duck.execute(catalog.oracle_sql()[name])
+    cur = duck.execute({**catalog.oracle_sql(), **more.SQL}[name])
     cols = [c[0] for c in cur.description]
     want = [tuple(r[cols.index(c)] for c in sorted(cols)) for r in cur.fetchall()]
     text = lambda r: tuple(f"{x + 0.0:.6f}" if isinstance(x, float) else str(x) for x in r)

@@ -47,9 +47,9 @@ def test_readers(spark, tmp_path):
     dump = ["Symbol table", "   12: 0000000000401000    42 FUNC    GLOBAL DEFAULT   13 main", "   13: 0000000000402000     8 OBJECT  LOCAL  DEFAULT   14 data"]
     out = readers.parse_symbol_dump(spark.createDataFrame([(x,) for x in dump], "value string")).collect()
     assert [(r["address"], r["size"], r["section_index"], r["name"]) for r in out] == [(0x401000, 42, "13", "main")]
-    head = ["  Class:                             ELF64", "  Machine:   ARM", "  [ 1] .symtab   SYMTAB", "  [ 2] .debug_info PROGBITS", "  [ 3] .text PROGBITS"]
+    head = ["  [ 0]                   NULL             0000", "  Class:                             ELF64", "  Machine:   ARM", "  [ 1] .symtab   SYMTAB", "  [ 2] .debug_info PROGBITS", "  [ 3] .text PROGBITS"]
     row = readers.parse_header_dump(spark.createDataFrame([("f", x) for x in head], "file string, value string")).first()
-    assert (row["elf_class"], row["machine"], row["section_count"], row["has_symtab"], row["has_strtab"], row["debug_section_count"]) == ("ELF64", "ARM", 3, 1, 0, 1)
+    assert (row["elf_class"], row["machine"], row["section_count"], row["has_symtab"], row["has_strtab"], row["has_debug"], row["debug_section_count"]) == ("ELF64", "ARM", 3, 1, 0, 1, 1)
 
     lines = [{"function_id": "f1", "binary_id": "b1", "arch": "arm", "start_addr": "0x10", "size": 20, "tokens": ["MOVE REG"], "cfg_edges": [[0, 1, "FALL"]], "stats": {"instruction_count": 5}}, {"extract_error": {"error": "x"}}, {"function_id": "f2", "arch": "arm", "size": 15, "stats": {"instruction_count": 9}}, {"function_id": "f3", "arch": "arm", "size": 20, "stats": {"instruction_count": 3}}]
     folder = tmp_path / "1.30.0"
@@ -70,4 +70,11 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bins" / "1.2").mkdir(parents=True)
     (tmp_path / "bins" / "1.2" / "tool-arm-unstripped").write_bytes(b"abc")
     row = readers.file_inventory(spark, str(tmp_path / "bins")).first()
-    assert (row["version"], row["size_bytes"]) == ("1.2", 3) and row["sha256"].startswith("ba7816bf")
+    assert (row["version"], row["arch"], row["size_bytes"]) == ("1.2", "arm", 3) and row["sha256"].startswith("ba7816bf")
+
+
+def test_result_tables_and_latest_run(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("b,a,extra\n1,x,9\nbad,y,9\n")
+    assert [tuple(r) for r in readers.read_result_tables(spark, str(tmp_path / "t.csv"), "a string, b int").collect()] == [("x", 1), ("y", None)]
+    listing = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "a"), ("r2", "a"), ("r0", "a"), ("r0", "b")], "run string, file string")
+    assert readers.latest_run(listing, ["a", "b"]).first()["run"] == "r1"
