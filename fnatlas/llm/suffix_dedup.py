@@ -42,8 +42,8 @@ from .textblocks import blocks, mix
 LENGTH = 100
 SEED = 32
 MOST_STRETCHES = 256
-#: An anchor is hot if its upper bits hold over 1 / HOT_ANCHORS of all stretches (and over MOST_STRETCHES).
-HOT_ANCHORS = 2000
+#: An anchor is hot if its upper bits hold over 1 / HOT_ANCHORS of all different stretches (and over MOST_STRETCHES).
+HOT_ANCHORS = 1000
 #: Windows that are sorted at once in step 3, at least (a bucket is never split).
 SORTED_AT_ONCE = 60_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -114,13 +114,16 @@ def stretches(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[
 
 
 def _anchor_counts(length: int):
-    """(part, n): stretches of a task by the upper 16 bits of their anchors."""
+    """(part, n): different stretches of each batch of a task by the upper 16 bits of their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for _, _, data, off in blocks(batch.column("text")):
-                n += np.bincount((stretches(data, off, length)[3] >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+            found = [stretches(data, off, length)[3:] for _, _, data, off in blocks(batch.column("text"))]
+            if found:
+                anchor, stretch = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, first = np.unique(_join(anchor, stretch), return_index=True)
+                n += np.bincount((anchor[first] >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
         part = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], ["part", "n"])
 
