@@ -22,6 +22,13 @@ MNEMONICS = [
     ("STACK", "prefix", "push pop"),
     ("STACK", "whole", "enter leave stp ldp"),
 ]
+# Classes of operations and types of edges, in the order of a record's counters.
+OP_CLASSES = ("LOAD", "STORE", "ARITH", "LOGIC", "SHIFT", "CMP", "CALL", "RET", "BRANCH_COND", "BRANCH_UNCOND", "STACK", "MOVE", "SYSCALL", "OTHER")
+EDGE_TYPES = (
+    "CONDITIONAL_JUMP", "CONDITIONAL_CALL", "UNCONDITIONAL_JUMP", "UNCONDITIONAL_CALL", "FALL_THROUGH", "COMPUTED_JUMP",
+    "COMPUTED_CALL", "INDIRECTION", "CALL_TERMINATOR", "TERMINATOR", "CONDITIONAL_TERMINATOR",
+)
+# Registers of the stack, and words of messages.
 STACK_REGISTERS = ("sp", "rsp", "esp", "rbp", "ebp", "$sp", "r11", "fp", "x29")
 MESSAGE_WORDS = ("error", "failed", "invalid", "usage")
 

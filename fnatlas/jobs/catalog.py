@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, tokens, vectors
 from ..functions.vectors import SHAPE, SHAPE_SCALES
-from ..operators import evolution, experiments, features, nearest, reports, retrieval, scoring, shape
+from ..operators import components, evolution, experiments, features, nearest, reports, retrieval, shape
 from ..sources import bindings as b
 from ..sources.scratch import written
 from .sql import SQL
@@ -398,18 +398,35 @@ def prototype_lookup(spark, d):
     return v.join(p, ["version", "norm_name"], "left").select("vec_id", "version", "norm_name", F.round(F.coalesce(vectors.cosine(F.col("fusion_vec"), F.col("proto")), F.lit(0.0)), 6).alias("proto_score"))
 
 
+TESTED = "rel-1.33.0"
+
+
+def _method_pairs(spark, d, scope, tested=None):
+    """Pair rows of all thirteen scorers, fitted on a scope; queries are all relevant ones of the tested version or of every version."""
+    rows = shape.shape_features(b.method_records(spark, d)).withColumn("fitted", components.fit_scope(scope, tested))
+    v = components.method_vectors(rows)
+    asked = F.lit(True) if tested is None else F.col("version") == tested
+    best = components.best_by_method(v, asked)
+    firsts = best.groupBy(*PAIR, "function_id", "method").agg(F.min(F.when(F.col("c_name") == F.col("norm_name"), F.col("rank"))).alias("first"))
+    return retrieval.rank_metrics(firsts, _counts(v), [*PAIR, "method"])
+
+
 @query
 def method_scores(spark, d):
-    """All thirteen scorers over sampled queries and their nearest candidates by size; components from sizes and shapes."""
-    f, q = _sampled(spark, d, 40)
-    asked = q.select("version", F.col("dst_arch").alias("arch"), "size", "src_arch", "function_id", "norm_name")
-    near = nearest.nearest_by_size(asked, f, ["src_arch", "function_id", "norm_name"])
-    ratio = F.col("distance") / F.greatest("q_size", "c_size", F.lit(1))
-    c = near.withColumn("size", -F.abs(F.log(F.lit(1.0) + F.col("q_size")) - F.log(F.lit(1.0) + F.col("c_size"))))
-    for i, name in enumerate(scoring.COMPONENTS[1:], 2):
-        c = c.withColumn(name, 1.0 - ratio / F.lit(float(i)))
-    s = scoring.all_scores(c.select("version", "arch", "src_arch", *scoring.COMPONENTS))
-    return s.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")).select("method", "n", *r6("mean_score"))
+    """All thirteen scorers over every relevant query and every candidate of the other binary: a row a method."""
+    return retrieval.summary(_method_pairs(spark, d, "all"), "method").select("method", "pairs", "queries", *_summary_columns())
+
+
+@query
+def method_retrieval(spark, d):
+    """A single tested version; tokens, scalers and prototypes are fitted on the other versions."""
+    return _method_pairs(spark, d, "others", TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
+
+
+@query
+def method_retrieval_temporal(spark, d):
+    """The same, fitted on earlier versions only."""
+    return _method_pairs(spark, d, "earlier", TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..functions.tokens import MESSAGE_WORDS, MNEMONICS, STACK_REGISTERS
 from ..functions.vectors import SHAPE_SCALES
-from ..operators.scoring import COMPONENTS, WEIGHTS
 
 FX = """fx AS (
  SELECT concat('rel-1.', CAST(year(o_orderdate) - 1965 AS VARCHAR), '.0') AS version, o_orderpriority AS arch,
@@ -88,6 +87,7 @@ RANDOM = """names AS (SELECT version, arch AS dst_arch, norm_name, count(*) AS r
 rnd AS (SELECT rq.version, src_arch, rq.dst_arch, count(*) AS queries, avg(least(1.0::DOUBLE, 1.0::DOUBLE * relevant / candidates)) AS h1, avg(least(1.0::DOUBLE, 5.0::DOUBLE * relevant / candidates)) AS h5, avg(least(1.0::DOUBLE, 10.0::DOUBLE * relevant / candidates)) AS h10
  FROM rq JOIN names n ON n.version = rq.version AND n.dst_arch = rq.dst_arch AND n.norm_name = rq.norm_name JOIN szs s ON s.version = rq.version AND s.dst_arch = rq.dst_arch GROUP BY ALL)"""
 _M = ("hit_at_1", "hit_at_5", "hit_at_10", "mrr_at_10", "mean_inspected_at_10")
+_M9 = ", ".join(f"round({m}, 9) AS {m}" for m in _M)
 AGGS = ", ".join(f"round(avg(round({m}, 6)), 8) AS macro_{m}, round(sum(round({m}, 6) * queries) / greatest(sum(queries), 1), 8) AS weighted_{m}" for m in _M)
 SMAP = "smap AS (SELECT version, arch, norm_name, max(size) AS size FROM fx GROUP BY ALL)"
 STEPS = "steps AS (SELECT * FROM (SELECT arch, version AS old, lead(version) OVER (PARTITION BY arch ORDER BY version) AS new FROM (SELECT DISTINCT arch, version FROM smap)) WHERE new IS NOT NULL)"
@@ -110,8 +110,81 @@ pred AS (SELECT version, arch, label, guess AS predicted FROM ds QUALIFY row_num
 
 
 _STACK = " OR ".join(f"contains(t, '{r}')" for r in STACK_REGISTERS)
-_SCORES = " UNION ALL ".join(f"SELECT '{m}' AS method, {' + '.join(f'{w!r}::DOUBLE * {c}' for c, w in ws.items())} AS score FROM comp" for m, ws in WEIGHTS.items())
-_COMP = ", ".join(f"1.0::DOUBLE - ratio / {float(i)!r}::DOUBLE AS {c}" for i, c in enumerate(COMPONENTS[1:], 2))
+# The scorers' values, written again here so that the SQL doesn't take them from the code it checks.
+_METHODS = {
+    "size_stat": "size_s",
+    "shape_stat": "shape_s",
+    "clap": "token_s",
+    "issta_2024": "0.60::DOUBLE * token_s + 0.25::DOUBLE * shape_arch_s + 0.15::DOUBLE * context_s",
+    "gtrans": "graph_s",
+    "bar_2024": "0.40::DOUBLE * shape_arch_s + 0.35::DOUBLE * context_s + 0.25::DOUBLE * graph_arch_s",
+    "ammf": "0.55::DOUBLE * token_s + 0.30::DOUBLE * graph_s + 0.15::DOUBLE * context_s",
+    "cybersecurity_2025": "0.45::DOUBLE * fused_s + 0.20::DOUBLE * token_s + 0.20::DOUBLE * graph_arch_s + 0.15::DOUBLE * context_s",
+    "binary2vec": "0.60::DOUBLE * fused_s + 0.20::DOUBLE * graph_arch_s + 0.20::DOUBLE * shape_arch_s",
+    "vexir2vec_2023": "0.40::DOUBLE * graph_arch_s + 0.35::DOUBLE * token_s + 0.20::DOUBLE * shape_arch_s + 0.05::DOUBLE * context_s",
+    "ex2vec_2025": "0.35::DOUBLE * token_s + 0.30::DOUBLE * graph_arch_s + 0.20::DOUBLE * context_s + 0.15::DOUBLE * shape_arch_s",
+    "array_2025": "0.50::DOUBLE * fused_s + 0.25::DOUBLE * shape_arch_s + 0.25::DOUBLE * proto_s",
+    "proto_shape": "0.70::DOUBLE * shape_s + 0.10::DOUBLE * fused_s + 0.20::DOUBLE * proto_s",
+}
+_CLASSES = "LOAD STORE ARITH LOGIC SHIFT CMP CALL RET BRANCH_COND BRANCH_UNCOND STACK MOVE SYSCALL OTHER".split()
+
+
+def _hashed(column: str, prefix: str, dims: int) -> str:
+    """{column}v: function_id and its list of dims hashed weights."""
+    c = column
+    return f"""{c}o AS (SELECT function_id, fitted, len({c}) AS total, unnest({c}) AS token FROM rec), {c}c AS (SELECT function_id, fitted, token, total, count(*) AS n FROM {c}o GROUP BY ALL),
+{c}d AS (SELECT token, ln((1.0::DOUBLE + any_value(nf)) / (1.0::DOUBLE + count(*) FILTER (fitted))) + 1.0::DOUBLE AS idf FROM {c}c, nfit GROUP BY token),
+{c}h AS (SELECT function_id, ('0x' || substr(md5('{prefix}' || token), 1, 8))::BIGINT AS h, n::DOUBLE / total * idf AS weight FROM {c}c JOIN {c}d USING (token)),
+{c}s AS (SELECT function_id, h % {dims} AS slot, sum(CASE WHEN (h >> 8) & 1 = 1 THEN -weight ELSE weight END) AS value FROM {c}h GROUP BY ALL),
+{c}v AS (SELECT r.function_id, list(coalesce(value, 0.0::DOUBLE) ORDER BY i) AS v FROM (SELECT function_id, unnest(range({dims})) AS i FROM rec) r LEFT JOIN {c}s s ON s.function_id = r.function_id AND s.slot = r.i GROUP BY r.function_id)"""
+
+
+def _moments(name: str, column: str, by_arch: bool) -> str:
+    arch, group = ("arch, ", "arch, i") if by_arch else ("", "i")
+    return f"""{name} AS (SELECT {arch}list(mean ORDER BY i) AS mean, list(std ORDER BY i) AS std FROM (SELECT {arch}i, avg(x) AS mean, CASE WHEN var_pop(x) <= 1e-9 THEN 1.0::DOUBLE ELSE sqrt(var_pop(x)) END AS std
+ FROM (SELECT arch, unnest({column}) AS x, unnest(range(len({column}))) AS i FROM base WHERE fitted) GROUP BY {group}){' GROUP BY arch' if by_arch else ''})"""
+
+
+def _cosine(a: str, c: str) -> str:
+    return f"CASE WHEN list_dot_product({a}, {a}) <= 1e-12 OR list_dot_product({c}, {c}) <= 1e-12 THEN 0.0::DOUBLE ELSE list_dot_product({a}, {c}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({c}, {c})) END"
+
+
+def methods(fitted: str, tested: str) -> str:
+    """CTEs up to m: metrics a pair and method. fitted, tested: conditions on a record's version."""
+    count = lambda test: f"count(*) FILTER ({test})"
+    scale = lambda x, m, s: f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {m}[i]) / {s}[i])"
+    share = lambda x: f"list_transform({x}, lambda n: n::DOUBLE / greatest(list_sum({x}), 1))"
+    scales = (1.0, 0.2, 0.2, 1.0, 1.0)
+    gaps = " + ".join(f"pow((q.shp[{i}] - c.shp[{i}]) / {s}::DOUBLE, 2)" for i, s in enumerate(scales, 1))
+    cosines = ", ".join(f"{_cosine(f'q.{n}', f'c.{n}')} AS {n}_s" for n in ("token", "graph", "graph_arch", "context", "shape_arch", "fused"))
+    each = ", ".join(f"{{'method': '{m}', 'score': round({e}, 9)}}" for m, e in _METHODS.items())
+    return f"""WITH src AS (SELECT concat('rel-1.', CAST(30 + CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 7 AS VARCHAR), '.0') AS version, lang AS arch, concat('doc-', CAST(doc_id AS VARCHAR)) AS function_id,
+ CAST(doc_id AS BIGINT) AS address, CAST(n_chars AS BIGINT) AS size, concat('fn_', CAST(doc_id % 40 AS VARCHAR)) AS norm_name, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS tokens FROM documents),
+{shaped('sh', 'src')}, rec AS (SELECT *, {fitted} AS fitted, list_transform(tokens, lambda t: concat('len_', CAST(least(length(t), 12) AS VARCHAR))) AS contexts FROM sh),
+nfit AS (SELECT count(*) FILTER (fitted) AS nf FROM rec),
+tk AS (SELECT function_id, op, n, word FROM (SELECT *, {mnemonic_case('word')} AS op, length(word) AS n FROM (SELECT function_id, unnest(tokens) AS word FROM rec))),
+ct AS (SELECT function_id, count(*) AS ic, {count('n = 3')} AS bb, {count('n IN (3, 4)')} AS ed, {count("op = 'CALL'")} AS cc, {count("starts_with(op, 'BRANCH')")} AS bc, {count("op = 'RET'")} AS rc, {count('n > 8')} AS sc, {count("regexp_matches(word, '^[0-9]+$')")} AS kc,
+ [{', '.join(count(f"op = '{k}'") for k in _CLASSES)}] AS ops, [{', '.join(count(f'n % 11 = {i}') for i in range(11))}] AS eds FROM tk GROUP BY function_id),
+st AS (SELECT rec.*, coalesce(ic, 0) AS ic, coalesce(bb, 0) + 1 AS bb, coalesce(ed, 0) + 1 AS ed, coalesce(cc, 0) AS cc, coalesce(bc, 0) AS bc, coalesce(rc, 0) AS rc, coalesce(sc, 0) AS sc, coalesce(kc, 0) AS kc,
+ coalesce(ops, list_transform(range(14), lambda i: 0)) AS ops, coalesce(eds, list_transform(range(11), lambda i: 0)) AS eds FROM rec LEFT JOIN ct USING (function_id)),
+base AS (SELECT version, arch, function_id, norm_name, address, fitted, [log_size, addr_pos, order_pos, local_mean, local_diff] AS shp,
+ list_concat([ln(1.0::DOUBLE + size), ln(1.0::DOUBLE + ic), ln(1.0::DOUBLE + bb), ln(1.0::DOUBLE + ed), cc::DOUBLE / greatest(ic, 1), bc::DOUBLE / greatest(ic, 1), rc::DOUBLE / greatest(ic, 1), sc::DOUBLE / greatest(ic, 1), kc::DOUBLE / greatest(ic, 1), ic::DOUBLE / bb, ed::DOUBLE / bb], list_concat({share('ops')}, {share('eds')})) AS raw FROM st),
+{_moments('gall', 'raw', False)}, {_moments('garch', 'raw', True)}, {_moments('sarch', 'shp', True)}, {_hashed('tokens', 'tok:', 256)}, {_hashed('contexts', 'ctx:', 64)},
+vec0 AS (SELECT base.*, t.v AS token, x.v AS context, {scale('raw', 'gall.mean', 'gall.std')} AS graph, {scale('raw', 'coalesce(garch.mean, gall.mean)', 'coalesce(garch.std, gall.std)')} AS graph_arch,
+ CASE WHEN sarch.mean IS NULL THEN shp ELSE {scale('shp', 'sarch.mean', 'sarch.std')} END AS shape_arch FROM base JOIN tokensv t USING (function_id) JOIN contextsv x USING (function_id) CROSS JOIN gall LEFT JOIN garch ON garch.arch = base.arch LEFT JOIN sarch ON sarch.arch = base.arch),
+vec AS (SELECT *, list_concat(list_concat(token, graph_arch), list_concat(context, shape_arch)) AS fused FROM vec0),
+pm AS (SELECT norm_name, list(x ORDER BY i) AS proto FROM (SELECT norm_name, i, avg(x) AS x FROM (SELECT norm_name, unnest(fused) AS x, unnest(range(len(fused))) AS i FROM vec WHERE fitted) GROUP BY ALL) GROUP BY norm_name),
+fx AS (SELECT * FROM vec WHERE {tested}), {PAIRS}, {relevant('fx')},
+sc AS (SELECT q.version, q.src_arch, q.dst_arch, q.function_id, q.norm_name, c.norm_name AS c_name, c.address AS c_address, -abs(q.shp[1] - c.shp[1]) AS size_s, -({gaps}) AS shape_s, {cosines},
+ CASE WHEN p.proto IS NULL THEN 0.0::DOUBLE ELSE {_cosine('p.proto', 'c.fused')} END AS proto_s
+ FROM rq q JOIN fx c ON c.version = q.version AND c.arch = q.dst_arch LEFT JOIN pm p ON p.norm_name = q.norm_name),
+sm AS (SELECT version, src_arch, dst_arch, function_id, norm_name, c_name, c_address, unnest([{each}], recursive := true) FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY version, src_arch, dst_arch, function_id, method ORDER BY score DESC, c_address DESC, c_name) AS rnk FROM sm QUALIFY rnk <= 10),
+fs AS (SELECT version, src_arch, dst_arch, function_id, method, min(rnk) FILTER (c_name = norm_name) AS first FROM rk GROUP BY ALL), cn AS (SELECT version, arch AS dst_arch, count(*) AS candidates FROM vec GROUP BY ALL),
+m AS (SELECT version, src_arch, dst_arch, method, candidates, count(*) AS queries, avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_1, avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_5,
+ avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr_at_10, avg(CAST(coalesce(first, 11) AS DOUBLE)) AS mean_inspected_at_10 FROM fs JOIN cn USING (version, dst_arch) GROUP BY ALL)"""
+
+
 _LOOKUP = f"""{LOVO}, pl AS (SELECT t.vec_id, t.version, t.norm_name, sum(t.x * pv.value) AS d, sum(t.x * t.x) AS aa, sum(pv.value * pv.value) AS bb FROM long t JOIN pv ON pv.tn > 0 AND pv.test_version = t.version AND pv.norm_name = t.norm_name AND pv.dim = t.dim GROUP BY ALL),
 lk AS (SELECT vec.vec_id, vec.version, vec.norm_name, vec.v, round(coalesce(CASE WHEN aa > 1e-12 AND bb > 1e-12 THEN d / sqrt(aa * bb) ELSE 0 END, 0), 6) AS proto_score FROM vec LEFT JOIN pl USING (vec_id))"""
 
@@ -198,7 +271,9 @@ SQL: dict[str, str] = {
     "prototypes_earlier_versions": f"{PROTO}, pv AS (SELECT version AS test_version, norm_name, dim, sum(s) OVER e / sum(n) OVER e AS value, sum(n) OVER e AS tn FROM own WINDOW e AS (PARTITION BY norm_name, dim ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT test_version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM pv WHERE tn > 0",
     "cosine_dense": f"WITH {VEC} SELECT a.vec_id AS a, round(CASE WHEN list_dot_product(a.v, a.v) <= 1e-12 OR list_dot_product(c.v, c.v) <= 1e-12 THEN 0 ELSE list_dot_product(a.v, c.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(c.v, c.v)) END, 6) AS cosine FROM vec a JOIN vec c ON c.vec_id = a.vec_id + 1",
     "prototype_lookup": f"{_LOOKUP} SELECT vec_id, version, norm_name, proto_score FROM lk",
-    "method_scores": f"WITH {FX}, {PAIRS}, {relevant('fx')}, {sampled(40)}, {BY_SIZE}, rr AS (SELECT ranked.*, distance::DOUBLE / greatest(size, c_size, 1) AS ratio, -abs(ln(1.0::DOUBLE + size) - ln(1.0::DOUBLE + c_size)) AS sz FROM ranked), comp AS (SELECT sz AS size, {_COMP} FROM rr), s AS ({_SCORES}) SELECT method, count(*) AS n, round(avg(score), 6) AS mean_score FROM s GROUP BY method",
+    "method_scores": f"{methods('true', 'true')} SELECT method, count(*) AS pairs, CAST(sum(queries) AS BIGINT) AS queries, {AGGS} FROM m GROUP BY method",
+    "method_retrieval": f"{methods(f'{KEY3} <> [1, 33, 0]', f'{KEY3} = [1, 33, 0]')} SELECT version, src_arch, dst_arch, method, queries, candidates, {_M9} FROM m",
+    "method_retrieval_temporal": f"{methods(f'{KEY3} < [1, 33, 0]', f'{KEY3} = [1, 33, 0]')} SELECT version, src_arch, dst_arch, method, queries, candidates, {_M9} FROM m",
 }
 
 _ROUNDED = ", ".join(f"round({c}, 9) AS {c}" for c in _SHAPE)

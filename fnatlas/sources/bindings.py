@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tokens import EDGE_TYPES, OP_CLASSES, mnemonic_class
+
 #: The total order of the functions of a binary.
 ORDER = ("address", "size", "norm_name", "function_id")
 
@@ -62,6 +64,33 @@ def docs(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) -> Dat
     )
 
 
+def method_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with all that the scorers compare: a document's words are its tokens, their lengths its contexts and edges."""
+    rows = docs(spark, sf_dir)
+    word, n = F.col("word"), F.length("word")
+    long = rows.select("function_id", F.explode("tokens").alias("word")).withColumn("op", mnemonic_class(word))
+    sums = {
+        "basic_block_count": n == 3,
+        "cfg_edge_count": n.isin(3, 4),
+        "call_count": F.col("op") == "CALL",
+        "branch_count": F.col("op").startswith("BRANCH"),
+        "ret_count": F.col("op") == "RET",
+        "string_ref_count": n > 8,
+        "constant_count": word.rlike("^[0-9]+$"),
+    }
+    of = lambda tests: F.array(*[F.count_if(t) for t in tests])
+    counts = long.groupBy("function_id").agg(
+        *[F.count_if(test).alias(name) for name, test in sums.items()],
+        of([F.col("op") == k for k in OP_CLASSES]).alias("op_counts"),
+        of([n % len(EDGE_TYPES) == i for i in range(len(EDGE_TYPES))]).alias("edge_counts"),
+    )
+    out = rows.join(counts, "function_id", "left").withColumn("instruction_count", F.size("tokens"))
+    out = out.fillna(0, [*sums]).withColumn("contexts", F.transform("tokens", lambda t: F.concat(F.lit("len_"), F.least(F.length(t), F.lit(12)).cast("string"))))
+    for name, listed in (("op_counts", OP_CLASSES), ("edge_counts", EDGE_TYPES)):
+        out = out.withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0).cast("long"), len(listed))))
+    return out.withColumn("basic_block_count", F.col("basic_block_count") + 1).withColumn("cfg_edge_count", F.col("cfg_edge_count") + 1)
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector features: one fused vector a record."""
     v = F.col("vec_id")
