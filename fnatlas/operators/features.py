@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import version_key
-from ..functions.tokens import mnemonic_class
+from ..functions.tokens import mnemonic_class, token_class
 from ..functions.vectors import hashed_slot
 
 #: A vocabulary of at most so many tokens is broadcast to its occurrences; a larger one is joined by shuffle.
@@ -59,6 +61,25 @@ def class_histogram(records: DataFrame, key: str = "function_id") -> DataFrame:
     return records.select(key, F.explode("tokens").alias("token")).groupBy(key, mnemonic_class(F.col("token")).alias("op_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def feature_histograms(records: DataFrame, *keys: str) -> DataFrame:
+    """(keys, kind, key, n): classes of tokens (op), edge types (edge) and contexts (ctx: str:, const:, call:), counted. Records are as
+    read_features gives them; null lists count as empty. A record's entries are exploded once and counted before the shuffle."""
+    entry = "array<struct<kind:string,key:string,n:bigint>>"
+
+    def entries(kind: str, listed: str, key: Callable[[Column], Column], n: Callable[[Column], Column] = lambda x: F.lit(1)) -> Column:
+        made = F.transform(listed, lambda x: F.struct(F.lit(kind).alias("kind"), key(x).alias("key"), n(x).cast("long").alias("n")))
+        return F.coalesce(made, F.array().cast(entry))
+
+    every = F.concat(
+        entries("op", "tokens", token_class),
+        entries("edge", "edge_types", lambda x: x),
+        entries("ctx", "string_refs", lambda x: F.concat(F.lit("str:"), x["category"]), lambda x: x["count"]),
+        entries("ctx", "constant_buckets", lambda x: F.concat(F.lit("const:"), x["bucket"]), lambda x: x["count"]),
+        entries("ctx", "call_refs", lambda x: F.concat(F.lit("call:"), x["kind"])),
+    )
+    return records.select(*keys, F.explode(every).alias("e")).groupBy(*keys, "e.kind", "e.key").agg(F.sum("e.n").alias("n"))
+
+
 def fit_scalers(long: DataFrame) -> DataFrame:
     """Mean and deviation of each column over all (arch null) and per arch, in one pass. long: arch, dim, x."""
     both = long.groupBy("dim", "arch").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))

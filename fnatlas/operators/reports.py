@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import version_key
@@ -47,6 +47,34 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
     return rows.groupBy(F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def even_bins(rows: DataFrame, column: str, bins: int) -> DataFrame:
+    """(bin, n): counts in bins of one width between the least and the greatest value, which belongs to the last bin. Equal
+    values lie in the middle of a range of 1. Only the two ends come to the driver."""
+    low, high = rows.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    if low is not None and low == high:
+        low, high = low - 0.5, high + 0.5
+    at = F.floor((F.col(column) - F.lit(low)) / (F.lit(high) - F.lit(low)) * F.lit(bins))
+    return rows.filter(F.col(column).isNotNull()).groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def select_binaries(binaries: DataFrame, versions: list[str] | None = None, arches: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Binaries of the versions (whole or without their prefix) and architectures asked for, in order of version and architecture; the first `most` of them if a limit is set."""
+    out = binaries
+    if versions:
+        out = out.filter(F.col("version").isin(versions) | F.substring_index("version", "-", -1).isin(versions))
+    if arches:
+        out = out.filter(F.col("arch").isin(arches))
+    out = out.orderBy(version_key(F.col("version")), "version", "arch")
+    return out if most is None else out.limit(most)
+
+
+def leave_one_arch(counts: DataFrame) -> DataFrame:
+    """For each architecture (a row each: arch, functions) as the test: those to train on, in order, and the functions of both sides."""
+    every = Window.partitionBy()  # a row an architecture
+    others = F.array_remove(F.array_sort(F.collect_set("arch").over(every)), F.col("arch"))
+    return counts.select(F.col("arch").alias("test_arch"), F.array_join(others, ",").alias("train_arches"), F.col("functions").alias("test_functions"), (F.sum("functions").over(every) - F.col("functions")).alias("train_functions"))
+
+
 def step_counts(events: DataFrame) -> DataFrame:
     """Events, failures and durations per step and status."""
     return events.groupBy("step", "status").agg(F.count(F.lit(1)).alias("n"), F.avg("duration_sec").alias("mean_sec"), F.max("duration_sec").alias("max_sec"))

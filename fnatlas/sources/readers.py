@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 SYMBOLS = "version string, arch string, binary_name string, address string, size string, type string, bind string, visibility string, section_index string, name string, norm_name string, analysis_func string"
 FEATURES = """function_id string, binary_id string, version string, arch string, start_addr string, size bigint, tokens array<string>, token_truncated int,
  cfg_edges array<array<string>>, call_refs array<struct<kind:string>>, string_refs array<struct<category:string,count:bigint>>,
- constant_buckets array<struct<bucket:string,count:bigint>>, stats struct<instruction_count:bigint,basic_block_count:bigint,cfg_edge_count:bigint>,
+ constant_buckets array<struct<bucket:string,count:bigint>>, stats struct<instruction_count:bigint,basic_block_count:bigint,cfg_edge_count:bigint,
+  call_count:bigint,branch_count:bigint,ret_count:bigint,string_ref_count:bigint,constant_count:bigint>,
  extract_error struct<error:string>"""
 
 
@@ -20,18 +21,18 @@ def read_symbols(spark: SparkSession, path: str, min_size: int = 1) -> DataFrame
     return rows.filter(f"analysis_func = 1 AND size >= {min_size} AND address IS NOT NULL AND norm_name != ''").repartition("version", "arch")
 
 
-def read_features(spark: SparkSession, path: str, min_size: int = 16, min_instructions: int = 4) -> DataFrame:
-    """Function features of JSON lines in folders named by version; failed and small rows go. Only needed leaves are read."""
-    rows = spark.read.schema(FEATURES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(path)
-    rows = rows.withColumn("version", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+def read_features(spark: SparkSession, path: str, min_size: int = 16, min_instructions: int = 4, files: str = "*.jsonl") -> DataFrame:
+    """Function features of JSON lines in folders named by version (or version=...); failed and small rows go. Only needed leaves are read."""
+    rows = spark.read.schema(FEATURES).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
+    rows = rows.withColumn("version", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^version=", ""))
     rows = rows.filter(f"extract_error IS NULL AND size >= {min_size} AND stats.instruction_count >= {min_instructions}")
     return rows.withColumn("edge_types", F.transform("cfg_edges", lambda e: F.get(e, F.lit(2)))).withColumn("address", F.conv(F.regexp_replace("start_addr", "^0[xX]", ""), 16, 10).cast("long")).drop("cfg_edges", "extract_error")
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Function counts from many small JSON files."""
+def read_summaries(spark: SparkSession, path: str, files: str = "*.summary.json") -> DataFrame:
+    """Function counts from many small JSON files, each an object or a list of them."""
     schema = "binary_id string, version string, arch string, status string, function_count bigint, duration_sec double"
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.summary.json").option("recursiveFileLookup", True).json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", files).option("recursiveFileLookup", True).json(path)
 
 
 #: The columns of a line of a symbol table, in order; the name is the rest of the line.
@@ -87,6 +88,11 @@ def merge_features(features: DataFrame, status: DataFrame) -> DataFrame:
     return features.join(status.filter("status IN ('completed', 'exists')").select("binary_id").distinct(), "binary_id", "left_semi")
 
 
+def write_merged(features: DataFrame, status: DataFrame, path: str) -> None:
+    """Features of finished binaries as one table in folders by version and arch; a binary's rows are written by one task."""
+    merge_features(features, status).repartition("version", "arch").write.mode("overwrite").partitionBy("version", "arch").parquet(path)
+
+
 def write_results(rows: DataFrame, path: str, columns: list[str], kind: str = "csv", compression: str | None = None) -> None:
     """A result table with a fixed list of columns, as CSV (gzip or not) or JSON lines."""
     out = rows.select(*columns).write.mode("overwrite")

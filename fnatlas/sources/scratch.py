@@ -5,19 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the folder that spark.checkpoint.dir names and read back, so that several uses don't compute it
-    again and a lost executor costs only its own tasks. Only a local session without that setting gets a temporary folder."""
-    spark = df.sparkSession
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Only a local session without that setting gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once to the shared folder and read back, so that several uses don't compute it again and a lost executor
+    costs only its own tasks."""
+    spark = df.sparkSession
+    path = place(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
