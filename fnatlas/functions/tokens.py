@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 # Fixed values, in the order in which they are tried: whole mnemonics, or prefixes of them.
 MNEMONICS = [
-    ("CALL", "whole", "call bl blr jal jalr bal"),
-    ("RET", "whole", "ret retn eret bx jr"),
-    ("SYSCALL", "whole", "syscall svc swi int"),
-    ("MOVE", "whole", "mov move movz movn lea li la adr adrp csel"),
-    ("LOAD", "prefix", "ldr ld lw lh lb lbu lhu ldu movsx movzx"),
-    ("STORE", "prefix", "str st sw sh sb"),
-    ("ARITH", "prefix", "add sub mul imul div idiv madd msub neg inc dec"),
-    ("LOGIC", "prefix", "and orr or xor eor not bic nor"),
-    ("SHIFT", "prefix", "shl shr sar sal sll srl sra lsl lsr asr ror rol"),
-    ("CMP", "prefix", "cmp cmn test tst slt slti"),
-    ("BRANCH_UNCOND", "whole", "jmp j b br bra"),
-    ("BRANCH_COND", "prefix", "je jne jz jnz ja jae jb jbe jg jge jl jle jo jno js jns jp jnp beq bne bgt bge blt ble bhi bls bcs bcc cbz cbnz tbz tbnz"),
-    ("STACK", "prefix", "push pop"),
-    ("STACK", "whole", "enter leave stp ldp"),
-]
+    ("CALL", "whole", ("call", "bl", "blr", "jal", "jalr", "bal")),
+    ("RET", "whole", ("ret", "retn", "eret", "bx", "jr")),
+    ("SYSCALL", "whole", ("syscall", "svc", "swi", "int")),
+    ("MOVE", "whole", ("mov", "move", "movz", "movn", "lea", "li", "la", "adr", "adrp", "csel")),
+    ("LOAD", "prefix", ("ldr", "ld", "lw", "lh", "lb", "lbu", "lhu", "ldu", "movsx", "movzx")),
+    ("STORE", "prefix", ("str", "st", "sw", "sh", "sb")),
+    ("ARITH", "prefix", ("add", "sub", "mul", "imul", "div", "idiv", "madd", "msub", "neg", "inc", "dec")),
+    ("LOGIC", "prefix", ("and", "orr", "or", "xor", "eor", "not", "bic", "nor")),
+    ("SHIFT", "prefix", ("shl", "shr", "sar", "sal", "sll", "srl", "sra", "lsl", "lsr", "asr", "ror", "rol")),
+    ("CMP", "prefix", ("cmp", "cmn", "test", "tst", "slt", "slti")),
+    ("BRANCH_UNCOND", "whole", ("jmp", "j", "b", "br", "bra")),
+    ("BRANCH_COND", "prefix", ("je", "jne", "jz", "jnz", "ja", "jae", "jb", "jbe", "jg", "jge", "jl", "jle", "jo", "jno", "js", "jns", "jp", "jnp", "beq", "bne", "bgt", "bge", "blt", "ble", "bhi", "bls", "bcs", "bcc", "cbz", "cbnz", "tbz", "tbnz")),
+    ("STACK", "prefix", ("push", "pop")),
+    ("STACK", "whole", ("enter", "leave", "stp", "ldp")),
+]
 # Classes of operations and types of edges, in the order of a record's counters.
 OP_CLASSES = ("LOAD", "STORE", "ARITH", "LOGIC", "SHIFT", "CMP", "CALL", "RET", "BRANCH_COND", "BRANCH_UNCOND", "STACK", "MOVE", "SYSCALL", "OTHER")
 EDGE_TYPES = (
@@ -37,7 +37,6 @@ def mnemonic_class(mnemonic: Column) -> Column:
     m = F.substring_index(F.lower(F.trim(mnemonic)), ".", 1)
     out = F.when(F.trim(mnemonic) == "", "OTHER")
     for name, kind, listed in MNEMONICS:
-        listed = listed.split()
         out = out.when(m.isin(*listed) if kind == "whole" else m.rlike(f"^({'|'.join(listed)})"), name)
     return out.otherwise("OTHER")
 

@@ -153,6 +153,23 @@ def leave_one_arch(spark, d):
     return reports.leave_one_arch(b.functions(spark, d).groupBy("arch").agg(F.count(F.lit(1)).alias("functions")))
 
 
+@query
+def manifest_summary(spark, d):
+    """Paired and stripped-only binaries, over all and by architecture."""
+    s = b.stripped(spark, d).select("version", "arch").distinct()
+    u = b.labels(spark, d).filter("quantity > 10 AND version < 'rel-1.35.0'").select("version", "arch").distinct()
+    return reports.manifest_summary(reports.pair_artifacts(s, u))
+
+
+@query
+def attached_alignment(spark, d):
+    """Stripped functions with the labels of a saved alignment, of which every row must be found."""
+    keys = ["version", "arch", "function_id"]
+    found = b.stripped(spark, d).select(*keys, "size", "basic_block_count")
+    saved = b.labels(spark, d).filter("l_orderkey % 7 != 0").select(*keys, F.col("norm_name").alias("label"))
+    return reports.reattach(found, saved, keys)
+
+
 @query
 def graph_vectors(spark, d):
     """The 36 numbers of a record's graph vector, in long form."""
@@ -226,6 +243,9 @@ SELECT version, arch, kind, key, CAST(sum(n) AS BIGINT) AS n FROM every GROUP BY
     "result_tables": f"WITH {sql.FX}, {sql.STATS} SELECT version, arch, functions, round(mean, 6) AS mean, round(p99, 6) AS p99 FROM st",
     "binary_manifest": f"{_BY_BINARY} SELECT version, arch, n AS functions FROM n WHERE arch IN ('1-URGENT', '2-HIGH', '3-MEDIUM') ORDER BY {_KEY}, version, arch LIMIT 10",
     "leave_one_arch": f"{_BY_BINARY}, a AS (SELECT arch, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY arch) SELECT t.arch AS test_arch, string_agg(o.arch, ',' ORDER BY o.arch) AS train_arches, t.n AS test_functions, CAST(sum(o.n) AS BIGINT) AS train_functions FROM a t JOIN a o ON o.arch <> t.arch GROUP BY ALL",
+    "manifest_summary": f"""WITH {sql.FX}, {sql.STR}, {sql.LAB}, s AS (SELECT DISTINCT version, arch FROM strip), u AS (SELECT DISTINCT version, arch, 1 AS has FROM lab WHERE quantity > 10 AND version < 'rel-1.35.0'), p AS (SELECT version, arch, has FROM s LEFT JOIN u USING (version, arch))
+ SELECT arch, count(*) AS binaries, count(has) AS paired, count(*) - count(has) AS stripped_only, arg_min(version, {_KEY}) AS first_version, arg_max(version, {_KEY}) AS last_version FROM p GROUP BY ROLLUP (arch)""",
+    "attached_alignment": f"WITH {sql.FX}, {sql.STR}, {sql.LAB} SELECT version, arch, function_id, s.size, CAST(s.quantity AS BIGINT) AS basic_block_count, l.norm_name AS label FROM strip s JOIN lab l USING (version, arch, function_id)",
     "graph_vectors": f"{sql.methods('true', 'true')} SELECT function_id, CAST(unnest(range(len(raw))) AS INT) AS dim, round(unnest(raw), 6) AS value FROM base",
     "version_trend": f"WITH s AS ({sql.SQL['summary_by_version']}) SELECT version, max(macro_hit_at_10) FILTER (method = 'size') AS size_hit_at_10, max(macro_hit_at_10) FILTER (method = 'shape') AS shape_hit_at_10 FROM s GROUP BY version",
     "difference_bins": f"{sql.PD}, {_even_bins('difference', 31, 'pr')}",

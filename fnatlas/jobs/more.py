@@ -186,9 +186,7 @@ def representative_versions(spark, d):
 
 @query
 def shared_names(spark, d):
-    s = b.functions(spark, d).select("version", "arch", "norm_name").distinct()
-    n = s.groupBy("version", "norm_name").agg(F.count(F.lit(1)).alias("arches"))
-    return n.groupBy("version").agg(F.count_if(F.col("arches") == 5).alias("in_all"), F.count(F.lit(1)).alias("in_any"))
+    return reports.shared_names(b.functions(spark, d))
 
 
 @query
@@ -206,7 +204,11 @@ def daily_status(spark, d):
 
 
 _FX, _VEC = sql.FX, sql.VEC
-_G = " + ".join(f"((q.v[{i}] - c.v[{i}]) / {s!r}::DOUBLE) ** 2" for i, s in enumerate(vectors.SHAPE_SCALES, 1))
+# Fixed values, written again here so that the SQL doesn't take them from the code that it checks.
+_SCALES = (1.0, 0.2, 0.2, 1.0, 1.0)
+_ABLATION = [(0.70, 0.10, 0.20), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0 / 3.0, 2.0 / 3.0), (7.0 / 9.0, 0.0, 2.0 / 9.0), (7.0 / 8.0, 1.0 / 8.0, 0.0)]
+_TENTHS = [(i / 10, j / 10, (10 - i - j) / 10) for i in range(11) for j in range(11 - i)]
+_G = " + ".join(f"((q.v[{i}] - c.v[{i}]) / {s!r}::DOUBLE) ** 2" for i, s in enumerate(_SCALES, 1))
 _COS = "CASE WHEN list_dot_product({a}, {a}) <= 1e-12 OR list_dot_product({b}, {b}) <= 1e-12 THEN 0 ELSE list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b})) END"
 _PAIRED = f"""{sql.LOVO}, pr AS (SELECT test_version, norm_name, list(value ORDER BY dim) AS p FROM pv WHERE tn > 0 GROUP BY ALL),
 comp AS (SELECT q.version, q.arch AS src_arch, c.arch AS dst_arch, q.vec_id AS q_id, q.norm_name AS q_name, c.vec_id AS c_id, c.norm_name AS c_name, -({_G}) AS g, {_COS.format(a='q.v', b='c.v')} AS f, coalesce({_COS.format(a='c.v', b='pr.p')}, 0) AS p
@@ -223,11 +225,11 @@ sm AS (SELECT CAST(config AS INT) AS config, count(*) AS queries, count(DISTINCT
  round(avg(CASE WHEN rnk <= 10 THEN 1.0::DOUBLE / rnk ELSE 0 END), 9) AS mrr_at_10, round(avg(CAST(least(rnk, 11) AS DOUBLE)), 9) AS mean_inspected_at_10 FROM rk GROUP BY config)"""
 
 
-_SD = " + ".join(f"(({c} - p_{c}) / {s!r}::DOUBLE) ** 2" for c, s in zip(SHAPE, vectors.SHAPE_SCALES, strict=True))
+_SD = " + ".join(f"(({c} - p_{c}) / {s!r}::DOUBLE) ** 2" for c, s in zip(SHAPE, _SCALES, strict=True))
 SQL: dict[str, str] = {
     "topk_rank": f"{_PAIRED}, s AS (SELECT *, round(0.7::DOUBLE * g + 0.1::DOUBLE * f + 0.2::DOUBLE * p, 9) AS score FROM comp) SELECT version, src_arch, dst_arch, q_id, c_id, c_name, row_number() OVER w AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY version, src_arch, dst_arch, q_id ORDER BY s.score DESC, c_id DESC, c_name DESC) QUALIFY row_number() OVER w <= 10",
-    "weight_sweep": _sweep_sql(scoring.simplex(), "rel-1.31.0", "rel-1.33.0") + " SELECT *, row_number() OVER (ORDER BY hit_at_10 DESC, hit_at_1 DESC, mrr_at_10 DESC, config) AS place FROM sm",
-    "ablation": _sweep_sql(list(scoring.ABLATION.values()), "rel-1.34.0", "rel-1.36.0") + " SELECT * FROM sm",
+    "weight_sweep": _sweep_sql(_TENTHS, "rel-1.31.0", "rel-1.33.0") + " SELECT *, row_number() OVER (ORDER BY hit_at_10 DESC, hit_at_1 DESC, mrr_at_10 DESC, config) AS place FROM sm",
+    "ablation": _sweep_sql(_ABLATION, "rel-1.34.0", "rel-1.36.0") + " SELECT * FROM sm",
     "zscore": f"WITH {_VEC}, {sql.LONG}, sc AS (SELECT arch, dim, avg(x) AS m, CASE WHEN var_pop(x) <= 1e-9 THEN 1 ELSE sqrt(var_pop(x)) END AS s FROM long GROUP BY ALL), z AS (SELECT vec_id, (x - m) / s AS z FROM long JOIN sc USING (arch, dim)) SELECT vec_id, round(sqrt(sum(z * z)), 6) AS norm, round(max(z), 6) AS top FROM z GROUP BY vec_id",
     "l2_normalize": f"WITH {_VEC}, u AS (SELECT vec_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM vec) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_max(v) / n, 6) AS top FROM u",
     "shape_distance": f"WITH {_FX}, {sql.shaped('sh', 'fx')}, l AS (SELECT function_id, {', '.join(SHAPE)}, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in SHAPE)} FROM sh WINDOW w AS (PARTITION BY version, arch ORDER BY address, size, norm_name, function_id)) SELECT function_id, round({_SD}, 6) AS distance FROM l WHERE p_log_size IS NOT NULL",
@@ -235,7 +237,8 @@ SQL: dict[str, str] = {
     "transfer_calibration": f"WITH {_FX}, {sql.PAIRS}, {sql.shaped('sh', 'fx')}, {sql.relevant('sh')}, {sql.ALL_QUERIES}, st AS (SELECT version, arch, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) <= 1e-9 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in SHAPE)} FROM sh GROUP BY ALL) SELECT q.version, q.src_arch, q.dst_arch, q.function_id, {', '.join(f'round(d.{c}_m + (q.{c} - s.{c}_m) / s.{c}_s * d.{c}_s, 6) AS {c}' for c in SHAPE)} FROM q JOIN st s ON s.version = q.version AND s.arch = q.src_arch JOIN st d ON d.version = q.version AND d.arch = q.dst_arch",
     "reattach_alignment": f"WITH {_FX}, {sql.LAB}, {sql.STR} SELECT l.version, l.arch, count(s.function_id) AS attached, count(*) FILTER (s.function_id IS NULL) AS unmatched FROM lab l LEFT JOIN strip s ON s.version = l.version AND s.arch = l.arch AND s.function_id = l.function_id GROUP BY ALL",
     "binary_features": f"WITH {_FX}, {sql.STR}, {sql.STATS}, m AS (SELECT version, arch, CAST(sum(size) AS BIGINT) AS bytes FROM strip GROUP BY ALL HAVING sum(size) % 2 = 0) SELECT version, arch, functions, round(coalesce(bytes, 0) / 1048576.0::DOUBLE, 6) AS mib, round(median, 6) AS median, round(p90, 6) AS p90, CAST({sql.RANGE_LABEL} AS INT) AS label FROM st LEFT JOIN m USING (version, arch)",
-    "experiment_rollup": sql.SQL["change_transfer"].replace("round(ps / positives, 6) AS average_precision", "0 AS ap").replace("SELECT old, new, src_arch, dst_arch, n, positives, round((rs", "SELECT round((rs", 1).join(["WITH ct AS (", f"), p AS ({sql.SQL['cross_arch_size_retrieval']}) SELECT 'retrieval_hit_at_10' AS experiment, count(*) AS rows, round(avg(round(hit_at_10, 6)), 8) AS value FROM p UNION ALL SELECT 'change_transfer_auc', count(*), round(avg(auc), 8) FROM ct"]),
+    "experiment_rollup": f"""WITH p AS ({sql.SQL['cross_arch_size_retrieval']}), ct AS ({sql.SQL['change_transfer']})
+ SELECT 'retrieval_hit_at_10' AS experiment, count(*) AS rows, round(avg(round(hit_at_10, 6)), 8) AS value FROM p UNION ALL SELECT 'change_transfer_auc', count(*), round(avg(auc), 8) FROM ct""",
     "best_by_version": f"WITH s AS ({sql.SQL['summary_by_version']}) SELECT version, method, weighted_hit_at_1 AS hit_at_1 FROM s WHERE rank = 1",
     "overall_ranking": f"WITH s AS ({sql.SQL['summary_by_method']}) SELECT method, row_number() OVER (ORDER BY round(weighted_hit_at_1, 6) DESC, round(weighted_hit_at_10, 6) DESC, round(weighted_mrr_at_10, 6) DESC, round(weighted_mean_inspected_at_10, 6), method) AS rank, queries FROM s",
     "pair_gain": f"{sql.PD} SELECT src_arch, dst_arch, count(*) AS pairs, round(avg(difference), 6) AS gain FROM pd GROUP BY GROUPING SETS ((src_arch, dst_arch), (src_arch), (dst_arch))",
@@ -245,7 +248,7 @@ SQL: dict[str, str] = {
     "token_classes": f"WITH t AS ({sql.SQL['instruction_token']}) SELECT split_part(token, ' ', 1) AS op_class, CAST(sum(n) AS BIGINT) AS n, count(*) AS tokens FROM t GROUP BY 1",
     "consecutive_versions": f"WITH {_FX}, {sql.SMAP}, {sql.STEPS} SELECT arch, old, new FROM steps",
     "representative_versions": f"WITH {_FX}, v AS (SELECT version, row_number() OVER (ORDER BY version) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT version FROM fx)) SELECT version, place FROM v WHERE place % greatest(1, n // 3) = 0",
-    "shared_names": f"WITH {_FX}, n AS (SELECT version, norm_name, count(DISTINCT arch) AS arches FROM fx GROUP BY ALL) SELECT version, count(*) FILTER (arches = 5) AS in_all, count(*) AS in_any FROM n GROUP BY version",
+    "shared_names": f"WITH {_FX}, n AS (SELECT version, norm_name, count(DISTINCT arch) AS arches FROM fx GROUP BY ALL) SELECT version, count(*) FILTER (arches = (SELECT count(DISTINCT arch) FROM fx WHERE fx.version = n.version)) AS in_all, count(*) AS in_any FROM n GROUP BY version",
     "extraction_report": "SELECT event_type AS step, count(*) FILTER (value >= 5) AS completed, count(*) FILTER (value < 5) AS failed FROM events GROUP BY step",
     "daily_status": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type AS step, CASE WHEN value < 5 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n, round(max(value), 6) AS max_sec FROM events GROUP BY ALL",
 }

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from ..functions.tokens import MESSAGE_WORDS, MNEMONICS, STACK_REGISTERS
-from ..functions.vectors import SHAPE_SCALES
+# Fixed values, written again here so that the SQL doesn't take them from the code that it checks.
+_SCALES = (1.0, 0.2, 0.2, 1.0, 1.0)
+_STACK_NAMES = ("sp", "rsp", "esp", "rbp", "ebp", "$sp", "r11", "fp", "x29")
+_MNEMONIC_TESTS = [
+    ("CALL", "IN ('call', 'bl', 'blr', 'jal', 'jalr', 'bal')"),
+    ("RET", "IN ('ret', 'retn', 'eret', 'bx', 'jr')"),
+    ("SYSCALL", "IN ('syscall', 'svc', 'swi', 'int')"),
+    ("MOVE", "IN ('mov', 'move', 'movz', 'movn', 'lea', 'li', 'la', 'adr', 'adrp', 'csel')"),
+    ("LOAD", "^(ldr|ld|lw|lh|lb|lbu|lhu|ldu|movsx|movzx)"),
+    ("STORE", "^(str|st|sw|sh|sb)"),
+    ("ARITH", "^(add|sub|mul|imul|div|idiv|madd|msub|neg|inc|dec)"),
+    ("LOGIC", "^(and|orr|or|xor|eor|not|bic|nor)"),
+    ("SHIFT", "^(shl|shr|sar|sal|sll|srl|sra|lsl|lsr|asr|ror|rol)"),
+    ("CMP", "^(cmp|cmn|test|tst|slt|slti)"),
+    ("BRANCH_UNCOND", "IN ('jmp', 'j', 'b', 'br', 'bra')"),
+    ("BRANCH_COND", "^(je|jne|jz|jnz|ja|jae|jb|jbe|jg|jge|jl|jle|jo|jno|js|jns|jp|jnp|beq|bne|bgt|bge|blt|ble|bhi|bls|bcs|bcc|cbz|cbnz|tbz|tbnz)"),
+    ("STACK", "^(push|pop)"),
+    ("STACK", "IN ('enter', 'leave', 'stp', 'ldp')"),
+]
 
 FX = """fx AS (
  SELECT concat('rel-1.', CAST(year(o_orderdate) - 1965 AS VARCHAR), '.0') AS version, o_orderpriority AS arch,
@@ -40,9 +57,8 @@ def shaped(name: str, source: str) -> str:
 def mnemonic_case(word: str) -> str:
     m = f"split_part(lower(trim({word})), '.', 1)"
     out = f"CASE WHEN trim({word}) = '' THEN 'OTHER'"
-    for name, kind, listed in MNEMONICS:
-        names = listed.split()
-        test = f"{m} IN ({', '.join(repr(x) for x in names)})" if kind == "whole" else f"regexp_matches({m}, '^({'|'.join(names)})')"
+    for name, listed in _MNEMONIC_TESTS:
+        test = f"{m} {listed}" if listed.startswith("IN") else f"regexp_matches({m}, '{listed}')"
         out += f" WHEN {test} THEN '{name}'"
     return out + " ELSE 'OTHER' END"
 
@@ -109,7 +125,7 @@ ds AS (SELECT te.version, te.arch, te.label, guess, round(sum(((x - m) / s - c)
 pred AS (SELECT version, arch, label, guess AS predicted FROM ds QUALIFY row_number() OVER (PARTITION BY version, arch, label ORDER BY d, guess) = 1)"""
 
 
-_STACK = " OR ".join(f"contains(t, '{r}')" for r in STACK_REGISTERS)
+_STACK = " OR ".join(f"contains(t, '{r}')" for r in _STACK_NAMES)
 # The scorers' values, written again here so that the SQL doesn't take them from the code it checks.
 _METHODS = {
     "size_stat": "size_s",
@@ -197,7 +213,7 @@ def window(name: str, q: str, c: str, reach: int, ties: str, arch: str = "arch")
 
 
 def gap(dims: int) -> str:
-    return " + ".join(f"(({c} - c_{c}) / {s!r}::DOUBLE) * (({c} - c_{c}) / {s!r}::DOUBLE)" for c, s in zip(_SHAPE[:dims], SHAPE_SCALES[:dims], strict=True))
+    return " + ".join(f"(({c} - c_{c}) / {s!r}::DOUBLE) * (({c} - c_{c}) / {s!r}::DOUBLE)" for c, s in zip(_SHAPE[:dims], _SCALES[:dims], strict=True))
 
 
 
@@ -222,7 +238,7 @@ SQL: dict[str, str] = {
     "classify_mnemonic": f"WITH {DOCS}, w AS (SELECT w, count(*) AS n FROM (SELECT unnest(tokens) AS w FROM docs) GROUP BY w) SELECT {mnemonic_case('w')} AS op_class, CAST(sum(n) AS BIGINT) AS n, count(*) AS words FROM w GROUP BY ALL",
     "imm_bucket": f"WITH v AS (SELECT l_partkey - 1000 AS v FROM lineitem UNION ALL SELECT l_orderkey * l_partkey FROM lineitem) SELECT {bucket_case('v')} AS bucket, count(*) AS n FROM v GROUP BY ALL",
     "string_category": f"""WITH s AS (SELECT unnest(string_split(text, chr(10))) AS s FROM documents UNION ALL SELECT url FROM pages), t AS (SELECT coalesce(s, '') AS s FROM s)
- SELECT concat(CASE WHEN regexp_full_match(s, '[0-9]+') THEN 'numeric' WHEN contains(lower(s), '://') OR starts_with(lower(s), 'www.') THEN 'url_like' WHEN contains(s, '/') OR contains(s, chr(92)) THEN 'path_like' WHEN starts_with(s, '-') THEN 'option_like' WHEN contains(s, '%') THEN 'format_like' WHEN regexp_matches(lower(s), '{"|".join(MESSAGE_WORDS)}') THEN 'message_like' ELSE 'other' END, ':',
+ SELECT concat(CASE WHEN regexp_full_match(s, '[0-9]+') THEN 'numeric' WHEN contains(lower(s), '://') OR starts_with(lower(s), 'www.') THEN 'url_like' WHEN contains(s, '/') OR contains(s, chr(92)) THEN 'path_like' WHEN starts_with(s, '-') THEN 'option_like' WHEN contains(s, '%') THEN 'format_like' WHEN regexp_matches(lower(s), 'error|failed|invalid|usage') THEN 'message_like' ELSE 'other' END, ':',
   CASE WHEN length(s) <= 8 THEN 'len_0_8' WHEN length(s) <= 32 THEN 'len_9_32' WHEN length(s) <= 128 THEN 'len_33_128' ELSE 'len_129_plus' END) AS category, count(*) AS n FROM t GROUP BY ALL""",
     "instruction_token": f"""WITH {FX}, x AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN concat('[sp, #', l_suppkey, ']') WHEN 1 THEN concat('0x', l_partkey, '(r7)') WHEN 2 THEN concat('#', l_partkey - 1000) ELSE 'r1' END AS t, CASE l_linenumber % 4 WHEN 2 THEN 'scalar' WHEN 3 THEN 'reg' END AS kind, l_partkey - 1000 AS v, ['ldr','str','add.w','cmp','bl','mov','b.eq','push','nop'][1 + l_suppkey % 9] AS mn FROM fx),
  r AS (SELECT mn, CASE WHEN ((contains(t, '[') AND contains(t, ']')) OR (contains(t, '(') AND contains(t, ')'))) THEN CASE WHEN {_STACK} THEN 'MEM_STACK' ELSE 'MEM' END WHEN kind = 'reg' THEN 'REG' WHEN kind = 'scalar' THEN {bucket_case('v')} WHEN t <> '' THEN 'OPERAND' ELSE 'NONE' END AS role FROM x)

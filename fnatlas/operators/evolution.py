@@ -70,10 +70,13 @@ def patch_probe(sizes: DataFrame, old: str, new: str, keyword: str) -> DataFrame
 
 def nearest_centroid(rows: DataFrame, features: list[str]) -> DataFrame:
     """Leave one architecture out: standardise on the others, predict the label of the nearest centroid
-    (ties: the smaller label). rows: version, arch, label, features; a row a binary, so it is broadcast."""
+    (ties: the smaller label). An architecture whose others have fewer than two labels gets no prediction. rows: version,
+    arch, label, features; a row a binary, which is read once for each architecture."""
     held = rows.select(F.col("arch").alias("held")).distinct()
-    folds = rows.join(F.broadcast(held))
-    train, test = folds.filter("arch != held AND label IS NOT NULL"), folds.filter("arch = held AND label IS NOT NULL")
+    folds = rows.filter("label IS NOT NULL").crossJoin(F.broadcast(held))  # a row an architecture
+    train = folds.filter("arch != held")
+    able = train.groupBy("held").agg(F.count_distinct("label").alias("labels")).filter("labels > 1")
+    test = folds.filter("arch = held").join(F.broadcast(able), "held", "left_semi")
     long = lambda d: d.select("held", "version", "arch", "label", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x")) for f in features])).alias("e")).select("held", "version", "arch", "label", "e.f", "e.x")
     t = long(train)
     scale = t.groupBy("held", "f").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).withColumn("s", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))

@@ -16,11 +16,15 @@ def paired_methods(pairs: DataFrame, a: str, b: str, metric: str) -> DataFrame:
 
 
 def wilcoxon(differences: DataFrame) -> DataFrame:
-    """Two-sided signed-rank test by the normal approximation with tie correction; zeros are dropped."""
-    d = differences.filter("difference != 0").withColumn("size", F.round(F.abs("difference"), 12))
-    low, same = F.rank().over(Window.orderBy("size")), F.count(F.lit(1)).over(Window.partitionBy("size"))
-    d = d.withColumn("rank", low + (same - 1) / 2.0).withColumn("ties", same.cast("double"))
-    out = d.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.when(F.col("difference") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("difference") < 0, F.col("rank")).otherwise(0.0)).alias("minus"), F.sum(F.col("ties") * F.col("ties") - 1.0).alias("tied"))
+    """Two-sided signed-rank test by the normal approximation with tie correction; zeros are dropped. Ranks are running counts over
+    distinct sizes of differences: of metrics between 0 and 1 rounded to six digits there are a million at most."""
+    x = F.col("difference")
+    d = differences.filter("difference != 0").groupBy(F.round(F.abs("difference"), 12).alias("size"))
+    d = d.agg(F.count(F.lit(1)).cast("double").alias("ties"), F.count_if(x > 0).alias("above"), F.count_if(x < 0).alias("below"))
+    rank = F.sum("ties").over(Window.orderBy("size")) - (F.col("ties") - 1) / 2.0
+    d = d.withColumn("rank", rank)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = d.agg(total(F.col("ties")).alias("n"), total(F.col("above") * F.col("rank")).alias("plus"), total(F.col("below") * F.col("rank")).alias("minus"), total(F.col("ties") * (F.col("ties") * F.col("ties") - 1.0)).alias("tied"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("tied") / 48.0
     z = (F.least("plus", "minus") - F.col("n") * (F.col("n") + 1) / 4.0) / F.sqrt(var)
     # two-sided p of the normal approximation: erfc(-z / sqrt 2), by a rational approximation (Abramowitz and Stegun 7.1.26, to 1.5e-7)

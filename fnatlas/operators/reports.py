@@ -20,12 +20,35 @@ def pair_artifacts(stripped: DataFrame, unstripped: DataFrame) -> DataFrame:
     return stripped.join(has, ["version", "arch"], "left").withColumn("has_label", F.coalesce("has_label", F.lit(0))).withColumn("label_status", F.when(F.col("has_label") == 1, "paired").otherwise("stripped_only"))
 
 
+def reattach(features: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
+    """Features with the columns of a saved alignment (a row a key). An alignment row without its features is an error, found by an
+    anti join before the result is made."""
+    if lost := saved.join(features.select(*keys), keys, "left_anti").count():
+        raise ValueError(f"{lost} rows of the saved alignment have no features")
+    return features.join(saved, keys)
+
+
 def dataset_summary(rows: DataFrame) -> DataFrame:
     """Totals (arch null) and per architecture, in one pass."""
     key = version_key(F.col("version"))
     return rows.rollup("arch").agg(F.count(F.lit(1)).alias("functions"), F.count_distinct("version").alias("versions"), F.sum("size").alias("bytes"), F.min_by("version", key).alias("first_version"), F.max_by("version", key).alias("last_version"))
 
 
+def manifest_summary(pairs: DataFrame) -> DataFrame:
+    """Binaries that have a labelled counterpart and those that don't, over all (arch null) and per architecture. pairs: as pair_artifacts gives them."""
+    key, of = version_key(F.col("version")), lambda s: F.count_if(F.col("label_status") == s)
+    return pairs.rollup("arch").agg(F.count(F.lit(1)).alias("binaries"), of("paired").alias("paired"), of("stripped_only").alias("stripped_only"), F.min_by("version", key).alias("first_version"), F.max_by("version", key).alias("last_version"))
+
+
+def shared_names(rows: DataFrame) -> DataFrame:
+    """Names that all architectures of a version have, and names that any has."""
+    names = rows.groupBy("version", "norm_name").agg(F.count_distinct("arch").alias("arches"))
+    tallies = names.groupBy("version", "arches").agg(F.count(F.lit(1)).alias("names"))  # a row a version and number of architectures
+    every = rows.groupBy("version").agg(F.count_distinct("arch").alias("all_arches"))
+    out = tallies.join(F.broadcast(every), "version")
+    return out.groupBy("version").agg(F.sum(F.when(F.col("arches") == F.col("all_arches"), F.col("names")).otherwise(0)).alias("in_all"), F.sum("names").alias("in_any"))
+
+
 def coverage(rows: DataFrame, arches: int) -> DataFrame:
     """Architectures and functions per version, and whether all architectures are there."""
     return rows.groupBy("version").agg(F.count_distinct("arch").alias("completed"), F.count(F.lit(1)).alias("functions")).withColumn("is_complete", (F.col("completed") >= arches).cast("int"))

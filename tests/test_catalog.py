@@ -8,7 +8,7 @@ from fnatlas.sources import bindings
 from fnatlas.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["method_retrieval", "method_retrieval_temporal", "method_scores", "topk_rank", "pair_gain", "paired_signs", "latest_run", "status_coverage", "token_classes", "wilcoxon", "windowed_retrieval", "symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token", *dumps.QUERIES]
+CHECKED = ["method_retrieval", "method_retrieval_temporal", "method_scores", "topk_rank", "pair_gain", "paired_signs", "latest_run", "status_coverage", "token_classes", "wilcoxon", "windowed_retrieval", "symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token", "classify_mnemonic", "string_category", "shared_names", "experiment_rollup", "weight_sweep", "ablation", "classification_metrics", "shape_distance", "coverage", "class_histogram", *dumps.QUERIES]
 
 
 @pytest.fixture(scope="module")
