@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for jobs that cache small frames)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
