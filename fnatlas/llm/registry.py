@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, chat_rotation, compression_classifier, decontaminate, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup
+from . import bloom_lm, chat_rotation, compression_classifier, decontaminate, filter_audit, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup
 from .common import table
 
 
@@ -50,12 +50,16 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_all(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_source_mix, op2_personal_data, op3_ngram_jaccard_join, op4_compression_classifier, op5_suffix_dedup, op6_host_quality_rules, op7_template_decontamination, op8_main_text, op9_chat_rotation, op10_bloom_lm]
+    found = [op1_source_mix, op2_personal_data, op3_ngram_jaccard_join, op4_compression_classifier, op5_suffix_dedup, op6_host_quality_rules, op7_template_decontamination, op8_main_text, op9_chat_rotation, op10_bloom_lm, op11_filter_audit]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_quality_rules": quality_rules.ORACLE_SQL, "op9_chat_rotation": chat_rotation.ORACLE_SQL}
+    return {"op6_host_quality_rules": quality_rules.ORACLE_SQL, "op9_chat_rotation": chat_rotation.ORACLE_SQL, "op11_filter_audit": filter_audit.ORACLE_SQL}
