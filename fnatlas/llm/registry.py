@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, chat_rotation, compression_classifier, decontaminate, filter_audit, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup, whitening
+from . import bloom_lm, chat_rotation, compression_classifier, decontaminate, filter_audit, main_text, ngram_join, pii, quality_rules, source_mix, suffix_dedup, toxicity, whitening
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +65,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_source_mix, op2_personal_data, op3_ngram_jaccard_join, op4_compression_classifier, op5_suffix_dedup, op6_host_quality_rules, op7_template_decontamination, op8_main_text, op9_chat_rotation, op10_bloom_lm, op11_filter_audit, op13_embedding_whitening]
+    found = [op1_source_mix, op2_personal_data, op3_ngram_jaccard_join, op4_compression_classifier, op5_suffix_dedup, op6_host_quality_rules, op7_template_decontamination, op8_main_text, op9_chat_rotation, op10_bloom_lm, op11_filter_audit, op12_toxicity, op13_embedding_whitening]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
