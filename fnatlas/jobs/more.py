@@ -24,8 +24,7 @@ def query(f):
 
 
 def _proto(v: DataFrame) -> DataFrame:
-    p = features.prototypes_other_versions(v)
-    return p.groupBy(F.col("test_version").alias("version"), "norm_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("proto"))
+    return features.as_arrays(features.prototypes_other_versions(v).withColumnRenamed("test_version", "version"), "version", "norm_name", name="proto")
 
 
 @query

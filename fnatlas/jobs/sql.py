@@ -189,11 +189,12 @@ base AS (SELECT version, arch, function_id, norm_name, address, fitted, [log_siz
 vec0 AS (SELECT base.*, t.v AS token, x.v AS context, {scale('raw', 'gall.mean', 'gall.std')} AS graph, {scale('raw', 'coalesce(garch.mean, gall.mean)', 'coalesce(garch.std, gall.std)')} AS graph_arch,
  CASE WHEN sarch.mean IS NULL THEN shp ELSE {scale('shp', 'sarch.mean', 'sarch.std')} END AS shape_arch FROM base JOIN tokensv t USING (function_id) JOIN contextsv x USING (function_id) CROSS JOIN gall LEFT JOIN garch ON garch.arch = base.arch LEFT JOIN sarch ON sarch.arch = base.arch),
 vec AS (SELECT *, list_concat(list_concat(token, graph_arch), list_concat(context, shape_arch)) AS fused FROM vec0),
-pm AS (SELECT norm_name, list(x ORDER BY i) AS proto FROM (SELECT norm_name, i, avg(x) AS x FROM (SELECT norm_name, unnest(fused) AS x, unnest(range(len(fused))) AS i FROM vec WHERE fitted) GROUP BY ALL) GROUP BY norm_name),
+pm AS (SELECT tested, norm_name, list(x ORDER BY i) AS proto FROM (SELECT tested, norm_name, i, avg(x) AS x FROM (SELECT t.version AS tested, norm_name, unnest(fused) AS x, unnest(range(len(fused))) AS i
+ FROM vec JOIN (SELECT DISTINCT version FROM vec) t ON t.version <> vec.version WHERE fitted) GROUP BY ALL) GROUP BY ALL),
 fx AS (SELECT * FROM vec WHERE {tested}), {PAIRS}, {relevant('fx')},
 sc AS (SELECT q.version, q.src_arch, q.dst_arch, q.function_id, q.norm_name, c.norm_name AS c_name, c.address AS c_address, -abs(q.shp[1] - c.shp[1]) AS size_s, -({gaps}) AS shape_s, {cosines},
  CASE WHEN p.proto IS NULL THEN 0.0::DOUBLE ELSE {_cosine('p.proto', 'c.fused')} END AS proto_s
- FROM rq q JOIN fx c ON c.version = q.version AND c.arch = q.dst_arch LEFT JOIN pm p ON p.norm_name = q.norm_name),
+ FROM rq q JOIN fx c ON c.version = q.version AND c.arch = q.dst_arch LEFT JOIN pm p ON p.norm_name = q.norm_name AND p.tested = q.version),
 sm AS (SELECT version, src_arch, dst_arch, function_id, norm_name, c_name, c_address, unnest([{each}], recursive := true) FROM sc),
 rk AS (SELECT *, row_number() OVER (PARTITION BY version, src_arch, dst_arch, function_id, method ORDER BY score DESC, c_address DESC, c_name) AS rnk FROM sm QUALIFY rnk <= 10),
 fs AS (SELECT version, src_arch, dst_arch, function_id, method, min(rnk) FILTER (c_name = norm_name) AS first FROM rk GROUP BY ALL), cn AS (SELECT version, arch AS dst_arch, count(*) AS candidates FROM vec GROUP BY ALL),

@@ -92,13 +92,22 @@ def _long(records: DataFrame, *keys: str) -> DataFrame:
     return records.select(*keys, F.posexplode("fusion_vec").alias("dim", "x"))
 
 
+def left_out(own: DataFrame) -> DataFrame:
+    """(version, norm_name, dim, value): the mean over all other versions, as total minus own. own: version, norm_name, dim, s (sum), n."""
+    every = Window.partitionBy("norm_name", "dim")  # a row a version
+    out = own.withColumn("ts", F.sum("s").over(every) - F.col("s")).withColumn("tn", F.sum("n").over(every) - F.col("n"))
+    return out.filter("tn > 0").select("version", "norm_name", "dim", (F.col("ts") / F.col("tn")).alias("value"))
+
+
+def as_arrays(long: DataFrame, *keys: str, name: str) -> DataFrame:
+    """(keys, name): the values (dim, value) of each key as one array."""
+    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias(name))
+
+
 def prototypes_other_versions(records: DataFrame) -> DataFrame:
-    """(test_version, norm_name, dim, value): means over all other versions, as total minus own, in one pass."""
+    """(test_version, norm_name, dim, value): means over all other versions, in one pass."""
     own = _long(records, "version", "norm_name").groupBy("version", "norm_name", "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy("norm_name", "dim")
-    out = own.withColumn("ts", F.sum("s").over(every) - F.col("s")).withColumn("tn", F.sum("n").over(every) - F.col("n"))
-    seen = out.filter("tn > 0").select(F.col("version").alias("test_version"), "norm_name", "dim", (F.col("ts") / F.col("tn")).alias("value"))
-    return seen
+    return left_out(own).withColumnRenamed("version", "test_version")
 
 
 def prototypes_earlier_versions(records: DataFrame) -> DataFrame:
