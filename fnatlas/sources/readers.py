@@ -21,14 +21,20 @@ def read_symbols(spark: SparkSession, path: str, min_size: int = 1) -> DataFrame
     return rows.filter(f"analysis_func = 1 AND size >= {min_size} AND address IS NOT NULL AND norm_name != ''").repartition("version", "arch")
 
 
-def read_features(spark: SparkSession, path: str, min_size: int = 16, min_instructions: int = 4, files: str = "*.jsonl") -> DataFrame:
-    """Function features of JSON lines in folders named by version (or version=...); failed and small rows go. Only needed leaves are read."""
-    rows = spark.read.schema(FEATURES).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
-    rows = rows.withColumn("version", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^version=", ""))
+def project_features(raw: DataFrame, min_size: int = 16, min_instructions: int = 4) -> DataFrame:
+    """Function features from rows of FEATURES, read from files (at once or as a stream) in folders named by version (or version=...);
+    failed and small rows go."""
+    rows = raw.withColumn("version", F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^version=", ""))
     rows = rows.filter(f"extract_error IS NULL AND size >= {min_size} AND stats.instruction_count >= {min_instructions}")
     return rows.withColumn("edge_types", F.transform("cfg_edges", lambda e: F.get(e, F.lit(2)))).withColumn("address", F.conv(F.regexp_replace("start_addr", "^0[xX]", ""), 16, 10).cast("long")).drop("cfg_edges", "extract_error")
 
 
+def read_features(spark: SparkSession, path: str, min_size: int = 16, min_instructions: int = 4, files: str = "*.jsonl") -> DataFrame:
+    """Function features of JSON lines below a folder. Only needed leaves are read."""
+    raw = spark.read.schema(FEATURES).option("recursiveFileLookup", True).option("pathGlobFilter", files).json(path)
+    return project_features(raw, min_size, min_instructions)
+
+
 def read_summaries(spark: SparkSession, path: str, files: str = "*.summary.json") -> DataFrame:
     """Function counts from many small JSON files, each an object or a list of them."""
     schema = "binary_id string, version string, arch string, status string, function_count bigint, duration_sec double"
