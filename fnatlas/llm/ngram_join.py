@@ -129,6 +129,14 @@ def _hot_tokens(tokens: DataFrame, total: int, most: int) -> list[int]:
     return [r[0] for r in inside.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).collect()]
 
 
+def _with_df(once: DataFrame, df: dict[int, int]) -> DataFrame:
+    """The rows of the tokens of df, with their number."""
+    if not df:
+        return once.filter("false").withColumn("df", F.lit(0).cast("long"))
+    known = F.create_map(*[F.lit(x) for token, n in sorted(df.items()) for x in (token, n)])
+    return once.withColumn("df", F.try_element_at(known, F.col("token")).cast("long")).filter("df IS NOT NULL")
+
+
 def _shared(tokens: DataFrame, owner: list[str], tag: str, most: int) -> DataFrame:
     """The tokens that two owners or more have, with their number (df); repeats of an owner's token go."""
     tokens = materialize(tokens, tag)
@@ -139,8 +147,8 @@ def _shared(tokens: DataFrame, owner: list[str], tag: str, most: int) -> DataFra
     cold = cold.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
     rest = [c for c in tokens.columns if c not in ("token", *owner)]
     once = materialize(tokens.filter(hot).groupBy("token", *owner).agg(*[F.max(c).alias(c) for c in rest]), f"{tag}-hot")
-    df = once.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    return cold.unionByName(once.join(F.broadcast(df), "token").select(*tokens.columns, "df"))
+    df = {r["token"]: r["df"] for r in once.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").collect()}  # fewer than most
+    return cold.unionByName(_with_df(once, df).select(*tokens.columns, "df"))
 
 
 def _asked(cost: Column, least: Column) -> Column:
