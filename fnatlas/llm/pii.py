@@ -37,6 +37,8 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 LEAST_TOGETHER = 3
 DISCLOSURE = 0.9
+#: Spans that are worked on one after the other.
+CHUNK = 256
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
@@ -64,20 +66,35 @@ def _passes(kind: str, value: Column) -> Column:
     return F.when(sized, _luhn(d)).otherwise(False) if kind == "card" else sized
 
 
+def _in_chunks(items: Column) -> Column:
+    """An array as an array of arrays of CHUNK at most: appending one by one stays inside a chunk, so that a text of very many
+    spans costs about as much a span as any other."""
+    cut = lambda xs: F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(1), F.size(xs), F.lit(CHUNK)), lambda i: F.slice(xs, i, F.lit(CHUNK))))
+    return F.transform(F.array(items), cut)[0]  # the array is made once, as the outer lambda's variable
+
+
 def _located(text: Column, pattern: Column, rank: int, kind: str) -> Column:
-    """All matches of a pattern as spans. The pieces between matches give their places."""
+    """All matches of a pattern as spans. The pieces between matches give their places, first inside a chunk, then in the text."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     pieces = F.split(text, pattern, -1)
     empty = F.array().cast(f"array<{SPAN}>")
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value")).cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["found"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span.cast(SPAN))).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span(start, end, x["found"]))).alias("spans"))
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["spans"], lambda s: span(s["start"] + acc["at"], s["end"] + acc["at"], s["value"]))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
 
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("found"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    parts = F.transform(_in_chunks(pairs), lambda c: F.aggregate(c, begin, step))
+    return F.coalesce(F.aggregate(parts, begin, join, lambda acc: acc["spans"]), empty)
 
 
 def _passing(kind: str):
@@ -170,15 +187,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def _redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by the first one's kind in brackets."""
+    """The text with each run of overlapping spans replaced by the first one's kind in brackets. A chunk of spans works on its own
+    stretch of the text."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def replace(acc: Column, chunk: Column) -> Column:
+        last = F.greatest(acc["at"], F.array_max(F.transform(chunk, lambda s: s["end"])))
+
+        def step(inner: Column, s: Column) -> Column:
+            start, end = s["start"] - acc["at"], s["end"] - acc["at"]
+            gap = F.substr(inner["here"], inner["at"] + 1, start - inner["at"])
+            out = F.when(start < inner["at"], inner["out"]).otherwise(F.concat(inner["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.struct(F.greatest(inner["at"], end).alias("at"), out.alias("out"), inner["here"].alias("here"))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        here = F.substr(text, acc["at"] + 1, last - acc["at"])
+        done = F.aggregate(chunk, F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), here.alias("here")), step, lambda inner: inner["out"])
+        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(done)).alias("out"))
 
-    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.aggregate(_in_chunks(spans), begin, replace, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.length(text))))
 
 
 def redact(docs: DataFrame, together: int = LEAST_TOGETHER, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -165,6 +165,24 @@ def test_pii_hints_agree_with_patterns(spark):
         assert out[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), t
 
 
+def test_pii_very_many_spans(spark):
+    """A text of 40,000 spans in one line, and one of just over a chunk, with overlapping kinds at chunk borders."""
+    long = " ".join(f"äb u{i}@x.org 10.0.0.{i % 250}" for i in range(20_000))
+    mixed = " ".join(f"+4917 055577{i:04d} a@1.2.3.{i % 200}" for i in range(300))
+    d = spark.createDataFrame([(1, long), (2, mixed)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in d.select("doc_id", pii.base_spans(F.col("text")).alias("s"), pii._redacted(F.col("text"), pii.base_spans(F.col("text"))).alias("o")).collect()}
+    assert len(got[1]["s"]) == 40_000 and all(long[x["start"] : x["end"]] == x["value"] for x in got[1]["s"])
+    assert got[1]["o"] == " ".join("äb [EMAIL] [IP]" for _ in range(20_000))
+    want = brute.spans(mixed)
+    assert [(x["start"], x["rank"], x["end"], x["kind"]) for x in got[2]["s"]] == want
+    out, at = "", 0
+    for start, _, end, kind in want:
+        if start >= at:
+            out += mixed[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    assert got[2]["o"] == out + mixed[at:]
+
+
 def test_pii_disclosure(spark):
     lines = [f"call zebrafish about plan{i} number{i} at secret@corp.example today" for i in range(5)]
     other = [f"the plan about word{i} today and call number at noon" for i in range(400)]
