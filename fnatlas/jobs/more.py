@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, tokens, vectors
 from ..functions.vectors import SHAPE
-from ..operators import evolution, experiments, features, reports, retrieval, scoring, shape, sweep
+from ..operators import evolution, experiments, features, reports, retrieval, scoring, shape, sweep, temporal
 from ..sources import bindings as b
 from ..sources import readers
 from . import sql
@@ -35,21 +35,58 @@ def topk_rank(spark, d):
 
 
 def _swept(spark, d, weights, low, high):
-    v = b.vectors(spark, d)
-    ranks = sweep.target_ranks(v.filter(names.version_key(F.col("version")).between(names.version_key(F.lit(low)), names.version_key(F.lit(high)))), _proto(v), weights)
-    return sweep.configuration_summary(ranks)
+    """Every weighting over the versions from low to high; tokens, scalers and prototypes of each are fitted on the versions before it."""
+    fits = temporal.Fits(shape.shape_features(b.method_records(spark, d)))
+    key = lambda v: [int(x) if x.isdigit() else 0 for x in v.rsplit("-", 1)[-1].split(".")]
+    places = [i for i, v in enumerate(fits.versions) if i and key(low) <= key(v) <= key(high)]
+    v = fits.vectors(F.col("place").isin(places))
+    return sweep.configuration_summary(sweep.target_ranks(v, fits.prototype_arrays(places), weights))
+
+
+SWEPT = ["config", "queries", "versions", "pairs", "prototype_coverage", *[f"{kind}_{m}" for m in retrieval.METRICS for kind in ("weighted", "macro")]]
+
+
+def _rounded():
+    return [F.round(c, 9).alias(c) if c not in ("config", "queries", "versions", "pairs") else F.col(c) for c in SWEPT]
 
 
 @query
 def weight_sweep(spark, d):
-    s = sweep.validation_rank(_swept(spark, d, scoring.simplex(), "rel-1.31.0", "rel-1.33.0"))
-    return s.select("config", "queries", "versions", "pairs", "place", *metrics())
+    s = sweep.validation_rank(_swept(spark, d, scoring.simplex(), "1.31.0", "1.33.0"))
+    return s.select(*_rounded(), "place")
 
 
 @query
 def ablation(spark, d):
-    s = _swept(spark, d, list(scoring.ABLATION.values()), "rel-1.34.0", "rel-1.36.0")
-    return s.select("config", "queries", "versions", "pairs", *metrics())
+    return _swept(spark, d, scoring.ABLATION, "1.34.0", "1.36.0").select(*_rounded())
+
+
+def _fits(spark, d):
+    return temporal.Fits(shape.shape_features(b.method_records(spark, d)))
+
+
+@query
+def temporal_frequency(spark, d):
+    """Document frequencies and weights of every token for each version that has earlier ones, over those only. Tokens without an earlier record are left out."""
+    fits = _fits(spark, d)
+    each = F.explode(F.arrays_zip(F.lit(fits.versions).alias("version"), F.col("df"), F.col("idf")))
+    return fits.weights["tokens"].select("token", each.alias("x")).filter("x.df > 0").select("x.version", "token", "x.df", F.round("x.idf", 9).alias("idf"))
+
+
+@query
+def temporal_scalers(spark, d):
+    """Means and deviations of graph features, over all (arch null) and by architecture, for each version from the versions before it."""
+    fits = _fits(spark, d)
+    each = F.explode(F.arrays_zip(F.lit(fits.versions).alias("version"), F.col("n"), F.col("mean"), F.col("std")))
+    return fits.scalers["graph_raw"].select("arch", "dim", each.alias("x")).filter("x.n > 0").select("x.version", "arch", "dim", "x.n", F.round("x.mean", 6).alias("mean"), F.round("x.std", 6).alias("std"))
+
+
+@query
+def temporal_prototypes(spark, d):
+    """Prototypes of every name for each version that has earlier ones, with that version's weights and scalers; zeros are left out."""
+    fits = _fits(spark, d)
+    out = fits.prototypes(list(range(1, fits.n))).withColumn("version", F.get(F.lit(fits.versions), F.col("place")))
+    return out.select("version", "norm_name", "dim", F.round("value", 6).alias("value")).filter("value != 0")
 
 
 @query
@@ -216,19 +253,27 @@ comp AS (SELECT q.version, q.arch AS src_arch, c.arch AS dst_arch, q.vec_id AS q
 
 def _sweep_sql(weights: list[tuple[float, float, float]], low: str, high: str) -> str:
     grid = ", ".join(f"({i}, {g!r}::DOUBLE, {f!r}::DOUBLE, {p!r}::DOUBLE)" for i, (g, f, p) in enumerate(weights))
-    m = "round(avg(CASE WHEN rnk <= {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit_at_{k}"
-    return f"""{_PAIRED}, grid(config, wg, wf, wp) AS (VALUES {grid}), sc AS (SELECT comp.*, config, round(wg * g + wf * f + wp * p, 9) AS s FROM comp, grid WHERE version BETWEEN '{low}' AND '{high}'),
+    m = "avg(CASE WHEN rnk <= {k} THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_{k}"
+    gaps = " + ".join(f"((q.shp[{i}] - c.shp[{i}]) / {s!r}::DOUBLE) ** 2" for i, s in enumerate(_SCALES, 1))
+    both = ", ".join(f"round(sum({x} * queries) / sum(queries), 9) AS weighted_{x}, round(avg({x}), 9) AS macro_{x}" for x in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr_at_10", "mean_inspected_at_10"))
+    return f"""{sql.temporal(low, high)}, cur AS (SELECT * FROM tv WHERE version = tested), comp AS (SELECT q.version, q.arch AS src_arch, c.arch AS dst_arch, q.function_id AS q_id, q.norm_name AS q_name, c.norm_name AS c_name, tp.p IS NOT NULL AS has,
+ -({gaps}) AS g, {_COS.format(a='q.v', b='c.v')} AS f, coalesce({_COS.format(a='c.v', b='tp.p')}, 0) AS p FROM cur q JOIN cur c ON c.version = q.version AND c.arch <> q.arch LEFT JOIN tp ON tp.tested = q.version AND tp.norm_name = q.norm_name),
+grid(config, wg, wf, wp) AS (VALUES {grid}), sc AS (SELECT comp.*, config, round(wg * g + wf * f + wp * p, 9) AS s FROM comp, grid),
 bt AS (SELECT version, src_arch, dst_arch, q_id, config, max(s) AS best FROM sc WHERE c_name = q_name GROUP BY ALL),
-rk AS (SELECT bt.version, bt.src_arch, bt.dst_arch, bt.q_id, bt.config, 1 + count(*) FILTER (s > best) AS rnk FROM bt JOIN sc USING (version, src_arch, dst_arch, q_id, config) GROUP BY ALL),
-sm AS (SELECT CAST(config AS INT) AS config, count(*) AS queries, count(DISTINCT version) AS versions, count(DISTINCT (version, src_arch, dst_arch)) AS pairs, {m.format(k=1)}, {m.format(k=5)}, {m.format(k=10)},
- round(avg(CASE WHEN rnk <= 10 THEN 1.0::DOUBLE / rnk ELSE 0 END), 9) AS mrr_at_10, round(avg(CAST(least(rnk, 11) AS DOUBLE)), 9) AS mean_inspected_at_10 FROM rk GROUP BY config)"""
+rk AS (SELECT bt.version, bt.src_arch, bt.dst_arch, bt.q_id, bt.config, any_value(has) AS has, 1 + count(*) FILTER (s > best) AS rnk FROM bt JOIN sc USING (version, src_arch, dst_arch, q_id, config) GROUP BY ALL),
+pr AS (SELECT CAST(config AS INT) AS config, version, src_arch, dst_arch, count(*) AS queries, count(*) FILTER (has) AS protos, {m.format(k=1)}, {m.format(k=5)}, {m.format(k=10)}, avg(CASE WHEN rnk <= 10 THEN 1.0::DOUBLE / rnk ELSE 0 END) AS mrr_at_10,
+ avg(CAST(least(rnk, 11) AS DOUBLE)) AS mean_inspected_at_10 FROM rk GROUP BY ALL),
+sm AS (SELECT config, CAST(sum(queries) AS BIGINT) AS queries, count(DISTINCT version) AS versions, count(*) AS pairs, round(sum(protos) / sum(queries), 9) AS prototype_coverage, {both} FROM pr GROUP BY config)"""
 
 
 _SD = " + ".join(f"(({c} - p_{c}) / {s!r}::DOUBLE) ** 2" for c, s in zip(SHAPE, _SCALES, strict=True))
 SQL: dict[str, str] = {
     "topk_rank": f"{_PAIRED}, s AS (SELECT *, round(0.7::DOUBLE * g + 0.1::DOUBLE * f + 0.2::DOUBLE * p, 9) AS score FROM comp) SELECT version, src_arch, dst_arch, q_id, c_id, c_name, row_number() OVER w AS rank, round(score, 6) AS score FROM s WINDOW w AS (PARTITION BY version, src_arch, dst_arch, q_id ORDER BY s.score DESC, c_id DESC, c_name DESC) QUALIFY row_number() OVER w <= 10",
-    "weight_sweep": _sweep_sql(_TENTHS, "rel-1.31.0", "rel-1.33.0") + " SELECT *, row_number() OVER (ORDER BY hit_at_10 DESC, hit_at_1 DESC, mrr_at_10 DESC, config) AS place FROM sm",
+    "weight_sweep": _sweep_sql(_TENTHS, "rel-1.31.0", "rel-1.33.0") + " SELECT *, row_number() OVER (ORDER BY weighted_hit_at_10 DESC, weighted_hit_at_1 DESC, weighted_mrr_at_10 DESC, config) AS place FROM sm",
     "ablation": _sweep_sql(_ABLATION, "rel-1.34.0", "rel-1.36.0") + " SELECT * FROM sm",
+    "temporal_frequency": f"{sql.temporal('rel-1.0.0', 'rel-1.99.0')} SELECT tested AS version, token, df, round(idf, 9) AS idf FROM tokensd WHERE df > 0",
+    "temporal_scalers": f"{sql.temporal('rel-1.0.0', 'rel-1.99.0')}, l AS (SELECT tested, arch, unnest(raw) AS x, unnest(range(len(raw))) AS dim FROM rt WHERE fitted) SELECT tested AS version, arch, CAST(dim AS INT) AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(CASE WHEN var_pop(x) <= 1e-9 THEN 1 ELSE sqrt(var_pop(x)) END, 6) AS std FROM l GROUP BY GROUPING SETS ((tested, arch, dim), (tested, dim))",
+    "temporal_prototypes": f"{sql.temporal('rel-1.0.0', 'rel-1.99.0')} SELECT tested AS version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM tl WHERE round(value, 6) <> 0",
     "zscore": f"WITH {_VEC}, {sql.LONG}, sc AS (SELECT arch, dim, avg(x) AS m, CASE WHEN var_pop(x) <= 1e-9 THEN 1 ELSE sqrt(var_pop(x)) END AS s FROM long GROUP BY ALL), z AS (SELECT vec_id, (x - m) / s AS z FROM long JOIN sc USING (arch, dim)) SELECT vec_id, round(sqrt(sum(z * z)), 6) AS norm, round(max(z), 6) AS top FROM z GROUP BY vec_id",
     "l2_normalize": f"WITH {_VEC}, u AS (SELECT vec_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-12) AS n FROM vec) SELECT vec_id, round(v[1] / n, 6) AS first, round(list_max(v) / n, 6) AS top FROM u",
     "shape_distance": f"WITH {_FX}, {sql.shaped('sh', 'fx')}, l AS (SELECT function_id, {', '.join(SHAPE)}, {', '.join(f'lag({c}) OVER w AS p_{c}' for c in SHAPE)} FROM sh WINDOW w AS (PARTITION BY version, arch ORDER BY address, size, norm_name, function_id)) SELECT function_id, round({_SD}, 6) AS distance FROM l WHERE p_log_size IS NOT NULL",

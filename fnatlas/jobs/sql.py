@@ -165,16 +165,11 @@ def _cosine(a: str, c: str) -> str:
     return f"CASE WHEN list_dot_product({a}, {a}) <= 1e-12 OR list_dot_product({c}, {c}) <= 1e-12 THEN 0.0::DOUBLE ELSE list_dot_product({a}, {c}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({c}, {c})) END"
 
 
-def methods(fitted: str, tested: str) -> str:
-    """CTEs up to m: metrics a pair and method. fitted, tested: conditions on a record's version."""
+def records(fitted: str) -> str:
+    """CTEs src to base: what the scorers' vectors are made of."""
     count = lambda test: f"count(*) FILTER ({test})"
-    scale = lambda x, m, s: f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {m}[i]) / {s}[i])"
     share = lambda x: f"list_transform({x}, lambda n: n::DOUBLE / greatest(list_sum({x}), 1))"
-    scales = (1.0, 0.2, 0.2, 1.0, 1.0)
-    gaps = " + ".join(f"pow((q.shp[{i}] - c.shp[{i}]) / {s}::DOUBLE, 2)" for i, s in enumerate(scales, 1))
-    cosines = ", ".join(f"{_cosine(f'q.{n}', f'c.{n}')} AS {n}_s" for n in ("token", "graph", "graph_arch", "context", "shape_arch", "fused"))
-    each = ", ".join(f"{{'method': '{m}', 'score': round({e}, 9)}}" for m, e in _METHODS.items())
-    return f"""WITH src AS (SELECT concat('rel-1.', CAST(30 + CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 7 AS VARCHAR), '.0') AS version, lang AS arch, concat('doc-', CAST(doc_id AS VARCHAR)) AS function_id,
+    return f"""src AS (SELECT concat('rel-1.', CAST(30 + CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 7 AS VARCHAR), '.0') AS version, lang AS arch, concat('doc-', CAST(doc_id AS VARCHAR)) AS function_id,
  CAST(doc_id AS BIGINT) AS address, CAST(n_chars AS BIGINT) AS size, concat('fn_', CAST(doc_id % 40 AS VARCHAR)) AS norm_name, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS tokens FROM documents),
 {shaped('sh', 'src')}, rec AS (SELECT *, {fitted} AS fitted, list_transform(tokens, lambda t: concat('len_', CAST(least(length(t), 12) AS VARCHAR))) AS contexts FROM sh),
 nfit AS (SELECT count(*) FILTER (fitted) AS nf FROM rec),
@@ -184,7 +179,17 @@ ct AS (SELECT function_id, count(*) AS ic, {count('n = 3')} AS bb, {count('n IN
 st AS (SELECT rec.*, coalesce(ic, 0) AS ic, coalesce(bb, 0) + 1 AS bb, coalesce(ed, 0) + 1 AS ed, coalesce(cc, 0) AS cc, coalesce(bc, 0) AS bc, coalesce(rc, 0) AS rc, coalesce(sc, 0) AS sc, coalesce(kc, 0) AS kc,
  coalesce(ops, list_transform(range(14), lambda i: 0)) AS ops, coalesce(eds, list_transform(range(11), lambda i: 0)) AS eds FROM rec LEFT JOIN ct USING (function_id)),
 base AS (SELECT version, arch, function_id, norm_name, address, fitted, [log_size, addr_pos, order_pos, local_mean, local_diff] AS shp,
- list_concat([ln(1.0::DOUBLE + size), ln(1.0::DOUBLE + ic), ln(1.0::DOUBLE + bb), ln(1.0::DOUBLE + ed), cc::DOUBLE / greatest(ic, 1), bc::DOUBLE / greatest(ic, 1), rc::DOUBLE / greatest(ic, 1), sc::DOUBLE / greatest(ic, 1), kc::DOUBLE / greatest(ic, 1), ic::DOUBLE / bb, ed::DOUBLE / bb], list_concat({share('ops')}, {share('eds')})) AS raw FROM st),
+ list_concat([ln(1.0::DOUBLE + size), ln(1.0::DOUBLE + ic), ln(1.0::DOUBLE + bb), ln(1.0::DOUBLE + ed), cc::DOUBLE / greatest(ic, 1), bc::DOUBLE / greatest(ic, 1), rc::DOUBLE / greatest(ic, 1), sc::DOUBLE / greatest(ic, 1), kc::DOUBLE / greatest(ic, 1), ic::DOUBLE / bb, ed::DOUBLE / bb], list_concat({share('ops')}, {share('eds')})) AS raw FROM st)"""
+
+
+def methods(fitted: str, tested: str) -> str:
+    """CTEs up to m: metrics a pair and method. fitted, tested: conditions on a record's version."""
+    scale = lambda x, m, s: f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {m}[i]) / {s}[i])"
+    scales = (1.0, 0.2, 0.2, 1.0, 1.0)
+    gaps = " + ".join(f"pow((q.shp[{i}] - c.shp[{i}]) / {s}::DOUBLE, 2)" for i, s in enumerate(scales, 1))
+    cosines = ", ".join(f"{_cosine(f'q.{n}', f'c.{n}')} AS {n}_s" for n in ("token", "graph", "graph_arch", "context", "shape_arch", "fused"))
+    each = ", ".join(f"{{'method': '{m}', 'score': round({e}, 9)}}" for m, e in _METHODS.items())
+    return f"""WITH {records(fitted)},
 {_moments('gall', 'raw', False)}, {_moments('garch', 'raw', True)}, {_moments('sarch', 'shp', True)}, {_hashed('tokens', 'tok:', 256)}, {_hashed('contexts', 'ctx:', 64)},
 vec0 AS (SELECT base.*, t.v AS token, x.v AS context, {scale('raw', 'gall.mean', 'gall.std')} AS graph, {scale('raw', 'coalesce(garch.mean, gall.mean)', 'coalesce(garch.std, gall.std)')} AS graph_arch,
  CASE WHEN sarch.mean IS NULL THEN shp ELSE {scale('shp', 'sarch.mean', 'sarch.std')} END AS shape_arch FROM base JOIN tokensv t USING (function_id) JOIN contextsv x USING (function_id) CROSS JOIN gall LEFT JOIN garch ON garch.arch = base.arch LEFT JOIN sarch ON sarch.arch = base.arch),
@@ -202,6 +207,25 @@ m AS (SELECT version, src_arch, dst_arch, method, candidates, count(*) AS querie
  avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr_at_10, avg(CAST(coalesce(first, 11) AS DOUBLE)) AS mean_inspected_at_10 FROM fs JOIN cn USING (version, dst_arch) GROUP BY ALL)"""
 
 
+def temporal(low: str, high: str) -> str:
+    """CTEs up to tv and tp: fused vectors (v) and prototypes (p) of every version from low to high, fitted anew on the versions before it."""
+    hashed = lambda c, prefix, dims: f"""{c}o AS (SELECT tested, function_id, fitted, len({c}) AS total, unnest({c}) AS token FROM rt), {c}c AS (SELECT tested, function_id, fitted, token, total, count(*) AS n FROM {c}o GROUP BY ALL),
+{c}d AS (SELECT tested, token, count(*) FILTER (fitted) AS df, ln((1.0::DOUBLE + any_value(nf)) / (1.0::DOUBLE + count(*) FILTER (fitted))) + 1.0::DOUBLE AS idf FROM {c}c JOIN tfit USING (tested) GROUP BY tested, token),
+{c}h AS (SELECT tested, function_id, ('0x' || substr(md5('{prefix}' || token), 1, 8))::BIGINT AS h, n::DOUBLE / total * idf AS weight FROM {c}c JOIN {c}d USING (tested, token)),
+{c}s AS (SELECT tested, function_id, h % {dims} AS slot, sum(CASE WHEN (h >> 8) & 1 = 1 THEN -weight ELSE weight END) AS value FROM {c}h GROUP BY ALL),
+{c}v AS (SELECT r.tested, r.function_id, list(coalesce(value, 0.0::DOUBLE) ORDER BY i) AS v FROM (SELECT tested, function_id, unnest(range({dims})) AS i FROM rt) r LEFT JOIN {c}s s ON s.tested = r.tested AND s.function_id = r.function_id AND s.slot = r.i GROUP BY ALL)"""
+    moments = lambda name, c, arch: f"""{name} AS (SELECT tested, {arch}list(mean ORDER BY i) AS mean, list(std ORDER BY i) AS std FROM (SELECT tested, {arch}i, avg(x) AS mean, CASE WHEN var_pop(x) <= 1e-9 THEN 1.0::DOUBLE ELSE sqrt(var_pop(x)) END AS std
+ FROM (SELECT tested, arch, unnest({c}) AS x, unnest(range(len({c}))) AS i FROM rt WHERE fitted) GROUP BY ALL) GROUP BY ALL)"""
+    scale = lambda x, m, s: f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {m}[i]) / {s}[i])"
+    return f"""WITH {records('true')}, tested AS (SELECT DISTINCT version AS tested FROM base WHERE version BETWEEN '{low}' AND '{high}' AND version > (SELECT min(version) FROM base)),
+rt AS (SELECT tested, b.* EXCLUDE (fitted), b.version < tested AS fitted, r.tokens, r.contexts FROM base b JOIN rec r USING (function_id) JOIN tested ON b.version <= tested), tfit AS (SELECT tested, count(*) FILTER (fitted) AS nf FROM rt GROUP BY tested),
+{hashed('tokens', 'tok:', 256)}, {hashed('contexts', 'ctx:', 64)}, {moments('gall', 'raw', '')}, {moments('garch', 'raw', 'arch, ')}, {moments('sarch', 'shp', 'arch, ')},
+tv AS (SELECT rt.tested, rt.version, rt.arch, rt.function_id, rt.norm_name, rt.address, rt.fitted, rt.shp, list_concat(list_concat(t.v, {scale('raw', 'coalesce(garch.mean, gall.mean)', 'coalesce(garch.std, gall.std)')}), list_concat(x.v, CASE WHEN sarch.mean IS NULL THEN shp ELSE {scale('shp', 'sarch.mean', 'sarch.std')} END)) AS v
+ FROM rt JOIN tokensv t USING (tested, function_id) JOIN contextsv x USING (tested, function_id) JOIN gall USING (tested) LEFT JOIN garch ON garch.tested = rt.tested AND garch.arch = rt.arch LEFT JOIN sarch ON sarch.tested = rt.tested AND sarch.arch = rt.arch),
+tl AS (SELECT tested, norm_name, i AS dim, avg(x) AS value FROM (SELECT tested, norm_name, unnest(v) AS x, unnest(range(len(v))) AS i FROM tv WHERE fitted) GROUP BY ALL),
+tp AS (SELECT tested, norm_name, list(value ORDER BY dim) AS p FROM tl GROUP BY ALL)"""
+
+
 _LOOKUP = f"""{LOVO}, pl AS (SELECT t.vec_id, t.version, t.norm_name, sum(t.x * pv.value) AS d, sum(t.x * t.x) AS aa, sum(pv.value * pv.value) AS bb FROM long t JOIN pv ON pv.tn > 0 AND pv.test_version = t.version AND pv.norm_name = t.norm_name AND pv.dim = t.dim GROUP BY ALL),
 lk AS (SELECT vec.vec_id, vec.version, vec.norm_name, vec.v, round(coalesce(CASE WHEN aa > 1e-12 AND bb > 1e-12 THEN d / sqrt(aa * bb) ELSE 0 END, 0), 6) AS proto_score FROM vec LEFT JOIN pl USING (vec_id))"""
 
