@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from fnatlas.operators import evolution, features, nearest
+from fnatlas.functions.vectors import SHAPE, SHAPE_SCALES
+from fnatlas.operators import evolution, features, nearest, ranges, shape
 
 SCHEMA = "version string, arch string, size long, norm_name string, address long, function_id string"
 
@@ -69,3 +70,41 @@ def test_prototypes_by_subtraction(spark):
         own = [v[x["dim"]] for a, n, v in rows if a != x["test_version"] and n == x["norm_name"]]
         assert abs(x["value"] - sum(own) / len(own)) < 1e-9
     assert out.filter(F.col("value").isNull()).count() == 0
+
+
+def lopsided(spark, n, seed):
+    """One binary with 90 % of the rows, many ties."""
+    r = random.Random(seed)
+    rows = [("v", "big" if i % 10 else "small", r.randrange(60), f"n{r.randrange(40)}", r.randrange(200), f"f{i}") for i in range(n)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+def test_large_binaries_in_ranges(spark, monkeypatch):
+    """Ranges, halos and moved sums give what one window a binary gives."""
+    monkeypatch.setattr(ranges, "BLOCK", 7)
+    d = lopsided(spark, 600, 1)
+    rows = lambda df: sorted(tuple(f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    one, many = (shape.shape_features(d, n) for n in (None, 20))
+    assert one.columns == many.columns and rows(one) == rows(many)
+    n = ranges.parts(ranges.sizes(d, "version", "arch"), 20)
+    assert n == 60 and ranges.parts(ranges.sizes(d, "version", "arch"), 540) == 0
+    held = ranges.written(d.repartitionByRange(n, "version", "arch", "address").withColumn("p", F.spark_partition_id()), "spread")
+    assert held.filter("arch = 'big'").groupBy("p").count().agg(F.max("count")).first()[0] < 40  # 540 rows, over many tasks
+    q = d.select("version", F.when(F.col("arch") == "big", "small").otherwise("big").alias("arch"), "size", F.col("function_id").alias("q"), "norm_name")
+    for k in (1, 10):
+        assert rows(nearest.nearest_by_size(q.drop("norm_name"), d, ["q"], k)) == rows(nearest.nearest_by_size(q.drop("norm_name"), d, ["q"], k, 20))
+        assert rows(nearest.first_by_size(q, d, ["q", "norm_name"], k)) == rows(nearest.first_by_size(q, d, ["q", "norm_name"], k, 20))
+    asked = one.select("version", "arch", F.col("function_id").alias("q"), "norm_name", *SHAPE)
+    ties = ("address", "size", "norm_name", "function_id")
+    windowed = lambda n: nearest.first_by_window(asked, one, ["q", "norm_name"], SHAPE, SHAPE_SCALES, {"a": 1, "b": 5}, ties, 9, task_rows=n)
+    assert rows(windowed(None)) == rows(windowed(20))
+    matched = lambda n: nearest.mutual_matches(one.filter("address % 3 != 0"), one.filter("address % 4 != 0"), SHAPE, SHAPE_SCALES, 9, 5.0, n)
+    assert matched(None).count() > 50 and rows(matched(None)) == rows(matched(20))
+
+
+def test_windows_of_far_candidates(spark):
+    """Distances that don't fit beside a tie in 64 bits are still in order."""
+    c = spark.createDataFrame([("v", "a", float(i) * 1e6, f"n{i}", i, str(i)) for i in range(8)], "version string, arch string, x double, norm_name string, address long, function_id string")
+    q = spark.createDataFrame([("v", "a", 3.2e6, f"q{i}", f"n{i}") for i in range(8)], "version string, arch string, x double, q string, norm_name string")
+    out = nearest.first_by_window(q, c, ["q", "norm_name"], ("x",), (1.0,), {"m": 1}, ("address",), 10)
+    assert {r["norm_name"]: r["first"] for r in out.collect()} == {"n3": 1, "n4": 2, "n2": 3, "n5": 4, "n1": 5, "n6": 6, "n0": 7, "n7": 8}
