@@ -195,3 +195,87 @@ def disclosed(texts: list[str], together: int, disclosure: float) -> dict[int, s
                 found.append((a, len(KINDS), a + len(word), "term"))
         out[i] = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
     return out
+
+
+def page_text(html: str, flat: bool = False) -> str:
+    """The main text of a well-formed page of div, ul, li, p, h1, b, a, article, nav and marked divs, by recursion over a parsed tree. flat: without ratios."""
+    import xml.etree.ElementTree as tree
+
+    lines: list[dict] = []  # of text: words, tags, links, link characters, the elements around it
+    state = {"tags": 0}
+
+    def put(piece: str | None, path: tuple, link: bool) -> None:
+        state["text"] = state.get("text", "") + (piece or "")
+        if link:
+            state["inside"] = state.get("inside", 0) + len("".join((piece or "").split()))
+
+    def cut(path: tuple) -> None:
+        text = " ".join(state.pop("text", "").split())
+        if text:
+            lines.append({"text": text, "tags": state["tags"], "links": state.pop("links", 0), "inside": state.pop("inside", 0), "path": path})
+            state["tags"] = 0
+
+    def walk(e, path: tuple, link: bool) -> None:
+        block = e.tag in ("html", "body", "div", "ul", "li", "p", "h1", "article", "nav")
+        counted = block and e.tag != "body"  # body is no block of its own
+        if counted:
+            cut(path)
+        gone = e.tag == "nav" or e.get("class") in ("ad", "comments")
+        state["tags"] += 1
+        state["links"] = state.get("links", 0) + (e.tag == "a")
+        inner = (*path, e) if counted else path
+        if not gone:
+            put(e.text, inner, link or e.tag == "a")
+            for c in e:
+                walk(c, inner, link or e.tag == "a")
+                put(c.tail, inner, link or e.tag == "a")
+        state["tags"] += not gone
+        if block:
+            cut(inner)
+
+    root = tree.fromstring(html)
+    walk(root, (), False)
+    cut(())
+    if not lines:
+        return ""
+    raw = [math.log1p(len(x["text"]) / max(1, x["tags"])) for x in lines]
+    weights = {d: math.exp(-0.5 * d * d) for d in range(-3, 4)}
+    smooth = [sum(w * raw[min(max(i + d, 0), len(raw) - 1)] for d, w in weights.items()) / sum(weights.values()) for i in range(len(raw))]
+    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v)
+    cuts = sorted(set(smooth))[1:]
+    high = [True] * len(lines)
+    if cuts and not flat:
+        at = min(cuts, key=lambda c: (spread([x for x in smooth if x < c]) + spread([x for x in smooth if x >= c]), c))
+        low, up = [x for x in smooth if x < at], [x for x in smooth if x >= at]
+        if sum(up) / len(up) - sum(low) / len(low) >= math.log(4):
+            high = [x >= at for x in smooth]
+    under = lambda e: [(x, h) for x, h in zip(lines, high, strict=True) if any(p is e for p in x["path"])]
+    tall = lambda e: any(h for _, h in under(e))
+
+    def menu(rows: list[dict]) -> bool:
+        chars = sum(len("".join(x["text"].split())) for x in rows)
+        return sum(x["links"] for x in rows) >= (3 if articles else 2) and sum(x["inside"] for x in rows) >= 0.8 * chars
+
+    articles = [e for e in root.iter("article") if tall(e) and not any(e is not o and any(e is i for i in o.iter()) for o in root.iter("article"))]
+    kept = []
+    region: tuple = ()
+    if not articles:
+        tops = [x["path"] for x, h in zip(lines, high, strict=True) if h]
+        depth = 0
+        while all(len(p) > depth and p[depth] is tops[0][depth] and p[depth].tag in ("div", "ul", "li", "article") for p in tops):
+            depth += 1
+        region = tops[0][:depth]
+    for x, h in zip(lines, high, strict=True):
+        path = x["path"]
+        if articles:
+            inside = any(any(p is a for p in path) for a in articles)
+        else:
+            shared = 0
+            while shared < min(len(path), len(region)) and path[shared] is region[shared]:
+                shared += 1
+            inside = shared == len(region) or len(path) == shared or path[shared].tag in ("p", "h1")
+        if any(p.tag in ("div", "ul", "li", "article") and not tall(p) and menu([r for r, _ in under(p)]) for p in path):
+            inside = False
+        if inside and (h or not menu([x])):
+            kept.append(x["text"])
+    return " ".join(kept)
