@@ -14,7 +14,8 @@ anyone: it is cut by the n-grams' upper hash bits into slices, and probes travel
 2. Each block sends each slice the sorted n-grams that fall into it, once each, with their counts
    in the training texts. The slice sums the counts, sets its bits, is probed for every n-gram that
    came, and sends each block the levels in the order of the n-grams, a byte each; words get their
-   exact count too, for the base score. A frequent word costs one entry a block.
+   exact count too, for the base score. A frequent word costs one entry a block. Blocks grow with
+   the number of slices (layout()), and a block's work doesn't depend on how many slices there are.
 3. Each block meets its levels and is scored.
 
 Tokens: words, A-Z lower-cased, then one end per text. Null texts are empty: their one token is
@@ -44,11 +45,13 @@ BITS_PER_ENTRY = 12
 #: Text of a block, and text whose n-grams share a slice.
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 8 << 20
+#: Text of a block for each slice, and the largest blocks and slices.
+PIECE, MOST_BLOCK, MOST_SLICE = 192, 128 << 20, 64 << 20
 #: Stands for the end of a text, and as the context of its first word.
 END = np.uint64(0x8E51D3C2A5B4F697)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-SENT = "slice long, block long, words binary, words_n binary, pairs binary, pairs_n binary"
+SENT = "slice long, block long, words_size int, words binary, words_n binary, pairs_size int, pairs binary, pairs_n binary"
 PROBED = "slice long, block long, words_n binary, words_level binary, pairs_level binary, bits binary, tokens long, kinds long, entries long"
 SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
@@ -104,46 +107,52 @@ def _assign(block_bytes: int):
     return run
 
 
-def _packed(grams: np.ndarray, n: np.ndarray, slices: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Of sorted n-grams: the bounds of slices, and each slice's n-grams (as gaps, of as many bytes as the widest
-    needs; the first byte tells how many) and counts."""
-    width = 64 - (slices - 1).bit_length()
-    lows = np.arange(slices, dtype=np.uint64) << np.uint64(width) if slices > 1 else np.zeros(1, np.uint64)
-    cut = np.append(np.searchsorted(grams, lows), len(grams))
+def _width(slices: int) -> int:
+    """Bits of an n-gram's hash below those that name its slice."""
+    return 64 - (slices - 1).bit_length()
+
+
+def _packed(grams: np.ndarray, n: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, int, bytes, bytes]:
+    """Sorted n-grams for their slices: the slices that any falls into, the bounds of each one's n-grams, and all n-grams (as gaps inside
+    their slice, of as many bytes as the widest needs: the third value) and counts in a row. Costs nothing for a slice without n-grams."""
+    own = grams >> np.uint64(_width(slices)) if slices > 1 else np.zeros(len(grams), np.uint64)
+    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(grams) else np.zeros(0, np.int64)
+    ids = own[begins]
     gap = np.diff(grams, prepend=np.uint64(0))
-    filled = np.flatnonzero(np.diff(cut))
-    gap[cut[filled]] = grams[cut[filled]] - lows[filled]
+    gap[begins] = grams[begins] - (ids << np.uint64(_width(slices)) if slices > 1 else np.uint64(0))
     size = max(1, -(-int(gap.max()).bit_length() // 8)) if len(gap) else 1
     raw = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-    counts = n.astype("<u4").tobytes()
-    head = bytes([size])
-    pieces = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-    return cut, [head + raw[a * size : b * size] for a, b in pieces], [counts[4 * a : 4 * b] for a, b in pieces]
+    return ids.astype(np.int64), np.append(begins, len(grams)), size, raw, n.astype("<u4").tobytes()
+
+
+def _pieces(every: np.ndarray, ids: np.ndarray, bounds: np.ndarray, size: int, raw: bytes) -> pa.Array:
+    """raw cut by slice, as a binary column with a value (empty, if there is none) for each of the slices `every`."""
+    offsets = (bounds[np.append(np.searchsorted(ids, every), len(ids))] * size).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
 
 
-def _unpacked(raw: bytes, slice_number: int, slices: int) -> np.ndarray:
-    size = raw[0]
-    gap = np.zeros(((len(raw) - 1) // size, 8), np.uint8)
-    gap[:, :size] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, size)
+def _unpacked(raw: bytes, size: int, slice_number: int, slices: int) -> np.ndarray:
+    gap = np.zeros((len(raw) // size, 8), np.uint8)
+    gap[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
     out = np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64)
-    return out + (np.uint64(slice_number) << np.uint64(64 - (slices - 1).bit_length()) if slices > 1 else np.uint64(0))
+    return out + (np.uint64(slice_number) << np.uint64(_width(slices)) if slices > 1 else np.uint64(0))
 
 
 def _send(slices: int):
-    """What each block sends each slice."""
+    """What each block sends each slice that any of its n-grams falls into."""
 
-    def sent(block: int, texts: list[pa.Array], learn: list[np.ndarray]) -> pa.RecordBatch | None:
+    def sent(block: int, texts: list[pa.Array], learn: list[np.ndarray]) -> pa.RecordBatch:
         tokens, pairs, sizes = (np.concatenate(x) for x in zip(*map(_grams, texts), strict=True))
         counted = np.repeat(np.concatenate(learn), sizes)
-        columns, full = [], np.zeros(slices, bool)
+        packed = []
         for h in (tokens, pairs):
             found, where = np.unique(h, return_inverse=True)
-            cut, grams, counts = _packed(found, np.bincount(where, counted, len(found)), slices)
-            full |= np.diff(cut) > 0
-            columns += [grams, counts]
-        at = np.flatnonzero(full)
-        picked = [pa.array([c[i] for i in at], pa.binary()) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.full(len(at), block), pa.int64()), *picked], [f.split()[0] for f in SENT.split(", ")])
+            packed.append(_packed(found, np.bincount(where, counted, len(found)), slices))
+        every = np.union1d(packed[0][0], packed[1][0])
+        columns = [pa.array(every, pa.int64()), pa.array(np.full(len(every), block), pa.int64())]
+        for ids, bounds, size, raw, counts in packed:
+            columns += [pa.array(np.full(len(every), size, np.int32)), _pieces(every, ids, bounds, size, raw), _pieces(every, ids, bounds, 4, counts)]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SENT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, learn = None, [], []
@@ -213,7 +222,8 @@ def _slice(slices: int, bits: int):
         names, back = np.unique(block, return_inverse=True)
         parts, answers = [], []
         for kind in ("words", "pairs"):
-            grams = [_unpacked(x.as_py(), number, slices) for x in table.column(kind)]
+            sizes = table.column(f"{kind}_size").to_pylist()
+            grams = [_unpacked(x.as_py(), k, number, slices) for x, k in zip(table.column(kind), sizes, strict=True)]
             counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column(f"{kind}_n")])
             size = np.array([len(g) for g in grams])
             every = np.concatenate(grams)
@@ -282,6 +292,16 @@ def _score(total: int, vocabulary: int):
     return run
 
 
+def layout(size: int, block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> tuple[int, int]:
+    """Slices for so many bytes of text, and how many blocks are taken together: as many as give each slice about PIECE bytes of text of a
+    block, so that the pieces that travel, blocks times slices of them, stay proportional to the corpus; within MOST_BLOCK and MOST_SLICE
+    bytes for a task."""
+    slices = 1 << max(0, (size // slice_bytes).bit_length())
+    while slices > 1 and slices * PIECE > MOST_BLOCK and 2 * (size // slices) < MOST_SLICE:
+        slices >>= 1  # slices of more text, where blocks can't grow
+    return slices, max(1, min(MOST_BLOCK, slices * PIECE) // block_bytes)
+
+
 def probed(rows: DataFrame, slices: int, bits: int = BITS_PER_ENTRY) -> DataFrame:
     """The filter's slices (block null: slice, bits, tokens, kinds, entries) and their answers to every block.
     rows: learn, text, block."""
@@ -295,7 +315,9 @@ def score(docs: DataFrame, learn: Column, bits: int = BITS_PER_ENTRY, block_byte
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learn.alias("learn"), text.alias("text"))
     rows = materialize(rows.mapInArrow(_assign(block_bytes), "doc_id long, learn boolean, text string, block long"), "blocks")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = 1 << max(0, (size // slice_bytes).bit_length())
+    slices, units = layout(size, block_bytes, slice_bytes)
+    own = F.shiftleft(F.shiftright("block", 32), 32)  # a task's blocks in a row become one
+    rows = rows.withColumn("block", (own + F.floor((F.col("block") - own) / F.lit(units))).cast("long"))
     found = probed(rows, slices, bits)
     total, vocabulary = found.filter("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     answers = found.filter("block IS NOT NULL").select("block", "slice", "words_n", "words_level", "pairs_level")

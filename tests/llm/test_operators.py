@@ -468,9 +468,44 @@ def test_grams_travel_whole():
     import numpy as np
 
     r = np.random.default_rng(1)
-    for slices in (1, 2, 64):
+    for slices in (1, 2, 64, 1 << 20):
         for size in (0, 1, 3, 5000):
             g = np.unique(np.concatenate((r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 1][:size], np.uint64))))
-            _, grams, counts = bloom_lm._packed(g, np.arange(len(g)), slices)
-            assert len(grams) == slices and np.concatenate([bloom_lm._unpacked(x, i, slices) for i, x in enumerate(grams)]).tolist() == g.tolist()
-            assert np.frombuffer(b"".join(counts), "<u4").tolist() == list(range(len(g)))
+            ids, bounds, width, raw, counts = bloom_lm._packed(g, np.arange(len(g)), slices)
+            every = np.unique(np.concatenate((ids, [0, slices // 2, slices - 1])))
+            grams, n = (bloom_lm._pieces(every, ids, bounds, k, x).to_pylist() for k, x in ((width, raw), (4, counts)))
+            assert len(ids) <= min(slices, len(g)) and np.concatenate([bloom_lm._unpacked(x, width, int(i), slices) for i, x in zip(every, grams, strict=True)]).tolist() == g.tolist()
+            assert np.frombuffer(b"".join(n), "<u4").tolist() == list(range(len(g)))
+
+
+def test_many_slices_cost_no_more():
+    import time
+
+    import numpy as np
+
+    g = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 300_000).astype(np.uint64))
+
+    def seconds(slices):
+        best = 9.0
+        for _ in range(5):
+            start = time.process_time()
+            ids, bounds, width, raw, _ = bloom_lm._packed(g, np.ones(len(g)), slices)
+            bloom_lm._pieces(ids, ids, bounds, width, raw)
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert seconds(1 << 20) < 2 * seconds(64) + 0.02
+    for size in (0, 10**6, 10**9, 10**12, 10**14):
+        slices, units = bloom_lm.layout(size)
+        assert units * bloom_lm.BLOCK_BYTES <= bloom_lm.MOST_BLOCK and size / slices <= bloom_lm.MOST_SLICE and (size < 10**13 or size / slices >= bloom_lm.SLICE_BYTES)
+
+
+def test_one_word_in_every_block(spark, monkeypatch):
+    """Small blocks, many slices: the frequent word's slice hears from every block, and scores are the plain model's."""
+    rows = [(i, f"the the w{i} x{i % 7} the") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(bloom_lm, "PIECE", 1)
+    want, plain = brute.unigram(rows), brute.bigram(rows, bloom_lm.KAPPA)
+    out = by_id(bloom_lm.score(d, ~bloom_lm.held_out(F.col("doc_id")), 1024, 64, 128))
+    assert len(out) == 400 and all(out[i]["n_known"] == w[2] and out[i]["base_score"] == pytest.approx(w[4], rel=1e-9) and out[i]["score"] == pytest.approx(plain[i], rel=1e-9) for i, w in want.items())
+
