@@ -12,7 +12,8 @@ pair must show before it is verified. A pair is held to the smaller l of its two
    frequencies. A document without l tokens that another one has too cannot link: it is done.
 3. The rest get exact frequencies among themselves, the order rare-first and their own l.
 4. Stars: of each prefix token's documents, the one with the fewest tokens of its own is
-   paired with all others; pairs that link become components.
+   paired with the others, a document with the STARS of them that it shares the most prefix
+   tokens with; pairs that link become components.
 5. Pairs of different components that meet at a token from which enough of both sets is left are
    then tried; a pair inside a component can change nothing. So a group of copies costs about its
    own size, and every link that joins components is found.
@@ -47,6 +48,8 @@ MOST_SHARED = 8
 COST_UNIT = 4.0
 #: A token is hot if it holds over 1 / HOT_TOKENS of the rows; there are fewer than HOT_TOKENS such tokens.
 HOT_TOKENS = 2000
+#: Heads of stars that a document is paired with.
+STARS = 8
 #: Documents of one block of a hot token.
 BLOCK_DOCS = 500
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -169,26 +172,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
     return both.filter(F.expr(f"100 * i >= {num} * (n_a + n_b - i)")).select("a", "b")
 
 
-def _fitting(met: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) whose sizes fit and that meet where the needed overlap is still left in both sets. met: a, b, and
+def _fits(met: DataFrame, num: int) -> DataFrame:
+    """The rows of pairs whose sizes fit and that meet where the needed overlap is still left in both sets. met: a, b, and
     the size n and place pos of both."""
     need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
     fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    return met.filter(f"{fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}").select("a", "b").distinct()
+    return met.filter(f"{fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}")
 
 
 def _stars(prefix: DataFrame) -> DataFrame:
     """Each prefix token's documents beside the one with the fewest tokens of its own: first inside blocks of about
     BLOCK_DOCS documents, then the blocks' first ones among themselves."""
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / F.lit(float(BLOCK_DOCS)))).cast("int")
+    blocks_of = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / F.lit(float(BLOCK_DOCS)))))  # the same documents stand together at tokens of about the same df
+    part = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1.0), blocks_of).cast("long")).cast("int")
     first = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos"))
     inside = prefix.withColumn("hub", first.over(Window.partitionBy("token", part)))
     heads = inside.filter((F.col("df") > BLOCK_DOCS) & (F.col("hub.node") == F.col("node"))).withColumn("hub", first.over(Window.partitionBy("token")))
     every = inside.unionByName(heads).filter("hub.node != node")
-    ends = [F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
+    ends = ["node", F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")]
     return every.select(*ends, F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
 
 
+def _star_pairs(prefix: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) of documents with the STARS heads that they share the most prefix tokens with. What is left out here joins nothing
+    that pairs of different components wouldn't."""
+    met = _fits(_stars(prefix), num).groupBy("node", "a", "b").agg(F.count(F.lit(1)).alias("tokens"))
+    best = Window.partitionBy("node").orderBy(F.col("tokens").desc(), "a", "b")
+    return met.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= STARS).select("a", "b").distinct()
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of tokens that documents of different components have, with docs, the documents of a frequent token (else 1).
     placed: token, node, n, pos, df, component; a frequent token's components are compared by aggregation."""
@@ -238,10 +250,10 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # two linked sets meet at the first token that they share, which stands in both shortest prefixes
     prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
     prefix = materialize(prefix.select(F.col("x.token").alias("token"), F.col("x.df").alias("df"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
-    near = materialize(connected_components(_verified(_fitting(_stars(prefix), num), nodes, num)), "stars")
+    near = materialize(connected_components(_verified(_star_pairs(prefix, num), nodes, num)), "stars")
 
     placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
-    rest = _verified(_fitting(_mixed_pairs(_mixed(placed)), num), nodes, num)
+    rest = _verified(_fits(_mixed_pairs(_mixed(placed)), num).select("a", "b").distinct(), nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
     rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
