@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import version_key
+from ..sources.scratch import written
+from . import ranges
 
 CHANGED_SHARE, CHANGED_BYTES, LEAST_NAMES = 0.05, 16, 20
 
@@ -38,15 +40,20 @@ def change_transfer_pairs(changes: DataFrame) -> DataFrame:
     return a.join(b, c).filter("src_arch != dst_arch")
 
 
-def ranked_quality(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """AUC by average ranks and average precision (score down, name up) per group. rows: by, score, label, name."""
-    part = Window.partitionBy(*by)
-    low = F.rank().over(part.orderBy("score"))
-    same = F.count(F.lit(1)).over(Window.partitionBy(*by, "score"))
-    down = part.orderBy(F.col("score").desc(), name)
-    out = rows.withColumn("avg_rank", low + (same - 1) / 2.0).withColumn("place", F.row_number().over(down))
-    out = out.withColumn("found", F.sum("label").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.sum(F.when(F.col("label") == 1, F.col("avg_rank"))).alias("ranks"), F.sum(F.when(F.col("label") == 1, F.col("found") / F.col("place"))).alias("precisions"))
+def ranked_quality(rows: DataFrame, by: list[str], name: str, task_rows: int | None = None) -> DataFrame:
+    """AUC by average ranks and average precision (score down, name up) per group. rows: by, score, label, name, the last one total within
+    a score. Equal scores are counted together first. A group with more than task_rows rows (ranges.MOST_ROWS) is cut into ranges of the
+    order, so that no task holds it."""
+    held = written(rows.select(*by, "score", "label", name), "ranked")
+    cut = ranges.parts(ranges.sizes(held, *by), task_rows)
+    scores = held.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("same"), F.sum("label").alias("hits"))
+    scores = ranges.running(scores, by, ["score"], F.col("same"), "upto", cut)
+    low = scores.groupBy(*by).agg(F.sum("same").alias("n"), F.sum("hits").alias("positives"), F.sum(F.col("hits") * (F.col("upto") - (F.col("same") - 1) / 2.0)).alias("ranks"))
+    down = held.withColumn("_down", -F.col("score"))
+    placed = ranges.running(down, by, ["_down", name], F.lit(1), "place", cut).filter("label = 1")
+    found = ranges.running(placed, by, ["place"], F.lit(1), "found", cut)
+    precisions = found.groupBy(*by).agg(F.sum(F.col("found") / F.col("place")).alias("precisions"))
+    out = low.join(precisions, by, "left") if by else low.join(precisions)  # a row a group
     p, q = F.col("positives").cast("double"), (F.col("n") - F.col("positives")).cast("double")
     return out.withColumn("auc", F.when((p > 0) & (q > 0), (F.col("ranks") - p * (p + 1) / 2) / (p * q)).otherwise(0.0)).withColumn("average_precision", F.when(p > 0, F.col("precisions") / p).otherwise(0.0)).drop("ranks", "precisions")
 

@@ -14,6 +14,36 @@ def symbol_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("version", "arch").agg(F.count(F.lit(1)).alias("functions"), F.avg("size").alias("mean"), p.alias("p")).select("version", "arch", "functions", "mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), F.col("p")[2].alias("p99"))
 
 
+PERCENTILES = (0.5, 0.9, 0.99)
+
+
+def size_sketches(rows: DataFrame, *by: str, k: int = 400) -> DataFrame:
+    """(by, functions, sketch): a quantile sketch of the sizes of each group, of a size that doesn't grow with the group. Sketches of
+    parts are merged by kll_merge_agg_bigint, without the rows."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("functions"), F.kll_sketch_agg_bigint("size", F.lit(k)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones."""
+    return sketches.groupBy(*by).agg(F.sum("functions").alias("functions"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, functions, p, size): the sketches' estimates."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)).alias("size")) for p in PERCENTILES]))
+    return sketches.select(*by, "functions", each.alias("e")).select(*by, "functions", "e.p", "e.size")
+
+
+def rank_errors(rows: DataFrame, estimates: DataFrame, *by: str) -> DataFrame:
+    """estimates with rank_error: how far the share of rows up to the estimated size is from p (0 if p is between the shares below and up to
+    it). Estimates are a few rows a group."""
+    sizes = rows.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("size", "seen")  # counted before they meet the estimates
+    met = sizes.join(F.broadcast(estimates), list(by)) if by else sizes.join(F.broadcast(estimates))
+    share = lambda test: F.sum(F.when(test, F.col("rows")).otherwise(0)) / F.first("functions")
+    out = met.groupBy(*by, "p", "size").agg(F.first("functions").alias("functions"), share(F.col("seen") < F.col("size")).alias("below"), share(F.col("seen") <= F.col("size")).alias("upto"))
+    return out.withColumn("rank_error", F.greatest(F.lit(0.0), F.col("below") - F.col("p"), F.col("p") - F.col("upto"))).drop("below", "upto")
+
+
 def pair_artifacts(stripped: DataFrame, unstripped: DataFrame) -> DataFrame:
     """Stripped binaries with their labelled counterpart, if there is one."""
     has = unstripped.select("version", "arch", F.lit(1).alias("has_label"))

@@ -83,10 +83,18 @@ def latest_run(listing: DataFrame, needed: list[str]) -> DataFrame:
     return whole.agg(F.max("run").alias("run"))
 
 
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Binaries below a folder: version and arch from the path, size, SHA-256."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.select("path", F.element_at(F.split("path", "/"), -2).alias("version"), F.regexp_extract("path", r"([^/-]+)-unstripped$", 1).alias("arch"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+#: Version and architecture in the path of a binary.
+BINARY_PATH = r"([^/]+)/([^/]+)-unstripped$"
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = BINARY_PATH, files: str = "*") -> DataFrame:
+    """Binaries below a folder: version and arch from the path by the pattern's two groups, size, SHA-256. Only files whose path has the
+    pattern are read; contents only if the hash is asked for."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    where = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    rows = rows.withColumn("path", where).filter(F.col("path").rlike(pattern))
+    part = lambda i: F.regexp_extract("path", pattern, i)
+    return rows.select("path", part(1).alias("version"), part(2).alias("arch"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def merge_features(features: DataFrame, status: DataFrame) -> DataFrame:
@@ -99,6 +107,21 @@ def write_merged(features: DataFrame, status: DataFrame, path: str) -> None:
     merge_features(features, status).repartition("version", "arch").write.mode("overwrite").partitionBy("version", "arch").parquet(path)
 
 
+def finished(status: DataFrame) -> DataFrame:
+    """(version, arch) of the binaries whose work has ended well."""
+    return status.filter("status IN ('completed', 'exists')").select("version", "arch").distinct()
+
+
+def write_missing(features: DataFrame, status: DataFrame, path: str) -> DataFrame:
+    """Writes the binaries of `features` that `status` (version, arch, status) doesn't tell as finished, and only their folders: what was
+    complete isn't read beyond its keys, and isn't touched. Half-written folders of an earlier run are replaced. Returns the new status
+    rows (version, arch, status, functions); a row a binary."""
+    done = finished(status)
+    todo = features.join(F.broadcast(done), ["version", "arch"], "left_anti")  # a row a binary
+    todo.repartition("version", "arch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "arch").parquet(path)
+    return todo.groupBy("version", "arch").agg(F.lit("completed").alias("status"), F.count(F.lit(1)).alias("functions"))
+
+
 def write_results(rows: DataFrame, path: str, columns: list[str], kind: str = "csv", compression: str | None = None) -> None:
     """A result table with a fixed list of columns, as CSV (gzip or not) or JSON lines."""
     out = rows.select(*columns).write.mode("overwrite")
