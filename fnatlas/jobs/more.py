@@ -12,8 +12,8 @@ from ..functions.vectors import SHAPE
 from ..operators import evolution, experiments, features, reports, retrieval, scoring, shape, sweep, temporal
 from ..sources import bindings as b
 from ..sources import readers
-from . import sql
-from .catalog import PAIR, _by_size, _two_methods, metrics, r6
+from . import dumps, sql
+from .catalog import PAIR, _by_size, _patch_rows, _two_methods, metrics, r6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -138,18 +138,29 @@ def reattach_alignment(spark, d):
 
 @query
 def binary_features(spark, d):
+    """Size statistics of every binary with its bytes and section counts; what a binary lacks counts as 0."""
     s = reports.symbol_stats(b.functions(spark, d))
     m = b.stripped(spark, d).groupBy("version", "arch").agg(F.sum("size").alias("bytes")).filter("bytes % 2 = 0")
-    out = s.join(m, ["version", "arch"], "left")
-    return out.select("version", "arch", "functions", F.round(F.coalesce(F.col("bytes"), F.lit(0)) / F.lit(1048576.0), 6).alias("mib"), *r6("median", "p90"), names.range_label(F.col("version")).alias("label"))
+    header = dumps.QUERIES["header_dump"](spark, d).select(F.split("file", "/")[0].alias("version"), F.split("file", "/")[1].alias("arch"), "section_count", "debug_section_count")
+    out = s.join(m, ["version", "arch"], "left").join(header.filter("section_count > 1"), ["version", "arch"], "left")
+    sections = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("section_count", "debug_section_count")]
+    return out.select("version", "arch", "functions", F.round(F.coalesce(F.col("bytes"), F.lit(0)) / F.lit(1048576.0), 6).alias("mib"), *r6("mean", "median", "p90", "p99"), *sections, names.range_label(F.col("version")).alias("label"))
 
 
 @query
 def experiment_rollup(spark, d):
-    p = _by_size(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.round("hit_at_10", 6)).alias("value")).withColumn("experiment", F.lit("retrieval_hit_at_10"))
-    pairs = evolution.change_transfer_pairs(evolution.version_change(evolution.size_map(b.functions(spark, d))).withColumn("rel_change", F.round("rel_change", 9)))
-    t = evolution.change_transfer(pairs).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.round("auc", 6)).alias("value")).withColumn("experiment", F.lit("change_transfer_auc"))
-    return p.unionByName(t).select("experiment", "rows", F.round("value", 8).alias("value"))
+    """Means of the metrics of all pairs, steps and architectures: a row a metric."""
+    pairs = _by_size(spark, d)
+    moves = evolution.change_transfer_pairs(evolution.version_change(evolution.size_map(b.functions(spark, d))).withColumn("rel_change", F.round("rel_change", 9)))
+    moves = evolution.change_transfer(moves).withColumn("positive_changed_rate", F.col("positives") / F.col("n"))
+    patch = evolution.classification_metrics(_patch_rows(spark, d), "arch")
+    parts = (("retrieval", pairs, ("hit_at_1", "hit_at_5", "hit_at_10", "mrr_at_10")), ("change_transfer", moves, ("auc", "average_precision", "positive_changed_rate")), ("patch_state", patch, ("accuracy", "precision", "recall", "f1")))
+    out = []
+    for name, rows, columns in parts:
+        means = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.round(c, 6)).alias(c) for c in columns])
+        each = F.explode(F.array(*[F.struct(F.lit(f"{name}_{c}").alias("experiment"), F.col(c).alias("value")) for c in columns]))
+        out.append(means.select("rows", each.alias("e")).select("e.experiment", "rows", F.round("e.value", 8).alias("value")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query
@@ -280,9 +291,16 @@ SQL: dict[str, str] = {
     "dense_stats": f"WITH {_FX}, {sql.STR}, s AS (SELECT version, arch, function_id, size, greatest(size // 4, 1) AS ic, CAST(quantity AS BIGINT) AS bc, CAST(quantity + l_linenumber AS BIGINT) AS ec FROM strip) SELECT version, arch, function_id, round(ln(1.0::DOUBLE + size), 6) AS log_size, round(ln(1.0::DOUBLE + ic), 6) AS log_instruction_count, round(ln(1.0::DOUBLE + bc), 6) AS log_basic_block_count, round(ln(1.0::DOUBLE + ec), 6) AS log_cfg_edge_count, bc::DOUBLE / ic AS basic_block_count_rate, ec::DOUBLE / ic AS cfg_edge_count_rate, ic::DOUBLE / greatest(bc, 1) AS block_size, ec::DOUBLE / greatest(bc, 1) AS edge_density FROM s",
     "transfer_calibration": f"WITH {_FX}, {sql.PAIRS}, {sql.shaped('sh', 'fx')}, {sql.relevant('sh')}, {sql.ALL_QUERIES}, st AS (SELECT version, arch, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) <= 1e-9 THEN 1 ELSE stddev_pop({c}) END AS {c}_s' for c in SHAPE)} FROM sh GROUP BY ALL) SELECT q.version, q.src_arch, q.dst_arch, q.function_id, {', '.join(f'round(d.{c}_m + (q.{c} - s.{c}_m) / s.{c}_s * d.{c}_s, 6) AS {c}' for c in SHAPE)} FROM q JOIN st s ON s.version = q.version AND s.arch = q.src_arch JOIN st d ON d.version = q.version AND d.arch = q.dst_arch",
     "reattach_alignment": f"WITH {_FX}, {sql.LAB}, {sql.STR} SELECT l.version, l.arch, count(s.function_id) AS attached, count(*) FILTER (s.function_id IS NULL) AS unmatched FROM lab l LEFT JOIN strip s ON s.version = l.version AND s.arch = l.arch AND s.function_id = l.function_id GROUP BY ALL",
-    "binary_features": f"WITH {_FX}, {sql.STR}, {sql.STATS}, m AS (SELECT version, arch, CAST(sum(size) AS BIGINT) AS bytes FROM strip GROUP BY ALL HAVING sum(size) % 2 = 0) SELECT version, arch, functions, round(coalesce(bytes, 0) / 1048576.0::DOUBLE, 6) AS mib, round(median, 6) AS median, round(p90, 6) AS p90, CAST({sql.RANGE_LABEL} AS INT) AS label FROM st LEFT JOIN m USING (version, arch)",
-    "experiment_rollup": f"""WITH p AS ({sql.SQL['cross_arch_size_retrieval']}), ct AS ({sql.SQL['change_transfer']})
- SELECT 'retrieval_hit_at_10' AS experiment, count(*) AS rows, round(avg(round(hit_at_10, 6)), 8) AS value FROM p UNION ALL SELECT 'change_transfer_auc', count(*), round(avg(auc), 8) FROM ct""",
+    "binary_features": f"WITH {_FX}, {sql.STR}, {sql.STATS}, m AS (SELECT version, arch, CAST(sum(size) AS BIGINT) AS bytes FROM strip GROUP BY ALL HAVING sum(size) % 2 = 0), hd AS (SELECT split_part(file, '/', 1) AS version, split_part(file, '/', 2) AS arch, section_count, debug_section_count FROM ({dumps.SQL['header_dump']}) WHERE section_count > 1) SELECT version, arch, functions, round(coalesce(bytes, 0) / 1048576.0::DOUBLE, 6) AS mib, round(mean, 6) AS mean, round(median, 6) AS median, round(p90, 6) AS p90, round(p99, 6) AS p99, coalesce(section_count, 0) AS section_count, coalesce(debug_section_count, 0) AS debug_section_count, CAST({sql.RANGE_LABEL} AS INT) AS label FROM st LEFT JOIN m USING (version, arch) LEFT JOIN hd USING (version, arch)",
+    "experiment_rollup": " UNION ALL ".join(
+        f"SELECT '{name}_{c}' AS experiment, count(*) AS rows, round(avg(round({e}, 6)), 8) AS value FROM ({sql.SQL[query_name]})"
+        for name, query_name, columns in (
+            ("retrieval", "cross_arch_size_retrieval", {c: c for c in ("hit_at_1", "hit_at_5", "hit_at_10", "mrr_at_10")}),
+            ("change_transfer", "change_transfer", {"auc": "auc", "average_precision": "average_precision", "positive_changed_rate": "positives::DOUBLE / n"}),
+            ("patch_state", "classification_metrics", {c: c for c in ("accuracy", "precision", "recall", "f1")}),
+        )
+        for c, e in columns.items()
+    ),
     "best_by_version": f"WITH s AS ({sql.SQL['summary_by_version']}) SELECT version, method, weighted_hit_at_1 AS hit_at_1 FROM s WHERE rank = 1",
     "overall_ranking": f"WITH s AS ({sql.SQL['summary_by_method']}) SELECT method, row_number() OVER (ORDER BY round(weighted_hit_at_1, 6) DESC, round(weighted_hit_at_10, 6) DESC, round(weighted_mrr_at_10, 6) DESC, round(weighted_mean_inspected_at_10, 6), method) AS rank, queries FROM s",
     "pair_gain": f"{sql.PD} SELECT src_arch, dst_arch, count(*) AS pairs, round(avg(difference), 6) AS gain FROM pd GROUP BY GROUPING SETS ((src_arch, dst_arch), (src_arch), (dst_arch))",
