@@ -363,9 +363,12 @@ def class_histogram(spark, d):
 
 @query
 def function_record(spark, d):
+    """Records of functions from instruction rows: a document's words, of which long ones are strings and numbers are constants."""
     t = b.docs(spark, d).select("function_id", F.posexplode("tokens").alias("seq", "token"))
+    t = t.withColumn("string", F.when(F.length("token") > 8, F.col("token"))).withColumn("constant", F.when(F.col("token").rlike("^[0-9]{1,15}$"), F.col("token").cast("long")))
     rec = features.function_records(t.withColumn("op_class", tokens.mnemonic_class(F.col("token"))))
-    return rec.select("function_id", "instruction_count", "call_count", "ret_count", "branch_count", "token_truncated", F.array_join("tokens", " ").alias("tokens"))
+    listed = [F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["key"], x["count"].cast("string"))), " ").alias(c) for c in ("string_refs", "constant_buckets")]
+    return rec.select("function_id", "instruction_count", "call_count", "ret_count", "branch_count", "string_ref_count", "constant_count", *listed, "token_truncated", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query

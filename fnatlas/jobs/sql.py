@@ -67,6 +67,10 @@ def bucket_case(v: str) -> str:
     return f"CASE WHEN {v} = 0 THEN 'IMM_ZERO' WHEN {v} = 1 THEN 'IMM_ONE' WHEN {v} < 0 THEN 'IMM_NEG' WHEN {v} <= 255 THEN 'IMM_SMALL' WHEN {v} <= 65535 THEN 'IMM_MEDIUM' WHEN {v} & ({v} - 1) = 0 THEN 'IMM_MASK' ELSE 'IMM_LARGE' END"
 
 
+def category_case(s: str) -> str:
+    return f"""concat(CASE WHEN regexp_full_match({s}, '[0-9]+') THEN 'numeric' WHEN contains(lower({s}), '://') OR starts_with(lower({s}), 'www.') THEN 'url_like' WHEN contains({s}, '/') OR contains({s}, chr(92)) THEN 'path_like' WHEN starts_with({s}, '-') THEN 'option_like' WHEN contains({s}, '%') THEN 'format_like' WHEN regexp_matches(lower({s}), 'error|failed|invalid|usage') THEN 'message_like' ELSE 'other' END, ':', CASE WHEN length({s}) <= 8 THEN 'len_0_8' WHEN length({s}) <= 32 THEN 'len_9_32' WHEN length({s}) <= 128 THEN 'len_33_128' ELSE 'len_129_plus' END)"""
+
+
 KEY3 = "list_transform(string_split(replace(version, 'rel-', ''), '.'), lambda p: CAST(p AS INT))"
 RANGE_LABEL = f"CASE WHEN {KEY3} >= [1,16,0] AND {KEY3} <= [1,33,1] THEN 1 WHEN {KEY3} >= [1,34,0] THEN 0 END"
 SPLIT = f"CASE WHEN {KEY3} <= [1,30,1] THEN 'train' WHEN {KEY3} >= [1,31,0] AND {KEY3} <= [1,33,2] THEN 'validation' WHEN {KEY3} >= [1,34,0] THEN 'test' END"
@@ -263,8 +267,7 @@ SQL: dict[str, str] = {
     "classify_mnemonic": f"WITH {DOCS}, w AS (SELECT w, count(*) AS n FROM (SELECT unnest(tokens) AS w FROM docs) GROUP BY w) SELECT {mnemonic_case('w')} AS op_class, CAST(sum(n) AS BIGINT) AS n, count(*) AS words FROM w GROUP BY ALL",
     "imm_bucket": f"WITH v AS (SELECT l_partkey - 1000 AS v FROM lineitem UNION ALL SELECT l_orderkey * l_partkey FROM lineitem) SELECT {bucket_case('v')} AS bucket, count(*) AS n FROM v GROUP BY ALL",
     "string_category": f"""WITH s AS (SELECT unnest(string_split(text, chr(10))) AS s FROM documents UNION ALL SELECT url FROM pages), t AS (SELECT coalesce(s, '') AS s FROM s)
- SELECT concat(CASE WHEN regexp_full_match(s, '[0-9]+') THEN 'numeric' WHEN contains(lower(s), '://') OR starts_with(lower(s), 'www.') THEN 'url_like' WHEN contains(s, '/') OR contains(s, chr(92)) THEN 'path_like' WHEN starts_with(s, '-') THEN 'option_like' WHEN contains(s, '%') THEN 'format_like' WHEN regexp_matches(lower(s), 'error|failed|invalid|usage') THEN 'message_like' ELSE 'other' END, ':',
-  CASE WHEN length(s) <= 8 THEN 'len_0_8' WHEN length(s) <= 32 THEN 'len_9_32' WHEN length(s) <= 128 THEN 'len_33_128' ELSE 'len_129_plus' END) AS category, count(*) AS n FROM t GROUP BY ALL""",
+ SELECT {category_case('s')} AS category, count(*) AS n FROM t GROUP BY ALL""",
     "instruction_token": f"""WITH {FX}, x AS (SELECT CASE l_linenumber % 4 WHEN 0 THEN concat('[sp, #', l_suppkey, ']') WHEN 1 THEN concat('0x', l_partkey, '(r7)') WHEN 2 THEN concat('#', l_partkey - 1000) ELSE 'r1' END AS t, CASE l_linenumber % 4 WHEN 2 THEN 'scalar' WHEN 3 THEN 'reg' END AS kind, l_partkey - 1000 AS v, ['ldr','str','add.w','cmp','bl','mov','b.eq','push','nop'][1 + l_suppkey % 9] AS mn FROM fx),
  r AS (SELECT mn, CASE WHEN ((contains(t, '[') AND contains(t, ']')) OR (contains(t, '(') AND contains(t, ')'))) THEN CASE WHEN {_STACK} THEN 'MEM_STACK' ELSE 'MEM' END WHEN kind = 'reg' THEN 'REG' WHEN kind = 'scalar' THEN {bucket_case('v')} WHEN t <> '' THEN 'OPERAND' ELSE 'NONE' END AS role FROM x)
  SELECT concat({mnemonic_case('mn')}, ' ', role) AS token, count(*) AS n FROM r GROUP BY ALL""",
@@ -306,7 +309,11 @@ SQL: dict[str, str] = {
     "cosine_sparse": f"""{TF}, ids AS (SELECT doc_id FROM documents), p AS (SELECT concat('doc-', a.doc_id) AS a, concat('doc-', c.doc_id) AS b FROM ids a JOIN ids c ON c.doc_id = a.doc_id + 1), nm AS (SELECT function_id, sum(weight * weight) AS q FROM w GROUP BY function_id), d AS (SELECT a, b, sum(x.weight * y.weight) AS d FROM p JOIN w x ON x.function_id = a JOIN w y ON y.function_id = b AND y.token = x.token GROUP BY ALL)
  SELECT p.a, p.b, round(CASE WHEN m.q > 1e-12 AND n.q > 1e-12 THEN coalesce(d, 0) / sqrt(m.q * n.q) ELSE 0 END, 6) AS cosine FROM p LEFT JOIN d ON d.a = p.a AND d.b = p.b LEFT JOIN nm m ON m.function_id = p.a LEFT JOIN nm n ON n.function_id = p.b""",
     "class_histogram": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs) SELECT function_id, {mnemonic_case('token')} AS op_class, count(*) AS n FROM t GROUP BY ALL",
-    "function_record": f"WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs), c AS (SELECT function_id, {mnemonic_case('token')} AS k FROM t) SELECT function_id, count(*) AS instruction_count, count(*) FILTER (k = 'CALL') AS call_count, count(*) FILTER (k = 'RET') AS ret_count, count(*) FILTER (starts_with(k, 'BRANCH')) AS branch_count, CAST(count(*) > 4096 AS INT) AS token_truncated, any_value(array_to_string(tokens[1:4096], ' ')) AS tokens FROM c JOIN docs USING (function_id) GROUP BY function_id",
+    "function_record": f"""WITH {DOCS}, t AS (SELECT function_id, unnest(tokens) AS token FROM docs), c AS (SELECT function_id, token, {mnemonic_case('token')} AS k, CASE WHEN length(token) > 8 THEN token END AS s, CASE WHEN regexp_full_match(token, '[0-9]{{1,15}}') THEN CAST(token AS BIGINT) END AS v FROM t),
+sh AS (SELECT function_id, string_agg(key || '=' || n, ' ' ORDER BY key) AS h FROM (SELECT function_id, {category_case('s')} AS key, count(*) AS n FROM c WHERE s IS NOT NULL GROUP BY ALL) GROUP BY function_id),
+vh AS (SELECT function_id, string_agg(key || '=' || n, ' ' ORDER BY key) AS h FROM (SELECT function_id, {bucket_case('v')} AS key, count(*) AS n FROM c WHERE v IS NOT NULL GROUP BY ALL) GROUP BY function_id)
+SELECT c.function_id, count(*) AS instruction_count, count(*) FILTER (k = 'CALL') AS call_count, count(*) FILTER (k = 'RET') AS ret_count, count(*) FILTER (starts_with(k, 'BRANCH')) AS branch_count, count(s) AS string_ref_count, count(v) AS constant_count,
+ coalesce(any_value(sh.h), '') AS string_refs, coalesce(any_value(vh.h), '') AS constant_buckets, CAST(count(*) > 4096 AS INT) AS token_truncated, any_value(array_to_string(tokens[1:4096], ' ')) AS tokens FROM c JOIN docs USING (function_id) LEFT JOIN sh ON sh.function_id = c.function_id LEFT JOIN vh ON vh.function_id = c.function_id GROUP BY c.function_id""",
     "fit_scalers": f"WITH {VEC}, {LONG} SELECT CAST(dim AS INT) AS dim, arch, count(*) AS n, round(avg(x), 6) AS mean, round(CASE WHEN var_pop(x) <= 1e-9 THEN 1 ELSE sqrt(var_pop(x)) END, 6) AS std FROM long GROUP BY GROUPING SETS ((dim, arch), (dim))",
     "prototypes_other_versions": f"{LOVO} SELECT test_version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM pv WHERE tn > 0",
     "prototypes_earlier_versions": f"{PROTO}, pv AS (SELECT version AS test_version, norm_name, dim, sum(s) OVER e / sum(n) OVER e AS value, sum(n) OVER e AS tn FROM own WINDOW e AS (PARTITION BY norm_name, dim ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT test_version, norm_name, CAST(dim AS INT) AS dim, round(value, 6) AS value FROM pv WHERE tn > 0",

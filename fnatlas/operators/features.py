@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import version_key
-from ..functions.tokens import mnemonic_class, token_class
+from ..functions.tokens import immediate_bucket, mnemonic_class, string_category, token_class
 from ..functions.vectors import hashed_slot
 
 #: A vocabulary of at most so many tokens is broadcast to its occurrences; a larger one is joined by shuffle.
@@ -81,7 +81,7 @@ def feature_histograms(records: DataFrame, *keys: str) -> DataFrame:
 
 
 def fit_scalers(long: DataFrame) -> DataFrame:
-    """Mean and deviation of each column over all (arch null) and per arch, in one pass. long: arch, dim, x."""
+    """Mean and deviation of each column over all (arch null) and per arch. long: arch, dim, x."""
     both = long.groupBy("dim", "arch").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
     every = long.groupBy("dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
     out = both.unionByName(every.withColumn("arch", F.lit(None).cast("string")))
@@ -119,8 +119,17 @@ def prototypes_earlier_versions(records: DataFrame) -> DataFrame:
 
 
 def function_records(instructions: DataFrame, max_tokens: int = 4096) -> DataFrame:
-    """Instruction rows (function_id, seq, token, op_class) to a record a function: its first tokens in order and counts."""
+    """Instruction rows (function_id, seq, token, op_class, and the string and the number that it refers to, or null) to a record a function: its
+    first tokens in order, counts, and histograms of string categories and constant buckets (arrays of (key, count) by key)."""
     first = instructions.filter(F.col("seq") < max_tokens)
     tokens = first.groupBy("function_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]).alias("tokens"))
-    counts = instructions.groupBy("function_id").agg(F.count(F.lit(1)).alias("instruction_count"), *[F.count_if(F.col("op_class") == c).alias(f"{n}_count") for c, n in (("CALL", "call"), ("RET", "ret"))], F.count_if(F.col("op_class").startswith("BRANCH")).alias("branch_count"))
-    return counts.join(tokens, "function_id", "left").withColumn("token_truncated", (F.col("instruction_count") > max_tokens).cast("int"))
+    counts = instructions.groupBy("function_id").agg(
+        F.count(F.lit(1)).alias("instruction_count"), *[F.count_if(F.col("op_class") == c).alias(f"{n}_count") for c, n in (("CALL", "call"), ("RET", "ret"))],
+        F.count_if(F.col("op_class").startswith("BRANCH")).alias("branch_count"), F.count("string").alias("string_ref_count"), F.count("constant").alias("constant_count"),
+    )
+    out = counts.join(tokens, "function_id", "left")
+    for column, key, name in (("string", string_category(F.col("string")), "string_refs"), ("constant", immediate_bucket(F.col("constant")), "constant_buckets")):
+        n = instructions.filter(F.col(column).isNotNull()).groupBy("function_id", key.alias("key")).agg(F.count(F.lit(1)).alias("count"))
+        held = n.groupBy("function_id").agg(F.array_sort(F.collect_list(F.struct("key", "count"))).alias(name))
+        out = out.join(held, "function_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<key:string,count:bigint>>")))
+    return out.withColumn("token_truncated", (F.col("instruction_count") > max_tokens).cast("int"))
