@@ -404,9 +404,8 @@ def prototype_lookup(spark, d):
 TESTED = "rel-1.33.0"
 
 
-def _method_pairs(spark, d, scope, tested=None):
-    """Pair rows of all thirteen scorers, fitted on a scope; queries are all relevant ones of the tested version or of every version."""
-    rows = shape.shape_features(b.method_records(spark, d)).withColumn("fitted", components.fit_scope(scope, tested))
+def _method_pairs(rows, tested=None):
+    """Pair rows of all thirteen scorers over records with `fitted`; queries are all relevant ones of the tested version or of every version."""
     v = components.method_vectors(rows)
     asked = F.lit(True) if tested is None else F.col("version") == tested
     best = components.best_by_method(v, asked)
@@ -414,22 +413,31 @@ def _method_pairs(spark, d, scope, tested=None):
     return retrieval.rank_metrics(firsts, _counts(v), [*PAIR, "method"])
 
 
+def _scoped(spark, d, scope, tested=None):
+    return shape.shape_features(b.method_records(spark, d)).withColumn("fitted", components.fit_scope(scope, tested))
+
+
+def method_summary(rows):
+    """A row a method: metrics over every relevant query and every candidate of the other binary."""
+    return retrieval.summary(_method_pairs(rows), "method").select("method", "pairs", "queries", *_summary_columns())
+
+
 @query
 def method_scores(spark, d):
-    """All thirteen scorers over every relevant query and every candidate of the other binary: a row a method."""
-    return retrieval.summary(_method_pairs(spark, d, "all"), "method").select("method", "pairs", "queries", *_summary_columns())
+    """All thirteen scorers, fitted on all records; prototypes are of the other versions."""
+    return method_summary(_scoped(spark, d, "all"))
 
 
 @query
 def method_retrieval(spark, d):
     """A single tested version; tokens, scalers and prototypes are fitted on the other versions."""
-    return _method_pairs(spark, d, "others", TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
+    return _method_pairs(_scoped(spark, d, "others", TESTED), TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
 
 
 @query
 def method_retrieval_temporal(spark, d):
     """The same, fitted on earlier versions only."""
-    return _method_pairs(spark, d, "earlier", TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
+    return _method_pairs(_scoped(spark, d, "earlier", TESTED), TESTED).select(*PAIR, "method", "queries", "candidates", *metrics())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evolution, experiments, reports
+from ..functions.vectors import SHAPE, SHAPE_SCALES
+from ..operators import evolution, experiments, nearest, reports, shape
 from ..sources import bindings as b
 from ..sources import readers
 from ..sources.scratch import place, written
 from . import sql
-from .catalog import _two_methods
+from .catalog import _two_methods, method_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rank error that a sketch of size 400 keeps to, with room.
@@ -89,6 +90,21 @@ def global_transfer_quality(spark, d):
     return out.select("n", "positives", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
 
 
+@query
+def matched_scores(spark, d):
+    """The whole chain: shapes of the stripped and the label side, mutual matches, features attached to the saved alignment, and all thirteen
+    scorers over the matched functions under their labels' names, ties by match confidence: a row a method."""
+    rows = written(b.method_records(spark, d), "records")
+    stripped = written(shape.shape_features(rows.filter("address % 7 <> 0").withColumn("size", F.col("size") + F.col("address") % 3)), "stripped")
+    named = written(rows.filter("address % 10 <> 0").select("version", "arch", "function_id", "address", "size", "norm_name"), "named")
+    nine = ["version", "arch", "function_id", "address", *[F.round(c, 9).alias(c) for c in SHAPE]]
+    matches = nearest.mutual_matches(stripped.select(*nine), shape.shape_features(named).select(*nine), SHAPE, SHAPE_SCALES)
+    saved = matches.join(named.select("version", "arch", F.col("function_id").alias("label_id"), "norm_name"), ["version", "arch", "label_id"])
+    saved = written(saved.select("version", "arch", "function_id", "norm_name", F.round("match_confidence", 6).alias("match_confidence")), "alignment")
+    found = reports.reattach(stripped.drop("norm_name"), saved, ["version", "arch", "function_id"])
+    return method_summary(found.withColumn("fitted", F.lit(True)))
+
+
 _DIFF = f"{sql.TWO}, df AS (SELECT a.version, round(a.mrr_at_10 - c.mrr_at_10, 6) AS d FROM two a JOIN two c USING (version, src_arch, dst_arch) WHERE a.method = 'shape' AND c.method = 'size')"
 _WILCOXON = f"""{_DIFF}, g AS (SELECT version, d FROM df WHERE d <> 0 UNION ALL SELECT NULL, d FROM df WHERE d <> 0),
 k AS (SELECT version, d, rank() OVER (PARTITION BY version ORDER BY abs(d)) + (count(*) OVER (PARTITION BY version, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY version, abs(d)) AS t FROM g),
@@ -99,6 +115,7 @@ e AS (SELECT *, (SELECT 2 / sqrt(pi()) * sum(exp(-1 * pow((i + 0.5) / 20000 * z
 SELECT version, n, round(w, 6) AS w, round(CASE WHEN exact THEN least(1.0::DOUBLE, 2 * list_sum(c[1:CAST(floor(w) AS INT) + 1]) / pow(2, n)) ELSE 1 - erf_z END, 5) AS p_value, exact FROM e"""
 _BODY = "repeat(concat_ws(' ', version, arch, CAST(count(*) AS VARCHAR), CAST(CAST(sum(size) AS BIGINT) AS VARCHAR), min(norm_name)), 50) || chr(10)"
 SQL = {
+    "matched_scores": f"{sql.methods('true', 'true', True)} SELECT method, count(*) AS pairs, CAST(sum(queries) AS BIGINT) AS queries, {sql.AGGS} FROM m GROUP BY method",
     "wilcoxon_by_version": _WILCOXON,
     "binary_inventory": f"WITH {sql.FX}, t AS (SELECT version, arch, {_BODY} AS body FROM fx GROUP BY version, arch) SELECT version, arch, CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256 FROM t",
     "resumed_features": f"WITH {sql.FX}, {sql.STR} SELECT version, arch, count(*) AS functions, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN count(*) % 3 <> 0 THEN 1 ELSE 2 END AS first_run, CASE WHEN count(*) % 3 <> 0 THEN 1 ELSE 2 END AS last_run, 'completed' AS status FROM strip GROUP BY ALL",

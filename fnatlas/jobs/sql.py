@@ -169,31 +169,42 @@ def _cosine(a: str, c: str) -> str:
     return f"CASE WHEN list_dot_product({a}, {a}) <= 1e-12 OR list_dot_product({c}, {c}) <= 1e-12 THEN 0.0::DOUBLE ELSE list_dot_product({a}, {c}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({c}, {c})) END"
 
 
-def records(fitted: str) -> str:
-    """CTEs src to base: what the scorers' vectors are made of."""
+def records(fitted: str, matched: bool = False) -> str:
+    """CTEs src to base: what the scorers' vectors are made of; matched: only of stripped functions that are mutual matches, with their label's name."""
     count = lambda test: f"count(*) FILTER ({test})"
     share = lambda x: f"list_transform({x}, lambda n: n::DOUBLE / greatest(list_sum({x}), 1))"
     return f"""src AS (SELECT concat('rel-1.', CAST(30 + CAST(regexp_extract(source, '([0-9]+)', 1) AS INT) % 7 AS VARCHAR), '.0') AS version, lang AS arch, concat('doc-', CAST(doc_id AS VARCHAR)) AS function_id,
  CAST(doc_id AS BIGINT) AS address, CAST(n_chars AS BIGINT) AS size, concat('fn_', CAST(doc_id % 40 AS VARCHAR)) AS norm_name, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f]+'), lambda w: w <> '') AS tokens FROM documents),
-{shaped('sh', 'src')}, rec AS (SELECT *, {fitted} AS fitted, list_transform(tokens, lambda t: concat('len_', CAST(least(length(t), 12) AS VARCHAR))) AS contexts FROM sh),
+{_matched_shapes() if matched else shaped('sh', 'src')}, rec AS (SELECT *, {fitted} AS fitted, {'' if matched else '1.0::DOUBLE AS confidence, '}list_transform(tokens, lambda t: concat('len_', CAST(least(length(t), 12) AS VARCHAR))) AS contexts FROM sh),
 nfit AS (SELECT count(*) FILTER (fitted) AS nf FROM rec),
 tk AS (SELECT function_id, op, n, word FROM (SELECT *, {mnemonic_case('word')} AS op, length(word) AS n FROM (SELECT function_id, unnest(tokens) AS word FROM rec))),
 ct AS (SELECT function_id, count(*) AS ic, {count('n = 3')} AS bb, {count('n IN (3, 4)')} AS ed, {count("op = 'CALL'")} AS cc, {count("starts_with(op, 'BRANCH')")} AS bc, {count("op = 'RET'")} AS rc, {count('n > 8')} AS sc, {count("regexp_matches(word, '^[0-9]+$')")} AS kc,
  [{', '.join(count(f"op = '{k}'") for k in _CLASSES)}] AS ops, [{', '.join(count(f'n % 11 = {i}') for i in range(11))}] AS eds FROM tk GROUP BY function_id),
 st AS (SELECT rec.*, coalesce(ic, 0) AS ic, coalesce(bb, 0) + 1 AS bb, coalesce(ed, 0) + 1 AS ed, coalesce(cc, 0) AS cc, coalesce(bc, 0) AS bc, coalesce(rc, 0) AS rc, coalesce(sc, 0) AS sc, coalesce(kc, 0) AS kc,
  coalesce(ops, list_transform(range(14), lambda i: 0)) AS ops, coalesce(eds, list_transform(range(11), lambda i: 0)) AS eds FROM rec LEFT JOIN ct USING (function_id)),
-base AS (SELECT version, arch, function_id, norm_name, address, fitted, [log_size, addr_pos, order_pos, local_mean, local_diff] AS shp,
+base AS (SELECT version, arch, function_id, norm_name, address, fitted, confidence, [log_size, addr_pos, order_pos, local_mean, local_diff] AS shp,
  list_concat([ln(1.0::DOUBLE + size), ln(1.0::DOUBLE + ic), ln(1.0::DOUBLE + bb), ln(1.0::DOUBLE + ed), cc::DOUBLE / greatest(ic, 1), bc::DOUBLE / greatest(ic, 1), rc::DOUBLE / greatest(ic, 1), sc::DOUBLE / greatest(ic, 1), kc::DOUBLE / greatest(ic, 1), ic::DOUBLE / bb, ed::DOUBLE / bb], list_concat({share('ops')}, {share('eds')})) AS raw FROM st)"""
 
 
-def methods(fitted: str, tested: str) -> str:
+def _matched_shapes() -> str:
+    """CTEs up to sh: shapes of the stripped side whose functions are mutual matches with a label."""
+    nine = ", ".join(f"round({c}, 9) AS {c}" for c in _SHAPE)
+    return f"""mstrip AS (SELECT * REPLACE (size + address % 3 AS size) FROM src WHERE address % 7 <> 0), mlab AS (SELECT * FROM src WHERE address % 10 <> 0), {shaped('shs', 'mstrip')}, {shaped('shl', 'mlab')},
+s AS (SELECT version, arch, function_id, address, norm_name, {nine} FROM shs), l AS (SELECT version, arch, function_id, address, norm_name, {nine} FROM shl),
+{window('wl', 'l', 's', 96, 'address, function_id')}, {window('ws', 's', 'l', 96, 'address, function_id')},
+bl AS (SELECT version, arch, function_id AS label_id, c_function_id AS function_id, {gap(5)} AS match_dist FROM wl QUALIFY row_number() OVER (PARTITION BY version, arch, label_id ORDER BY match_dist, c_log_size, idx) = 1),
+bs AS (SELECT version, arch, function_id, c_function_id AS label_id FROM ws QUALIFY row_number() OVER (PARTITION BY version, arch, function_id ORDER BY {gap(5)}, c_log_size, idx) = 1),
+sh AS (SELECT shs.* EXCLUDE (norm_name), mlab.norm_name, round(1.0::DOUBLE / (1.0::DOUBLE + bl.match_dist), 6) AS confidence FROM bl JOIN bs USING (version, arch, label_id, function_id) JOIN shs USING (version, arch, function_id) JOIN mlab ON mlab.function_id = bl.label_id WHERE bl.match_dist <= 0.20)"""
+
+
+def methods(fitted: str, tested: str, matched: bool = False) -> str:
     """CTEs up to m: metrics a pair and method. fitted, tested: conditions on a record's version."""
     scale = lambda x, m, s: f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[i] - {m}[i]) / {s}[i])"
     scales = (1.0, 0.2, 0.2, 1.0, 1.0)
     gaps = " + ".join(f"pow((q.shp[{i}] - c.shp[{i}]) / {s}::DOUBLE, 2)" for i, s in enumerate(scales, 1))
     cosines = ", ".join(f"{_cosine(f'q.{n}', f'c.{n}')} AS {n}_s" for n in ("token", "graph", "graph_arch", "context", "shape_arch", "fused"))
     each = ", ".join(f"{{'method': '{m}', 'score': round({e}, 9)}}" for m, e in _METHODS.items())
-    return f"""WITH {records(fitted)},
+    return f"""WITH {records(fitted, matched)},
 {_moments('gall', 'raw', False)}, {_moments('garch', 'raw', True)}, {_moments('sarch', 'shp', True)}, {_hashed('tokens', 'tok:', 256)}, {_hashed('contexts', 'ctx:', 64)},
 vec0 AS (SELECT base.*, t.v AS token, x.v AS context, {scale('raw', 'gall.mean', 'gall.std')} AS graph, {scale('raw', 'coalesce(garch.mean, gall.mean)', 'coalesce(garch.std, gall.std)')} AS graph_arch,
  CASE WHEN sarch.mean IS NULL THEN shp ELSE {scale('shp', 'sarch.mean', 'sarch.std')} END AS shape_arch FROM base JOIN tokensv t USING (function_id) JOIN contextsv x USING (function_id) CROSS JOIN gall LEFT JOIN garch ON garch.arch = base.arch LEFT JOIN sarch ON sarch.arch = base.arch),
@@ -201,11 +212,11 @@ vec AS (SELECT *, list_concat(list_concat(token, graph_arch), list_concat(contex
 pm AS (SELECT tested, norm_name, list(x ORDER BY i) AS proto FROM (SELECT tested, norm_name, i, avg(x) AS x FROM (SELECT t.version AS tested, norm_name, unnest(fused) AS x, unnest(range(len(fused))) AS i
  FROM vec JOIN (SELECT DISTINCT version FROM vec) t ON t.version <> vec.version WHERE fitted) GROUP BY ALL) GROUP BY ALL),
 fx AS (SELECT * FROM vec WHERE {tested}), {PAIRS}, {relevant('fx')},
-sc AS (SELECT q.version, q.src_arch, q.dst_arch, q.function_id, q.norm_name, c.norm_name AS c_name, c.address AS c_address, -abs(q.shp[1] - c.shp[1]) AS size_s, -({gaps}) AS shape_s, {cosines},
+sc AS (SELECT q.version, q.src_arch, q.dst_arch, q.function_id, q.norm_name, c.norm_name AS c_name, c.address AS c_address, c.confidence AS c_confidence, -abs(q.shp[1] - c.shp[1]) AS size_s, -({gaps}) AS shape_s, {cosines},
  CASE WHEN p.proto IS NULL THEN 0.0::DOUBLE ELSE {_cosine('p.proto', 'c.fused')} END AS proto_s
  FROM rq q JOIN fx c ON c.version = q.version AND c.arch = q.dst_arch LEFT JOIN pm p ON p.norm_name = q.norm_name AND p.tested = q.version),
-sm AS (SELECT version, src_arch, dst_arch, function_id, norm_name, c_name, c_address, unnest([{each}], recursive := true) FROM sc),
-rk AS (SELECT *, row_number() OVER (PARTITION BY version, src_arch, dst_arch, function_id, method ORDER BY score DESC, c_address DESC, c_name) AS rnk FROM sm QUALIFY rnk <= 10),
+sm AS (SELECT version, src_arch, dst_arch, function_id, norm_name, c_name, c_address, c_confidence, unnest([{each}], recursive := true) FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY version, src_arch, dst_arch, function_id, method ORDER BY score DESC, c_confidence, c_address DESC, c_name DESC) AS rnk FROM sm QUALIFY rnk <= 10),
 fs AS (SELECT version, src_arch, dst_arch, function_id, method, min(rnk) FILTER (c_name = norm_name) AS first FROM rk GROUP BY ALL), cn AS (SELECT version, arch AS dst_arch, count(*) AS candidates FROM vec GROUP BY ALL),
 m AS (SELECT version, src_arch, dst_arch, method, candidates, count(*) AS queries, avg(CASE WHEN first <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_1, avg(CASE WHEN first <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_5,
  avg(CASE WHEN first <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS hit_at_10, avg(coalesce(1.0::DOUBLE / first, 0)) AS mrr_at_10, avg(CAST(coalesce(first, 11) AS DOUBLE)) AS mean_inspected_at_10 FROM fs JOIN cn USING (version, dst_arch) GROUP BY ALL)"""
