@@ -279,3 +279,46 @@ def page_text(html: str, flat: bool = False) -> str:
         if inside and (h or not menu([x])):
             kept.append(x["text"])
     return " ".join(kept)
+
+
+def template_leaks(rows: list[tuple[int, str]], items: list[tuple[int, str]]) -> dict[tuple[int, int], tuple[int, int, str]]:
+    """(doc, item) to (windows met, windows of the item, kind): every window of every text against every window of every item, token by token."""
+    import regex
+
+    from fnatlas.llm.decontaminate import EDGE, NAME, NUMBER, UNIT  # fixed patterns
+
+    slots = ("<num>", "<unit>", "<name>")
+    bare = lambda w: regex.sub(EDGE, "", w).lower()
+
+    def canonical(text: str) -> list[str]:
+        for pattern, sign in zip((NUMBER, UNIT, NAME), slots, strict=True):
+            text = regex.sub(pattern, sign, text)
+        return W.findall(regex.sub(EDGE, "", text).lower())
+
+    out = {}
+    for item, asked in items:
+        tokens, raw = canonical(asked), W.findall(asked)
+        size = min(8, len(tokens))
+        windows = {i: tokens[i : i + size] for i in range(len(tokens) - size + 1)} if len(tokens) >= 4 else {}
+        windows = {i: w for i, w in windows.items() if sum(t not in slots for t in w) >= min(5, size)}
+        by_word = not windows
+        if by_word:
+            tokens = [bare(w) for w in raw]
+            size = min(8, len(tokens))
+            windows = {i: tokens[i : i + size] for i in range(len(tokens) - size + 1)} if tokens else {}
+        for doc, text in rows:
+            seen, spoken = [bare(w) for w in W.findall(text)] if by_word else canonical(text), W.findall(text)
+            met: dict[int, set[int]] = {}
+            for p in range(len(seen) - size + 1):
+                for i, w in windows.items():
+                    if seen[p : p + size] == w:
+                        met.setdefault(p - i, set()).add(i)
+            for shift, found in met.items():
+                if len(found) < 0.5 * len(windows):
+                    continue
+                pairs = set() if by_word else {(bare(raw[i]), bare(spoken[i + shift])) for i in range(min(found), min(max(found) + 8, len(tokens))) if tokens[i] in slots}
+                if len({a for a, _ in pairs}) < len(pairs):
+                    continue  # one value of the item stands for two
+                kind = "verbatim" if all(a == b for a, b in pairs) else "reparameterised"
+                out[doc, item] = max(out.get((doc, item), (0, 0, "")), (len(found), len(windows), kind))
+    return out

@@ -381,6 +381,45 @@ def test_decontaminate(spark, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_decontaminate_against_a_plain_version(spark, seed):
+    r = random.Random(seed)
+    words = "a train leaves the old station and travels to town with many boxes while each box holds apples".split()
+    units, names = ["km", "hours", "kg", "Minutes"], ["Alice", "Bob", "Carla"]
+
+    def question(n):
+        out = []
+        for _ in range(n):
+            k = r.random()
+            out += [str(r.randrange(1, 40))] + ([r.choice(units)] if r.random() < 0.5 else []) if k < 0.2 else [r.choice(names)] if k < 0.3 else [r.choice(words) + r.choice(["", "", "", ",", "."])]
+        return out
+
+    items = [(i, " ".join(question(r.choice([1, 2, 3, 5, 7, 9, 15, 30])))) for i in range(30)]
+    rows = []
+    for d in range(60):
+        _, text = r.choice(items)
+        t = text.split(" ")
+        how = r.randrange(4)
+        if how:
+            other = {}
+            for i, w in enumerate(t):
+                if w.isdigit() or w in names:
+                    new = str(r.randrange(1, 40)) if w.isdigit() else r.choice(names)
+                    t[i] = other.setdefault(w, new) if how == 1 else new if how == 2 else w
+        if how == 3 and len(t) > 9:
+            t = t[: r.randrange(6, len(t))]
+        rows.append((d, " ".join([*question(r.randrange(12)), *t, *question(r.randrange(12))])))
+    rows.append((99, " ".join(" ".join(question(50)) for _ in range(600)) + " " + items[5][1]))  # a very long text
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for c in ("window", "tokens", "plain", "size", "shift", "met", "slots", "kind"):
+        d, b = d.withColumn(c, F.lit("clash")), b.withColumn(c, F.lit("clash"))
+    want = brute.template_leaks(rows, items)
+    got = {(x["doc_id"], x["item_id"]): (x["n_windows"], x["item_windows"], x["kind"]) for x in decontaminate.leaks(d, b).collect()}
+    assert got == want and {k for _, _, k in want.values()} == {"verbatim", "reparameterised"}
+    assert {x["doc_id"] for x in decontaminate.keep_clean(d, b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_main_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
     <nav><ul><li><a href="/">Home</a></ul></nav><!-- c --><div class="ad">Buy</div><div id="cookie-notice">We use cookies</div>
