@@ -89,7 +89,7 @@ BINARY_PATH = r"([^/]+)/([^/]+)-unstripped$"
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = BINARY_PATH, files: str = "*") -> DataFrame:
     """Binaries below a folder: version and arch from the path by the pattern's two groups, size, SHA-256. Only files whose path has the
-    pattern are read; contents only if the hash is asked for."""
+    pattern are read; contents only if the hash is asked for. Spark's reader passes over files without a byte."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
     where = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     rows = rows.withColumn("path", where).filter(F.col("path").rlike(pattern))

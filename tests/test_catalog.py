@@ -3,12 +3,12 @@
 import duckdb
 import pytest
 
-from fnatlas.jobs import catalog, dumps, live, more
+from fnatlas.jobs import catalog, dumps, extra, live, more
 from fnatlas.sources import bindings
 from fnatlas.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["method_retrieval", "method_retrieval_temporal", "method_scores", "topk_rank", "pair_gain", "paired_signs", "latest_run", "status_coverage", "token_classes", "wilcoxon", "windowed_retrieval", "symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token", "classify_mnemonic", "string_category", "shared_names", "experiment_rollup", "weight_sweep", "ablation", "classification_metrics", "shape_distance", "coverage", "class_histogram", "temporal_frequency", "temporal_scalers", "temporal_prototypes", *dumps.QUERIES, *live.QUERIES]
+CHECKED = ["method_retrieval", "method_retrieval_temporal", "method_scores", "topk_rank", "pair_gain", "paired_signs", "latest_run", "status_coverage", "token_classes", "wilcoxon", "windowed_retrieval", "symbol_stats", "systematic_sample", "cross_arch_size_retrieval", "mutual_match", "change_transfer", "nearest_centroid", "feature_hashing", "shape_features", "prototypes_earlier_versions", "instruction_token", "classify_mnemonic", "string_category", "shared_names", "experiment_rollup", "weight_sweep", "ablation", "classification_metrics", "shape_distance", "coverage", "class_histogram", "temporal_frequency", "temporal_scalers", "temporal_prototypes", *dumps.QUERIES, *live.QUERIES, *extra.QUERIES, "function_record", "binary_features"]
 
 
 @pytest.fixture(scope="module")
@@ -20,14 +20,14 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(catalog.oracle_sql()) == set(catalog.queries()) and set(more.SQL) == set(more.QUERIES) and set(dumps.SQL) == set(dumps.QUERIES) and set(live.SQL) == set(live.QUERIES)
+    assert set(catalog.oracle_sql()) == set(catalog.queries()) and set(more.SQL) == set(more.QUERIES) and set(dumps.SQL) == set(dumps.QUERIES) and set(live.SQL) == set(live.QUERIES) and set(extra.SQL) == set(extra.QUERIES)
 
 
 @pytest.mark.parametrize("name", CHECKED)
 def test_query(spark, duck, name):
-    df = {**catalog.queries(), **more.QUERIES, **dumps.QUERIES, **live.QUERIES}[name](spark, SF)
+    df = {**catalog.queries(), **more.QUERIES, **dumps.QUERIES, **live.QUERIES, **extra.QUERIES}[name](spark, SF)
     got = df.select(*sorted(df.columns)).collect()
-    cur = duck.execute({**catalog.oracle_sql(), **more.SQL, **dumps.SQL, **live.SQL}[name])
+    cur = duck.execute({**catalog.oracle_sql(), **more.SQL, **dumps.SQL, **live.SQL, **extra.SQL}[name])
     cols = [c[0] for c in cur.description]
     want = [tuple(r[cols.index(c)] for c in sorted(cols)) for r in cur.fetchall()]
     text = lambda r: tuple(f"{x + 0.0:.6f}" if isinstance(x, float) else str(x) for x in r)
