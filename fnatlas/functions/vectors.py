@@ -38,7 +38,3 @@ def hashed_slot(key: Column, dims: int) -> tuple[Column, Column]:
 
 def shape_distance(a: list[Column], b: list[Column]) -> Column:
     return sum((((x - y) / F.lit(s)) * ((x - y) / F.lit(s)) for x, y, s in zip(a, b, SHAPE_SCALES, strict=True)), F.lit(0.0))
-
-
-def zscore(x: Column, mean: Column, var: Column, floor: float = 1e-9) -> Column:
-    return (x - mean) / F.when(var <= floor, 1.0).otherwise(F.sqrt(var))

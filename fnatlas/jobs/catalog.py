@@ -414,7 +414,7 @@ def _method_pairs(rows, tested=None):
 
 
 def _scoped(spark, d, scope, tested=None):
-    return shape.shape_features(b.method_records(spark, d)).withColumn("fitted", components.fit_scope(scope, tested))
+    return shape.shape_features(written(b.method_records(spark, d), "records")).withColumn("fitted", components.fit_scope(scope, tested))
 
 
 def method_summary(rows):

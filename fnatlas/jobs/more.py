@@ -12,6 +12,7 @@ from ..functions.vectors import SHAPE
 from ..operators import evolution, experiments, features, reports, retrieval, scoring, shape, sweep, temporal
 from ..sources import bindings as b
 from ..sources import readers
+from ..sources.scratch import written
 from . import dumps, sql
 from .catalog import PAIR, _by_size, _patch_rows, _two_methods, metrics, r6
 
@@ -36,7 +37,7 @@ def topk_rank(spark, d):
 
 def _swept(spark, d, weights, low, high):
     """Every weighting over the versions from low to high; tokens, scalers and prototypes of each are fitted on the versions before it."""
-    fits = temporal.Fits(shape.shape_features(b.method_records(spark, d)))
+    fits = _fits(spark, d)
     key = lambda v: [int(x) if x.isdigit() else 0 for x in v.rsplit("-", 1)[-1].split(".")]
     places = [i for i, v in enumerate(fits.versions) if i and key(low) <= key(v) <= key(high)]
     v = fits.vectors(F.col("place").isin(places))
@@ -62,7 +63,7 @@ def ablation(spark, d):
 
 
 def _fits(spark, d):
-    return temporal.Fits(shape.shape_features(b.method_records(spark, d)))
+    return temporal.Fits(shape.shape_features(written(b.method_records(spark, d), "records")))
 
 
 @query

@@ -36,16 +36,6 @@ def systematic_sample(queries: DataFrame, most: int, order: tuple[str, ...] = ("
     return out.filter((F.col("n") <= most) | picked).drop("at", "n")
 
 
-def pair_metrics(ranked: DataFrame, queries: DataFrame, counts: DataFrame, pair: list[str]) -> DataFrame:
-    """Metrics a pair. ranked: pair, function_id, norm_name (wanted), c_name, rank (at most 10).
-    queries: pair, function_id. counts: version, dst_arch, candidates."""
-    first = ranked.filter("c_name = norm_name").groupBy(*pair, "function_id").agg(F.min("rank").alias("first"))
-    out = queries.select(*pair, "function_id").join(first, [*pair, "function_id"], "left")
-    hit = lambda k: F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0))
-    out = out.groupBy(*pair).agg(F.count(F.lit(1)).alias("queries"), hit(1).alias("hit_at_1"), hit(5).alias("hit_at_5"), hit(10).alias("hit_at_10"), F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr_at_10"), F.avg(F.coalesce(F.col("first"), F.lit(11)).cast("double")).alias("mean_inspected_at_10"))
-    return out.join(F.broadcast(counts), ["version", "dst_arch"])
-
-
 def rank_metrics(firsts: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     """Metrics a pair (and what else is in by). firsts: by, first (a row a query; null if not found). counts: version, dst_arch, candidates."""
     hit = lambda k: F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0))
@@ -75,9 +65,3 @@ def ranking(summaries: DataFrame, *by: str) -> DataFrame:
     """Rank of the methods: hits at 1 and 10 and reciprocal rank down, inspected up, then the method."""
     order = [F.round(F.col(f"weighted_{m}"), 6).desc() for m in ("hit_at_1", "hit_at_10", "mrr_at_10")] + [F.round("weighted_mean_inspected_at_10", 6), "method"]
     return summaries.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-
-
-def top_ranked(scored: DataFrame, query: list[str], k: int = 10) -> DataFrame:
-    """The k best by score down, confidence up, address down, name down. scored: query, score, confidence, c_address, c_name."""
-    order = Window.partitionBy(*query).orderBy(F.col("score").desc(), "confidence", F.col("c_address").desc(), F.col("c_name").desc())
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
