@@ -90,6 +90,21 @@ def global_transfer_quality(spark, d):
     return out.select("n", "positives", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
 
 
+@query
+def version_choices(spark, d):
+    """Versions by rule: the representative ones that there are, every n div 8-th where no named one is, and those whose binaries are all completed."""
+    n = written(b.functions(spark, d).groupBy("version", "arch").agg(F.count(F.lit(1)).alias("n")), "binaries")
+    state = F.when(F.col("n") % 17 == 0, "failed").when(F.col("n") % 11 == 0, "exists").otherwise("completed")
+    rules = {
+        "representative": reports.choose_versions(n),
+        "stepped": reports.choose_versions(n, ("0.0.0",)),
+        "stepped by three": reports.choose_versions(n, ("0.0.0",), 3),
+        "completed": reports.completed_versions(n.withColumn("status", state), 5).select("version", F.col("completed").alias("place")),
+    }
+    out = [v.select(F.lit(rule).alias("rule"), "version", "place") for rule, v in rules.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query
 def matched_scores(spark, d):
     """The whole chain: shapes of the stripped and the label side, mutual matches, features attached to the saved alignment, and all thirteen
@@ -116,6 +131,10 @@ SELECT version, n, round(w, 6) AS w, round(CASE WHEN exact THEN least(1.0::DOUBL
 _BODY = "repeat(concat_ws(' ', version, arch, CAST(count(*) AS VARCHAR), CAST(CAST(sum(size) AS BIGINT) AS VARCHAR), min(norm_name)), 50) || chr(10)"
 SQL = {
     "matched_scores": f"{sql.methods('true', 'true', True)} SELECT method, count(*) AS pairs, CAST(sum(queries) AS BIGINT) AS queries, {sql.AGGS} FROM m GROUP BY method",
+    "version_choices": f"""WITH {sql.FX}, v AS (SELECT version, row_number() OVER (ORDER BY {sql.KEY3}) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT version FROM fx)), b AS (SELECT version, arch, count(*) AS n FROM fx GROUP BY ALL),
+r AS (SELECT * FROM v WHERE replace(version, 'rel-', '') IN ('1.11.0', '1.14.0', '1.21.0', '1.28.4', '1.30.1', '1.33.1', '1.34.0', '1.37.0'))
+SELECT 'representative' AS rule, version, place FROM r UNION ALL SELECT 'representative', version, place FROM v WHERE NOT EXISTS (SELECT 1 FROM r) AND place % greatest(1, n // 8) = 0 UNION ALL SELECT 'stepped', version, place FROM v WHERE place % greatest(1, n // 8) = 0
+UNION ALL SELECT 'stepped by three', version, place FROM v WHERE place % greatest(1, n // 3) = 0 UNION ALL SELECT 'completed', version, count(*) FILTER (n % 17 <> 0 AND n % 11 <> 0) FROM b GROUP BY version HAVING count(*) FILTER (n % 17 <> 0 AND n % 11 <> 0) >= 5""",
     "wilcoxon_by_version": _WILCOXON,
     "binary_inventory": f"WITH {sql.FX}, t AS (SELECT version, arch, {_BODY} AS body FROM fx GROUP BY version, arch) SELECT version, arch, CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256 FROM t",
     "resumed_features": f"WITH {sql.FX}, {sql.STR} SELECT version, arch, count(*) AS functions, CAST(sum(size) AS BIGINT) AS bytes, CASE WHEN count(*) % 3 <> 0 THEN 1 ELSE 2 END AS first_run, CASE WHEN count(*) % 3 <> 0 THEN 1 ELSE 2 END AS last_run, 'completed' AS status FROM strip GROUP BY ALL",

@@ -121,6 +121,28 @@ def select_binaries(binaries: DataFrame, versions: list[str] | None = None, arch
     return out if most is None else out.limit(most)
 
 
+# The versions that stand for all others.
+REPRESENTATIVE = ("1.11.0", "1.14.0", "1.21.0", "1.28.4", "1.30.1", "1.33.1", "1.34.0", "1.37.0")
+
+
+def choose_versions(binaries: DataFrame, named: tuple[str, ...] = REPRESENTATIVE, parts: int = 8) -> DataFrame:
+    """(version, place): the named versions (without their prefix) that there are; if there is none of them, every n div parts-th version in order.
+    place: among all versions, from 0; a row a version, so one window is small."""
+    v = binaries.select("version").distinct()
+    v = v.withColumn("place", F.row_number().over(Window.orderBy(version_key(F.col("version")), "version")) - 1)
+    v = v.withColumn("named", F.substring_index("version", "-", -1).isin(*named))
+    every = Window.partitionBy()
+    v = v.withColumn("found", F.max("named").over(every)).withColumn("n", F.count(F.lit(1)).over(every))
+    return v.filter(f"CASE WHEN found THEN named ELSE place % greatest(1, n div {parts}) = 0 END").select("version", F.col("place").cast("long").alias("place"))
+
+
+def completed_versions(status: DataFrame, arches: int) -> DataFrame:
+    """(version, completed) of the versions with as many completed binaries as there are architectures. status: version, arch, status; only
+    'completed' counts, not 'exists'."""
+    done = status.filter("status = 'completed'").groupBy("version").agg(F.count(F.lit(1)).alias("completed"))
+    return done.filter(F.col("completed") >= arches)
+
+
 def leave_one_arch(counts: DataFrame) -> DataFrame:
     """For each architecture (a row each: arch, functions) as the test: those to train on, in order, and the functions of both sides."""
     every = Window.partitionBy()  # a row an architecture
