@@ -15,7 +15,8 @@ pair must show before it is verified. A pair is held to the smaller l of its two
    paired with the others, a document with the STARS of them that it shares the most prefix
    tokens with; pairs that link become components.
 5. Pairs of different components that meet at a token from which enough of both sets is left are
-   then tried; a pair inside a component can change nothing. So a group of copies costs about its
+   then tried, if the tokens that their prefixes share and what is left after the last of them suffice;
+   a pair inside a component can change nothing. So a group of copies costs about its
    own size, and every link that joins components is found.
 6. A pair's longer prefixes are compared first; only those that share l tokens there fetch their sets.
 
@@ -175,9 +176,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
 def _fits(met: DataFrame, num: int) -> DataFrame:
     """The rows of pairs whose sizes fit and that meet where the needed overlap is still left in both sets. met: a, b, and
     the size n and place pos of both."""
-    need = f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
-    fits = f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
-    return met.filter(f"{fits} AND least(n_a - pos_a, n_b - pos_b) >= {need}")
+    return met.filter(f"{_sizes_fit(num)} AND least(n_a - pos_a, n_b - pos_b) >= {_needed(num)}")
+
+
+def _sizes_fit(num: int) -> str:
+    return f"100 * least(n_a, n_b) >= {num} * greatest(n_a, n_b)"
+
+
+def _needed(num: int) -> str:
+    """The overlap that sets of n_a and n_b tokens need."""
+    return f"(({num} * (n_a + n_b) + {99 + num}) DIV {100 + num})"
+
+
+def _near_enough(met: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) that can link by all tokens that both shortest prefixes have: as many as there are, and what is left of the smaller
+    rest after the last of them. met: a row for each such token of a pair."""
+    pairs = met.filter(_sizes_fit(num)).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    return pairs.filter(f"shared + least(n_a - pos_a, n_b - pos_b) - 1 >= {_needed(num)}").select("a", "b")
 
 
 def _stars(prefix: DataFrame) -> DataFrame:
@@ -193,12 +208,21 @@ def _stars(prefix: DataFrame) -> DataFrame:
     return every.select(*ends, F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("hub.n").alias("n_b"), F.col("hub.pos").alias("pos_b"))
 
 
-def _star_pairs(prefix: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) of documents with the STARS heads that they share the most prefix tokens with. What is left out here joins nothing
-    that pairs of different components wouldn't."""
+def _star_links(prefix: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) that link, of documents and the STARS heads that they share the most prefix tokens with. Heads are held
+    against all of theirs; another document against the first one, and only if it doesn't link against the rest. What is left out
+    here joins nothing that pairs of different components wouldn't."""
     met = _fits(_stars(prefix), num).groupBy("node", "a", "b").agg(F.count(F.lit(1)).alias("tokens"))
     best = Window.partitionBy("node").orderBy(F.col("tokens").desc(), "a", "b")
-    return met.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= STARS).select("a", "b").distinct()
+    met = met.withColumn("head", F.when(F.col("a") == F.col("node"), F.col("b")).otherwise(F.col("a"))).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= STARS)
+    met = materialize(met.select("node", "head", "a", "b", "k"), "stars-met")
+    heads = met.select(F.col("head").alias("node")).distinct().withColumn("is_head", F.lit(True))
+    met = met.join(heads, "node", "left")
+    now = F.col("is_head").isNotNull() | (F.col("k") == 1)
+    links = materialize(_verified(met.filter(now).select("a", "b").distinct(), nodes, num), "stars-first")
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    rest = met.filter(~now).join(linked, "node", "left_anti").select("a", "b").distinct()
+    return links.unionByName(_verified(rest, nodes, num))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -250,10 +274,10 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # two linked sets meet at the first token that they share, which stands in both shortest prefixes
     prefix = nodes.select("node", "n", "own", F.posexplode(F.slice("found", F.lit(1), F.expr("n - least + 1 - own"))).alias("at", "x"))
     prefix = materialize(prefix.select(F.col("x.token").alias("token"), F.col("x.df").alias("df"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
-    near = materialize(connected_components(_verified(_star_pairs(prefix, num), nodes, num)), "stars")
+    near = materialize(connected_components(_star_links(prefix, nodes, num)), "stars")
 
     placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
-    rest = _verified(_fits(_mixed_pairs(_mixed(placed)), num).select("a", "b").distinct(), nodes, num)
+    rest = _verified(_near_enough(_mixed_pairs(_mixed(placed)), num), nodes, num)
     for side in "ab":
         rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
     rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
