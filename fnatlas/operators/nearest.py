@@ -90,7 +90,7 @@ def in_blocks(placed: DataFrame, index: DataFrame, wide: int, run: Callable[[pd.
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
-            return pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
+            return pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")}, dtype=object)
         c = c.sort_values("idx", ignore_index=True)
         at = (q["lo"].to_numpy() - c["idx"].iloc[0])[:, None] + np.arange(wide)
         there = np.arange(wide) < q["count"].to_numpy()[:, None]

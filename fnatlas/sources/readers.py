@@ -84,7 +84,7 @@ def latest_run(listing: DataFrame, needed: list[str]) -> DataFrame:
 
 
 #: Version and architecture in the path of a binary.
-BINARY_PATH = r"([^/]+)/([^/]+)-unstripped$"
+BINARY_PATH = r"([^/]+)/(?:[^/]*-)?([^/-]+)-unstripped$"
 
 
 def file_inventory(spark: SparkSession, path: str, pattern: str = BINARY_PATH, files: str = "*") -> DataFrame:
