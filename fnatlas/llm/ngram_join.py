@@ -14,10 +14,13 @@ pair must show before it is verified. A pair is held to the smaller l of its two
 4. Stars: of each prefix token's documents, the one with the fewest tokens of its own is
    paired with the others, a document with the STARS of them that it shares the most prefix
    tokens with; pairs that link become components.
-5. Pairs of different components that meet at a token from which enough of both sets is left are
-   then tried; a pair inside a component can change nothing. So a group of copies costs about its
+5. Documents that meet a large component are then paired with members of it that differ from its centre
+   where they do, a few each, in rounds until none links any more or few pairs are left. In a group of near copies nearly all
+   tokens are common; differences tell who is near whom.
+6. Pairs of components that are still different and meet at a token from which enough of both sets is left
+   are then tried; a pair inside a component can change nothing. So a group of copies costs about its
    own size, and every link that joins components is found.
-6. A pair's longer prefixes are compared first; only those that share l tokens there fetch their sets.
+7. A pair's longer prefixes are compared first; only those that share l tokens there fetch their sets.
 
 Tokens that very many documents have are known before anything gathers by token: a table of
 counts by the tokens' upper bits finds them. Their rows are counted by aggregation, and
@@ -50,6 +53,10 @@ COST_UNIT = 4.0
 HOT_TOKENS = 2000
 #: Heads of stars that a document is paired with.
 STARS = 8
+#: A component of more documents is large: others are first held against few of it, by differences.
+LARGE = 64
+#: Large components that a document is held against so, at a token and in all; and most rounds of it.
+LARGER, ROUNDS = 3, 8
 #: Documents of one block of a hot token.
 BLOCK_DOCS = 500
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -217,6 +224,68 @@ def _star_links(prefix: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
     return links.unionByName(_verified(rest, nodes, num))
 
 
+def _placed(prefix: DataFrame, near: DataFrame) -> DataFrame:
+    """prefix with component and members, the component's number of nodes. near: (node, component) of components of two or more."""
+    sized = join_dimension(near, materialize(near.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "members"), "component")
+    placed = prefix.join(sized, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return placed.withColumn("members", F.coalesce("members", F.lit(1)))
+
+
+def _asked_larger(placed: DataFrame, num: int) -> DataFrame:
+    """(node, larger, larger_members): documents and the large components, larger than their own, that they meet at most tokens and
+    that may hold a document near enough by size and place. placed: as _placed() gives it."""
+    mixed = materialize(_mixed(placed).select("token", "node", "n", "pos", "component", "members"), "mixed-tokens")
+    larger = mixed.filter(F.col("members") > LARGE).groupBy("token", F.col("component").alias("larger"), F.col("members").alias("larger_members"))
+    larger = larger.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left"))
+    largest = Window.partitionBy("token").orderBy(F.col("larger_members").desc(), "larger")
+    larger = materialize(larger.withColumn("k", F.row_number().over(largest)).filter(F.col("k") <= LARGER).drop("k"), "larger")
+    met = join_dimension(mixed, larger, "token", "inner", spread=F.xxhash64("node"))
+    met = met.filter("larger_members > members OR (larger_members = members AND larger < component)")
+    met = met.withColumn("n_a", F.col("n")).withColumn("n_b", F.greatest("low", F.expr(f"CAST(({num} * n + 99) DIV 100 AS INT)")))  # the least that any may need
+    met = met.filter(f"n_b <= high AND 100 * n_a >= {num} * n_b AND least(n - pos, left) >= {_needed(num)}")
+    met = met.groupBy("node", "larger", "larger_members").agg(F.count(F.lit(1)).alias("tokens"))
+    most = Window.partitionBy("node").orderBy(F.col("tokens").desc(), F.col("larger_members").desc(), "larger")
+    return materialize(met.withColumn("k", F.row_number().over(most)).filter(F.col("k") <= LARGER).select("node", "larger", "larger_members"), "larger-asked")
+
+
+def _closer_links(asked: DataFrame, near: DataFrame, nodes: DataFrame, num: int, turn: int) -> DataFrame:
+    """Pairs (a, b) that link, of documents and members of the components that they are asked with.
+
+    With differences taken from a component's centre, two sets differ by exactly the differences that they don't share. So a
+    document is paired with the STARS members that are nearest by the differences at which they stand for the component: at
+    each, one of the members with the fewest, another one each turn. What is left out here joins nothing that pairs of
+    different components wouldn't."""
+    wanted = materialize(asked.select(F.col("larger").alias("component")).distinct(), "larger-wanted")
+    inside = join_dimension(near, wanted, "component", "inner").select("node", F.col("component").alias("larger"))
+    sets = nodes.select("node", "own", F.transform("found", lambda x: x["token"]).alias("set"))
+    centre = inside.join(nodes.select("node", (F.col("own") / F.col("n")).alias("share")), "node").groupBy("larger").agg(F.min(F.struct("share", "node"))["node"].alias("node"))
+    centre = materialize(centre.join(sets, "node").select("larger", F.col("set").alias("centre")), "centres")
+    both = inside.withColumn("inside", F.lit(True)).unionByName(asked.select("node", "larger", F.lit(False).alias("inside"))).join(sets, "node")
+    both = join_dimension(both, centre, "larger", "inner", rows=centre.agg(F.sum(F.size("centre"))).first()[0], spread=F.xxhash64("node"))
+    both = both.withColumn("other", F.concat(F.array_except("set", "centre"), F.array_except("centre", "set")))
+    apart = both.select("node", "inside", (F.size("other") + F.col("own")).alias("apart"), F.explode("other").alias("token"), "larger")
+    apart = materialize(apart.select("node", "inside", "apart", F.struct("larger", "token").alias("at")), "differences")
+
+    first = F.struct(F.floor(F.log2(F.col("apart") + 1)).alias("about"), F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "apart")
+    hubs = materialize(apart.filter("inside").groupBy("at").agg(F.min(first).alias("hub")), "difference-hubs")
+    tried = join_dimension(apart.filter("NOT inside").select("node", "at"), hubs, "at", "inner", spread=F.xxhash64("node"))
+    tried = tried.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    nearest = Window.partitionBy("node").orderBy((2 * F.col("shared") - F.col("hub.apart")).desc(), "hub.node")
+    tried = tried.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= STARS)
+    pairs = tried.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    return materialize(_verified(pairs, nodes, num), "closer-links")
+
+
+def _merged(near: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links (a, b) between nodes have joined components of near."""
+    for side in "ab":
+        links = links.join(near.toDF(side, f"c_{side}"), side, "left")
+    links = links.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    wider = materialize(connected_components(links), "links")
+    out = near.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return out.unionByName(wider.join(near.select("node"), "node", "left_anti"))
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of tokens that documents of different components have, with docs, the documents of a frequent token (else 1).
     placed: token, node, n, pos, df, component; a frequent token's components are compared by aggregation."""
@@ -268,15 +337,18 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     prefix = materialize(prefix.select(F.col("x.token").alias("token"), F.col("x.df").alias("df"), "node", "n", "own", (F.col("at") + F.col("own")).cast("int").alias("pos")), "prefixes")
     near = materialize(connected_components(_star_links(prefix, nodes, num)), "stars")
 
-    placed = materialize(prefix.join(near, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("own"), "placed")
+    prefix = prefix.drop("own")
+    placed, most = materialize(_placed(prefix, near), "placed"), nodes.count()
+    for turn in range(ROUNDS):
+        asked = _asked_larger(placed, num)
+        if (asked.agg(F.sum("larger_members")).first()[0] or 0) <= most:  # what is left isn't more pairs than documents
+            break
+        if (closer := _closer_links(asked, near, nodes, num, turn)).isEmpty():
+            break
+        near = materialize(_merged(near, closer), "closer")
+        placed = materialize(_placed(prefix, near), "placed")
     rest = _verified(_fits(_mixed_pairs(_mixed(placed)), num).select("a", "b").distinct(), nodes, num)
-    for side in "ab":
-        rest = rest.join(near.toDF(side, f"c_{side}"), side, "left")
-    rest = rest.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    wider = materialize(connected_components(rest), "links")
-
-    comp = near.join(wider.toDF("component", "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
-    comp = comp.unionByName(wider.join(near.select("node"), "node", "left_anti"))
+    comp = _merged(near, rest)
     grouped = classes.join(comp, "node", "left").filter("component IS NOT NULL OR copies > 1").withColumn("component", F.coalesce("component", "node"))
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_by = grouped.join(first, "component").select("c1", "c2", "copies", "component_id")

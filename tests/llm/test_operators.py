@@ -221,6 +221,28 @@ def test_ngram_join_many_near_copies(spark):
     assert {i: x["component_id"] for i, x in out.items()} == brute.components(data, 4, 85)
 
 
+def test_ngram_join_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies of which many link only with those that differ at the same places: pairs don't grow with the square."""
+    r = random.Random(6)
+    base = [f"b{i}" for i in range(110)]
+    data = [(0, " ".join(base[:55]))]
+    for i in range(1, 500):
+        w = list(base)
+        for p in r.sample(range(8, 100), r.choice((1, 1, 2, 3, 3))):
+            w[p] = f"u{i}-{p}"
+        data.append((i, " ".join(w)))
+    tried, verified = [], ngram_join._verified
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    out = by_id(ngram_join.link_components(spark.createDataFrame(data, "doc_id long, text string"), 5, 80))
+    assert {i: x["component_id"] for i, x in out.items()} == brute.components(data, 5, 80)
+    assert sum(tried) < 20 * len(data), tried
+
+
 def test_ngram_join_copies_in_any_order(spark):
     r = random.Random(8)
     data = []
