@@ -53,6 +53,25 @@ def test_windows(spark, rows_a_cell):
     assert sum(want.values()) > 1000 and want == got
 
 
+@pytest.mark.parametrize("rows_a_cell", [25, 10_000])
+def test_mutual(spark, rows_a_cell):
+    """Pairs inside a cell and across cells' ends, ties, and binaries that one side lacks."""
+    f = scratch.written(shape.shape_features(functions(spark, 600, 40).fillna("x", ["norm_name"])), "shapes")
+    s, u = f.filter("address % 3 != 0"), f.filter("address % 4 != 0 AND NOT (version = 'v1' AND arch = 'c')")
+    rows = lambda d: sorted(map(str, d.select("version", "arch", "label_id", "function_id", F.round("match_dist", 9), "match_confidence").collect()))
+    want = rows(nearest.mutual_matches(s, u, SHAPE, SHAPE_SCALES, 9, 5.0))
+    assert len(want) > 50 and want == rows(meeting.mutual_matches(s, u, SHAPE, SHAPE_SCALES, 9, 5.0, rows_a_cell))
+
+
+def test_rows_before(spark):
+    """The row before, over the ends of blocks too."""
+    f = shape.shape_features(functions(spark, 200), place=True)
+    rows = lambda d: sorted(map(str, d.select("function_id", "p_local_mean", "p_place").collect()))
+    assert rows(shape.before(f, ["local_mean", "place"], 7)) == rows(shape.before(f, ["local_mean", "place"]))
+    out = shape.before(f, ["place"], 7)
+    assert out.filter("p_place != place - 1").count() == 0 and out.count() == 200 - f.select("version", "arch").distinct().count()
+
+
 def test_many_sides(spark):
     """More architectures than one column has bits for."""
     rows = [("v", f"a{i:03}", 1, "n" if i in (0, 61, 62, 130) else f"m{i}", i, f"f{i}") for i in range(131)]
