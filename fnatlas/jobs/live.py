@@ -48,8 +48,8 @@ def stream_step_status(spark, d):
 @query
 def stream_feature_ingest(spark, d):
     """Feature dumps through the stream in several batches: histogram entries of every binary, with how many functions it has."""
-    source, target, checkpoint = dumps.feature_dump(spark, d), place(spark, "ingested"), place(spark, "checkpoint")
-    streams.feature_ingest(spark, source, target, checkpoint, at_once=8).awaitTermination()
+    source, target, checkpoint = dumps.feature_dump(spark, d, "gzip"), place(spark, "ingested"), place(spark, "checkpoint")
+    streams.feature_ingest(spark, source, target, checkpoint, "*.json.gz", at_once=8).awaitTermination()
     records, entries = (spark.read.parquet(f"{target}/{name}") for name in ("records", "histograms"))
     n = records.groupBy("version", "arch").agg(F.count(F.lit(1)).alias("functions"), F.sum("instruction_count").alias("instructions"))
     return entries.groupBy("version", "arch", "kind", "key").agg(F.sum("n").alias("n")).join(F.broadcast(n), ["version", "arch"])  # a row a binary
